@@ -1 +1,8 @@
 """Dictionary-driven text respelling and lexicon analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value: nothing to install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

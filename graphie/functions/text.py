@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # A word starts and ends with a letter and may hold - : . / _ and digits inside.
 # Letters and joiners are disjoint, so nothing ever needs to backtrack: the possessive
@@ -48,12 +49,12 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc_batch(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_batch(s: pd.Series) -> pd.Series:
     def strip(x):
         if x is None:

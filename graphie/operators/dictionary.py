@@ -181,7 +181,7 @@ def simplify_mapping(df: DataFrame, marker: str | None) -> DataFrame:
     m = F.lit(marker)
 
     def decide(acc: Column, r: Column) -> Column:
-        prev = F.element_at(acc, -1)
+        prev = F.try_element_at(acc, F.lit(-1))
         is_id = r["old"] == r["new"]
         adjacent = F.coalesce(prev["r"]["_k"] == r["_k"] - 1, F.lit(False))
         ends = F.endswith(r["new"], m)

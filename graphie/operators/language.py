@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphie.operators.lookup import constant_lookup
+from graphie.operators.lookup import constant_lookup, with_lookups
 
 # Fixed values.
 UNKNOWN_DIGRAM = 30.0
@@ -84,9 +84,9 @@ def language_score(
     """
     a, b = langs
     paired = _paired(model, a, b)
-    find = constant_lookup(paired, "digram", ["e1", "e2"])
+    table = constant_lookup(paired, "digram", ["e1", "e2"])
     base_col = base if isinstance(base, Column) else F.lit(float(base))
-    if find is not None:
+    if table is not None:
         zero = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
 
         def add(acc, e):
@@ -95,7 +95,12 @@ def language_score(
                 (acc["s2"] + F.coalesce(e["e2"], F.lit(UNKNOWN_DIGRAM))).alias("s2"),
             )
 
-        scored = df.withColumn("_s", F.aggregate(F.transform(digrams(text_col), find), zero, add))
+        scored = with_lookups(
+            df,
+            [table],
+            "_s",
+            lambda find: F.aggregate(F.transform(digrams(text_col), find), zero, add),
+        )
     else:
         if key is None:
             raise ValueError("the model is too large to send to every task; pass key=")

@@ -12,6 +12,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from graphie.operators.dictionary import first_wins, like_ascii
 
@@ -211,7 +212,7 @@ def first_pronunciations(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("word").agg(b).select("word", "b.ipa", "b.h_aspire")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
@@ -369,7 +370,7 @@ def rewrite_after(
     """Rewrite ``head variable`` to ``head invariable`` where the two words are separated
     by one space. Map-side: both word lists are checked and sent along."""
     from graphie.functions import text as T
-    from graphie.operators.lookup import constant_lookup
+    from graphie.operators.lookup import constant_lookup, with_lookups
 
     out_col = out_col or text_col
     head = constant_lookup(heads.select("word", F.lit(True).alias("v")).distinct(), "word", "v")
@@ -381,12 +382,14 @@ def rewrite_after(
     pattern = r"[\p{L}\p{N}_]+"
     step = df.withColumn("_w", T.words(text_col, pattern)).withColumn("_s", T.separators(text_col, pattern))
 
-    def swap(w: Column, i: Column) -> Column:
+    def swap(w: Column, i: Column, head, pair) -> Column:
         before = F.get(F.col("_w"), F.greatest(i - 1, F.lit(0)))
         follows = (i > 0) & (F.get(F.col("_s"), i) == " ") & F.coalesce(head(before), F.lit(False))
         return F.when(follows, F.coalesce(pair(w), w)).otherwise(w)
 
-    step = step.withColumn("_n", F.transform("_w", swap))
+    step = with_lookups(
+        step, [head, pair], "_n", lambda h, p: F.transform("_w", lambda w, i: swap(w, i, h, p))
+    )
     return step.select(*keep, T.weave("_s", "_n").alias(out_col))
 
 

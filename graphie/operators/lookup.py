@@ -2,10 +2,13 @@
 
 A join needs one row per word, so rewriting a text through a join means
 exploding the corpus and shuffling it back together. A keyed table whose size
-has been checked can instead travel as a constant: an array of small maps,
+has been checked can instead travel with the plan: an array of small maps,
 addressed by the hash of the key. ``get(array, hash)`` is O(1) and each map holds
-a few entries, so a lookup costs the same for ten entries or a million, stays in
+about one entry, so a lookup costs the same for ten entries or a million, stays in
 the JVM, and the corpus is read once with no shuffle at all.
+
+The array is the result of an uncorrelated scalar subquery: Spark computes it once and
+hands tasks the row format itself, one flat block of bytes with nothing to rebuild.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Find = Callable[[Column], Column]
 MAX_ROWS = 1_000_000
 MAX_BYTES = 48 << 20
 
@@ -42,10 +47,43 @@ def bounded_rows(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_B
         kept.unpersist()
 
 
+class Lookup:
+    """``key -> value`` for use in a column of a DataFrame: see ``with_lookups``."""
+
+    def __init__(self, table: DataFrame, buckets: int):
+        self.table = table
+        self.buckets = buckets
+
+    def finder(self, table: Column) -> Find:
+        n = F.lit(self.buckets)
+        return lambda k: F.try_element_at(F.get(table, F.pmod(F.hash(k), n)), k)
+
+
+def with_lookups(df: DataFrame, lookups: list[Lookup], name: str, build: Callable[..., Column]) -> DataFrame:
+    """Add column ``name = build(find, ...)``, one ``find`` per lookup.
+
+    Each table is bound once, as a lambda variable, however often ``find`` is used.
+    The subquery stands in a projection of its own, which the optimizer merges into the
+    one that uses it (a single reference), so no row ever carries the table.
+    """
+    cols = [F.col(c) for c in df.columns if c != name]
+    tables = [f"_lookup{i}" for i in range(len(lookups))]
+    inner = df.select("*", *[x.table.scalar().alias(t) for x, t in zip(lookups, tables)])
+
+    def bind(i: int, finds: list[Find]) -> Column:
+        if i == len(lookups):
+            return build(*finds)
+        return F.get(
+            F.transform(F.array(tables[i]), lambda t: bind(i + 1, finds + [lookups[i].finder(t)])), F.lit(0)
+        )
+
+    return inner.select(*cols, bind(0, []).alias(name))
+
+
 def constant_lookup(
     df: DataFrame, key: str, value: str | list[str], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
-) -> Callable[[Column], Column] | None:
-    """``key -> value`` (or a struct of values) as a function on columns.
+) -> Lookup | None:
+    """``key -> value`` (or a struct of values).
 
     ``None`` when the table is over the bound: the caller then joins. Keys must be
     unique; empty and null keys are dropped.
@@ -68,11 +106,6 @@ def constant_lookup(
     buckets: list[dict] = [{} for _ in range(n)]
     for h, k, v in rows:
         buckets[h % n][k] = json.loads(v).get("v")
-    table = F.from_json(
-        F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>"
-    )
-
-    def lookup(k: Column) -> Column:
-        return F.try_element_at(F.get(table, F.pmod(F.hash(k), F.lit(n))), k)
-
-    return lookup
+    text = pa.table({"j": [json.dumps(buckets, ensure_ascii=False)]})
+    one_row = df.sparkSession.createDataFrame(text)
+    return Lookup(one_row.select(F.from_json("j", f"array<map<string,{kind}>>").alias("t")), n)

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from graphie.functions import text as T
 from graphie.operators.dictionary import Dictionary
-from graphie.operators.lookup import constant_lookup
+from graphie.operators.lookup import Find, Lookup, constant_lookup, with_lookups
 
-Lookup = Callable[[Column], Column]
 SALTS = 16
 
 
@@ -28,7 +27,7 @@ def entry_lookup(df: DataFrame, marker: str | None, **bound) -> Lookup | None:
     return constant_lookup(entries, "old", ["new", "plural"], **bound)
 
 
-def ladder(w: Column, find: Lookup, marker: str | None, convert_uppercase: bool) -> Column:
+def ladder(w: Column, find: Find, marker: str | None, convert_uppercase: bool) -> Column:
     """The replacement of one word. Null or '' when it stays as it is.
 
     An array lambda has no common subexpressions, so every branch is written to look
@@ -59,7 +58,7 @@ def replaced(ws: Column, results: Column) -> Column:
     return F.zip_with(ws, results, lambda w, r: F.when(r != "", r).otherwise(w))
 
 
-def respell_word(w: Column, find: Lookup, marker: str | None, convert_uppercase: bool) -> Column:
+def respell_word(w: Column, find: Find, marker: str | None, convert_uppercase: bool) -> Column:
     """``ladder`` plus the hyphen rule: a compound that is not an entry is done by parts."""
 
     def one(x: Column) -> Column:
@@ -93,8 +92,8 @@ def respell(
     out_col = out_col or text_col
     m = dictionary.meta.marker() if marker is ... else marker
     bound = {} if max_rows is None else {"max_rows": max_rows}
-    find = entry_lookup(dictionary.df, m, **bound)
-    if find is None:
+    table = entry_lookup(dictionary.df, m, **bound)
+    if table is None:
         if key is None:
             raise ValueError("the dictionary is too large to send to every task; pass key=")
         keys = [key] if isinstance(key, str) else list(key)
@@ -104,8 +103,11 @@ def respell(
     keep = [c for c in df.columns if c not in (out_col, count_col)]
     src = T.nfc(text_col) if normalize else F.col(text_col)
     step = df.withColumn("_t", src).withColumn("_w", T.words("_t", pattern))
-    step = step.withColumn(
-        "_r", F.transform("_w", lambda w: respell_word(w, find, m, convert_uppercase))
+    step = with_lookups(
+        step,
+        [table],
+        "_r",
+        lambda find: F.transform("_w", lambda w: respell_word(w, find, m, convert_uppercase)),
     ).withColumn("_n", replaced(F.col("_w"), F.col("_r")))
     out = [F.when(F.col("_t").isNotNull(), T.weave(T.separators("_t", pattern), "_n")).alias(out_col)]
     if count_col:
@@ -249,11 +251,11 @@ def respell_guarded(
         F.coalesce("hit", F.lit(False)).alias("hit"),
         F.when(F.col("new") != "", F.concat("new", F.lit(m))).alias("plural"),
     )
-    find = constant_lookup(entries, "old", ["new", "plural", "hit"])
-    if find is None:
+    table = constant_lookup(entries, "old", ["new", "plural", "hit"])
+    if table is None:
         raise ValueError("the dictionary is too large for the guarded form")
 
-    def collides(w: Column) -> Column:
+    def collides(w: Column, find: Find) -> Column:
         """Would the word be rewritten through an entry of the collision list?"""
 
         def entry_hit(wu: Column) -> Column:
@@ -277,21 +279,26 @@ def respell_guarded(
     # Compounds count through their parts, so work on the words after splitting.
     keep = [c for c in df.columns if c not in (out_col, count_col)]
 
-    def parts(w: Column) -> Column:
+    def parts(w: Column, find: Find) -> Column:
         split = F.contains(w, F.lit("-")) & w.rlike(T.HYPHENATED) & find(w).isNull()
         return F.when(split, F.split(w, "-")).otherwise(F.array(w))
 
-    step = (
-        df.withColumn("_w", T.words(text_col, pattern))
-        .withColumn("_p", F.transform("_w", parts))
-        .withColumn("_f", F.coalesce(foreign, F.lit(False)))
-        .withColumn(
-            "_first",
-            F.when(
-                F.col("_f"),
-                F.array_position(F.transform(F.flatten("_p"), collides), F.lit(True)),
-            ).otherwise(F.lit(0)),
-        )
+    step = with_lookups(
+        df.withColumn("_w", T.words(text_col, pattern)).withColumn(
+            "_f", F.coalesce(foreign, F.lit(False))
+        ),
+        [table],
+        "_p",
+        lambda find: F.transform("_w", lambda w: parts(w, find)),
+    )
+    step = with_lookups(
+        step,
+        [table],
+        "_first",
+        lambda find: F.when(
+            F.col("_f"),
+            F.array_position(F.transform(F.flatten("_p"), lambda w: collides(w, find)), F.lit(True)),
+        ).otherwise(F.lit(0)),
     )
     sizes = F.transform("_p", lambda p: F.size(p))
     step = step.withColumn(
@@ -306,7 +313,7 @@ def respell_guarded(
         ),
     )
 
-    def rewrite(w: Column, i: Column) -> Column:
+    def rewrite(w: Column, i: Column, find: Find) -> Column:
         start = F.get(F.col("_start"), i)
 
         def part(p: Column, j: Column) -> Column:
@@ -315,7 +322,9 @@ def respell_guarded(
 
         return F.array_join(replaced(w, F.transform(w, part)), "-")
 
-    step = step.withColumn("_n", F.transform("_p", rewrite))
+    step = with_lookups(
+        step, [table], "_n", lambda find: F.transform("_p", lambda w, i: rewrite(w, i, find))
+    )
     out = [
         F.when(F.col(text_col).isNotNull(), T.weave(T.separators(text_col, pattern), "_n")).alias(out_col)
     ]

@@ -26,8 +26,31 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+SPREAD_BELOW = 16 << 20  # bytes per core
+
+
+def table(spark: SparkSession, sf: str, name: str, spread: str | None = None) -> DataFrame:
+    """A given table. ``spread`` names a key to redistribute a *small* table by.
+
+    A scan has at most one task per row group, and a small file is one row group: all
+    the text work would run on one core. Below a size where every core would have a
+    decent share anyway, rows are spread first; larger tables are read as they are,
+    with no shuffle.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread is not None and 0 < _size(df) < cores * SPREAD_BELOW:
+        return df.repartition(cores, spread)
+    return df
+
+
+def _size(df: DataFrame) -> int:
+    """Catalyst's size estimate: for a file scan, the bytes of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def documents(spark, sf, *cols: str) -> DataFrame:
+    return table(spark, sf, "documents", "doc_id").select(*(cols or ("*",)))
 
 
 # --- inputs shared by many queries, with their SQL -------------------------------
@@ -63,7 +86,7 @@ vocab AS (SELECT lower(w) AS word, count(*) AS n FROM tok GROUP BY 1)"""
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """``word, n``: lower-cased words of the documents with their counts."""
     return (
-        table(spark, sf, "documents")
+        documents(spark, sf, "doc_id", "text")
         .select(F.explode(T.words("text")).alias("w"))
         .groupBy(F.lower("w").alias("word"))
         .agg(F.count(F.lit(1)).alias("n"))

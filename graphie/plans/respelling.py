@@ -8,7 +8,7 @@ from graphie.functions import text as T
 from graphie.operators import respell as R
 from graphie.operators.dictionary import Dictionary
 from graphie.plans.registry import (
-    DICTS_SQL, SMOKE_SQL, VOCAB_SQL, WORD_SQL, dict_eau, query, smoke_dictionary, table, vocabulary,
+    DICTS_SQL, SMOKE_SQL, VOCAB_SQL, WORD_SQL, dict_eau, documents, query, smoke_dictionary, table, vocabulary,
 )
 
 
@@ -55,13 +55,13 @@ FROM src s LEFT JOIN new n USING ({keys})"""
 
 @query("respell_documents", respell_sql("documents", "doc_id", SMOKE_SQL))
 def respell_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id", "text")
     return R.respell(docs, "text", smoke_dictionary(spark), count_col="n_changed")
 
 
 @query("respell_conversations", respell_sql("conversations", "conv_id, turn", SMOKE_SQL))
 def respell_conversations(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns = table(spark, sf, "conversations", "conv_id").select("conv_id", "turn", "text")
     return R.respell(turns, "text", smoke_dictionary(spark), count_col="n_changed")
 
 
@@ -70,7 +70,7 @@ def respell_conversations(spark, sf):
     respell_sql("documents", "doc_id", SMOKE_SQL, marker=None, upper=False),
 )
 def respell_keep_uppercase_no_plurals(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id", "text")
     return R.respell(
         docs, "text", smoke_dictionary(spark), count_col="n_changed", convert_uppercase=False, marker=None
     )
@@ -78,14 +78,14 @@ def respell_keep_uppercase_no_plurals(spark, sf):
 
 @query("respell_by_vocabulary_dictionary", respell_sql("documents", "doc_id", f"{DICTS_SQL}, d AS (SELECT * FROM d1)"))
 def respell_by_vocabulary_dictionary(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id", "text")
     return R.respell(docs, "text", Dictionary(dict_eau(spark, sf)), key="doc_id", count_col="n_changed", marker="s")
 
 
 @query("respell_by_shuffle_join", respell_sql("documents", "doc_id", f"{DICTS_SQL}, d AS (SELECT * FROM d1)"))
 def respell_by_shuffle_join(spark, sf):
     """The plan for dictionaries over the bound, forced."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id", "text")
     return R.respell(
         docs, "text", Dictionary(dict_eau(spark, sf)), key="doc_id", count_col="n_changed", marker="s", max_rows=0
     )
@@ -98,7 +98,7 @@ def respell_by_shuffle_join(spark, sf):
   array_to_string(regexp_extract_all(text, '{WORD_SQL}'), '|') AS words FROM documents""",
 )
 def token_counts(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id",
         F.size(T.words("text")).alias("n_words"),
         F.length(F.array_join(T.separators("text"), "")).alias("n_outside"),
@@ -111,7 +111,7 @@ def token_counts(spark, sf):
     "SELECT doc_id, md5(text) AS digest FROM documents",
 )
 def tokens_are_lossless(spark, sf):
-    toks = table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("t"))
+    toks = documents(spark, sf).select("doc_id", T.tokens("text").alias("t"))
     whole = F.array_join(F.transform("t", lambda t: t["tok"]), "")
     return toks.select("doc_id", F.md5(whole).alias("digest"))
 
@@ -124,7 +124,7 @@ def tokens_are_lossless(spark, sf):
 )
 def normalised_text(spark, sf):
     """Documents with é written in two code points, brought back to one."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     apart = docs.select("doc_id", F.replace("text", F.lit("é"), F.lit("é")).alias("t"))
     return apart.select("doc_id", F.md5(T.nfc("t")).alias("digest"))
 
@@ -137,7 +137,7 @@ FROM tok WHERE contains(w, '-') AND regexp_full_match(w, '[\\p{{L}}-]+')""",
 )
 def hyphen_parts(spark, sf):
     """Compounds made by joining neighbouring words, cut at their hyphens."""
-    docs = table(spark, sf, "documents").select(F.replace("text", F.lit(" "), F.lit("-")).alias("t"))
+    docs = documents(spark, sf).select(F.replace("text", F.lit(" "), F.lit("-")).alias("t"))
     w = docs.select(F.explode(T.words("t")).alias("word")).distinct()
     w = w.filter(F.contains("word", F.lit("-")) & F.col("word").rlike(T.HYPHENATED))
     parts = T.split_hyphens(F.col("word"))
@@ -153,7 +153,7 @@ def hyphen_parts(spark, sf):
     f"WITH {VOCAB_SQL}, {SMOKE_SQL}, {ladder_sql('tok')} SELECT w AS word, out AS new_word FROM lad",
 )
 def respell_distinct_words(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     words = docs.select(F.explode(T.words("text")).alias("word")).distinct()
     return R.resolve_words(words, "word", smoke_dictionary(spark))
 
@@ -166,7 +166,7 @@ def respell_distinct_words(spark, sf):
   CASE WHEN w LIKE '%s' THEN substr(w, 1, length(w) - 1) END AS singular FROM tok""",
 )
 def case_functions(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     w = docs.select(F.explode(T.words("text")).alias("word")).distinct()
     return w.select(
         "word",
@@ -186,7 +186,7 @@ SELECT d.source, d.lang, count(DISTINCT d.doc_id) AS n_docs,
 FROM documents d LEFT JOIN tok t ON t.doc_id = d.doc_id LEFT JOIN lad l ON l.w = t.w GROUP BY 1, 2""",
 )
 def change_counts_by_source(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    docs = documents(spark, sf, "doc_id", "source", "lang", "text")
     r = R.respell(docs, "text", smoke_dictionary(spark), count_col="n")
     return r.groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n").cast("bigint").alias("n_changed")
