@@ -160,9 +160,9 @@ def respell_distinct_words(spark, sf):
 
 @query(
     "case_functions",
-    f"""WITH {VOCAB_SQL} SELECT DISTINCT w AS word, upper(substr(w, 1, 1)) || substr(w, 2) AS capitalized,
+    f"""WITH {VOCAB_SQL} SELECT DISTINCT w AS word, replace(upper(substr(w, 1, 1)), 'ẞ', 'SS') || substr(w, 2) AS capitalized,
   lower(substr(w, 1, 1)) || substr(w, 2) AS uncapitalized,
-  CASE WHEN regexp_full_match(w, '\\p{{Lu}}+') THEN lower(w) END AS lowered, upper(w) AS uppered,
+  CASE WHEN regexp_full_match(w, '\\p{{Lu}}+') THEN lower(w) END AS lowered, replace(upper(w), 'ẞ', 'SS') AS uppered,
   CASE WHEN w LIKE '%s' THEN substr(w, 1, length(w) - 1) END AS singular FROM tok""",
 )
 def case_functions(spark, sf):
