@@ -15,10 +15,10 @@ RANKS = {
     "emment/ament": -3, "qua-o-u/ca-o-u": -2, "que/c": -2, "qu/q": -1, "qu/qou": -1, "accent-plat": 1, "ou/omega": 2,
 }
 # Rules that must not see their own output, and their plural markers.
-NOT_REPEATABLE = ["ortograf.net", "alfonic"]
-MARKERS = {"ortograf.net": "+", "alfonic": ""}
+NOT_REPEATABLE = ["sound-net", "alfonic"]
+MARKERS = {"sound-net": "+", "alfonic": ""}
 LOOKUP_RULES = ["oe", "1990"]
-DEFAULT_RULES = ["erofa", "1990", "oe"]
+DEFAULT_RULES = ["flagship", "1990", "oe"]
 
 
 def parse_custom_rules(specs: DataFrame, key: str, spec: str) -> DataFrame:

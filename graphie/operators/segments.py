@@ -321,8 +321,10 @@ def interleaved(
     )
     cut = runs.withColumn("_p", pieces).select("*", F.posexplode("_p").alias("_i", "_x"))
     order = W.partitionBy(*keys).orderBy(seq, "_i")
-    # A stretch: the inner part of a run with the joined pieces that follow it.
-    cut = cut.withColumn("_g", F.count_if(F.col("_x.k") == "space").over(order))
+    # The inner part of a run is a stretch of its own, so is the chain of pieces that
+    # follows it.
+    inner = F.col("_x.k") == "space"
+    cut = cut.withColumn("_g", 2 * F.count_if(inner).over(order) - inner.cast("int"))
     whole = cut.groupBy(*keys, "_g").agg(
         F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "_i", F.col("_x.s").alias("s")))).alias("ps")
     )

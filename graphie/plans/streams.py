@@ -64,7 +64,7 @@ def stream_latest_turn(spark, sf):
 @query("stream_debounced_users")
 def stream_debounced_users(spark, sf):
     """Each user stands for a page whose events are changes."""
-    s = S.read_table_stream(spark, sf, "events").select("user_id", "ts")
+    s = S.read_table_stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return run(S.debounce(s, "user_id", "ts"), "debounce", "append")
 
 
