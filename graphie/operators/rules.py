@@ -20,6 +20,7 @@ from graphie.operators import phonetics as P
 from graphie.operators import rulesets as RS
 from graphie.operators.dictionary import Metadata, first_wins, simplify_mapping
 from graphie.operators.phonetics import graphem, step, text
+from graphie.sources.files import stored
 
 Project = Callable[[Column], Column]
 
@@ -478,7 +479,8 @@ def build_dictionary(
         lx = _in_vocabulary(lx, vocabulary, post90)
     if post90 is not None:
         lx = X.build_lexicon_post90(lx, post90, replace=rect)
-    results = respell_lexicon(lx, rules, fix_oe=oe, stop=stop)
+    # Everything after this reads the results several times.
+    results = stored(respell_lexicon(lx, rules, fix_oe=oe, stop=stop), "respelled")
     order = F.struct("rank", "sub")
     base = first_wins(results.withColumn("_o", order), "old", "_o", "new").select("old", "new", F.col("_o.rank").alias("rank"))
     if rect and post90 is not None:
@@ -514,7 +516,7 @@ def extend_dictionary(
     """
     rule = builtin(preserve)["flagship"]
     lx = X.build_lexicon_post90(lexicon, post90, replace=True)
-    results = respell_lexicon(lx, [rule], fix_oe=True, stop=stop)
+    results = stored(respell_lexicon(lx, [rule], fix_oe=True, stop=stop), "respelled")
     ref = reference.select("old", "new", F.struct(F.lit(-1).cast("bigint").alias("rank"), F.lit(0).alias("sub")).alias("_o"))
     gen = results.select("old", "new", F.struct(F.col("rank").cast("bigint").alias("rank"), "sub").alias("_o"))
     base = first_wins(ref.unionByName(gen), "old", "_o", "new").select("old", "new", F.col("_o.rank").alias("rank"))

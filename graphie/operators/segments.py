@@ -204,50 +204,65 @@ def container_members(
     return source.mapInPandas(unpack, _CONTAINER_SCHEMA)
 
 
-def _office_runs(data: bytes, ns: str) -> Iterator[tuple[int, str]]:
-    """(paragraph, text) of each text run. Text counts only directly inside ``t``;
-    spelling marks are skipped; a paragraph ends the group."""
-    para, skip, stack = 0, 0, []
-    for event, el in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-        if event == "start":
-            stack.append(el.tag)
-            if el.tag == ns + "proofErr":
-                skip += 1
-            continue
-        stack.pop()
-        if el.tag == ns + "proofErr":
-            skip -= 1
-        elif el.tag == ns + "t" and el.text and not skip:
-            yield para, el.text
-        elif el.tag == ns + "p":
-            para += 1
-
-
-def _odf_runs(data: bytes) -> Iterator[tuple[int, str]]:
-    """(group, text) for mixed content of headings, paragraphs, links and spans.
-
-    Headings and paragraphs end a group; so do explicit spaces, tabs and line breaks.
+class _Runs:
+    """Parser target: (group, text) of each stretch of text that ``reads`` accepts.
+
+    ``ends(tag)`` tells which closing elements end a group of runs; nothing inside a
+    ``skips`` element counts.
     """
-    group = 0
-    text_in = {_T + n for n in ("h", "p", "a", "span")}
-    breaks = {_T + n for n in ("h", "p", "s", "tab", "line-break")}
-    stack: list[ElementTree.Element] = []
-    for event, el in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-        if event == "start":
-            # Text before this element belongs to its parent.
-            if stack:
-                parent = stack[-1]
-                prev = parent[-2].tail if len(parent) > 1 else parent.text
-                if parent.tag in text_in and prev:
-                    yield group, prev
-            stack.append(el)
-            continue
-        stack.pop()
-        last = el[-1].tail if len(el) else el.text
-        if el.tag in text_in and last:
-            yield group, last
-        if el.tag in breaks:
-            group += 1
+
+    def __init__(self, reads: Callable[[str], bool], ends: Callable[[str], bool], skips: str = ""):
+        self.reads, self.ends, self.skips = reads, ends, skips
+        self.stack: list[str] = []
+        self.skipping = 0
+        self.group = 0
+        self.text: list[str] = []
+        self.out: list[tuple[int, str]] = []
+
+    def _flush(self):
+        text = "".join(self.text)
+        self.text = []
+        if text and self.stack and not self.skipping and self.reads(self.stack[-1]):
+            self.out.append((self.group, text))
+
+    def start(self, tag, attrs):
+        self._flush()
+        self.stack.append(tag)
+        self.skipping += tag == self.skips
+
+    def end(self, tag):
+        self._flush()
+        self.stack.pop()
+        self.skipping -= tag == self.skips
+        self.group += self.ends(tag)
+
+    def data(self, text):
+        self.text.append(text)
+
+    def close(self):
+        return self.out
+
+
+def _xml_runs(data: bytes, target: _Runs) -> list[tuple[int, str]]:
+    parser = ElementTree.XMLParser(target=target)
+    parser.feed(data)
+    return parser.close()
+
+
+def _office_runs(data: bytes, ns: str) -> list[tuple[int, str]]:
+    """Text counts only directly inside ``t``; spelling marks are skipped; a paragraph
+    ends the group."""
+    return _xml_runs(data, _Runs(lambda t: t == ns + "t", lambda t: t == ns + "p", ns + "proofErr"))
+
+
+# Elements with mixed content, and elements after which words start afresh.
+_ODF_TEXT = {_T + n for n in ("h", "p", "a", "span")}
+_ODF_BREAKS = {_T + n for n in ("h", "p", "s", "tab", "line-break")}
+
+
+def _odf_runs(data: bytes) -> list[tuple[int, str]]:
+    """Mixed content of headings, paragraphs, links and spans."""
+    return _xml_runs(data, _Runs(_ODF_TEXT.__contains__, _ODF_BREAKS.__contains__))
 
 
 def _segments_of(kind: str, data: bytes) -> Iterator[tuple[int, str, bool, str]]:
@@ -268,17 +283,22 @@ def _segments_of(kind: str, data: bytes) -> Iterator[tuple[int, str, bool, str]]
 
 
 def member_segments(members: DataFrame) -> DataFrame:
-    """``doc, kind, part, seq, para, tag, hidden, text`` of readable members."""
+    """``doc, kind, part, seq, para, tag, hidden, text`` of readable members.
+
+    A member that is not well-formed gives one hidden row, tagged ``error``, with the
+    reason.
+    """
     names = ["doc", "kind", "part", "seq", "para", "tag", "hidden", "text"]
     schema = "doc string, kind string, part string, seq int, para int, tag string, hidden boolean, text string"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, kind, part, data in b[["doc", "kind", "part", "content"]].itertuples(index=False):
-                rows = [
-                    (doc, kind, part, i, para, tag, hidden, text)
-                    for i, (para, tag, hidden, text) in enumerate(_segments_of(kind, data))
-                ]
+                try:
+                    found = list(_segments_of(kind, data))
+                except ElementTree.ParseError as e:
+                    found = [(0, "error", True, str(e))]
+                rows = [(doc, kind, part, i, *segment) for i, segment in enumerate(found)]
                 yield pd.DataFrame(rows, columns=names)
 
     return members.filter("error is null").select("doc", "kind", "part", "content").mapInPandas(cut, schema)

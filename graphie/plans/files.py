@@ -215,8 +215,8 @@ def docx_respell_across_runs(spark, sf):
 
 @query(
     "interleaved_run_lengths",
-    """WITH r AS (SELECT conv_id, turn, text, unnest(range(0, length(text), 7)) AS at FROM conversations)
-SELECT conv_id, turn, CAST(floor(at / 7) AS BIGINT) AS seq, length(substr(text, at + 1, 7)) AS n_chars FROM r""",
+    """WITH r AS (SELECT conv_id, turn, text, unnest(range(0, length(text), 7)) AS o FROM conversations)
+SELECT conv_id, turn, CAST(floor(o / 7) AS BIGINT) AS seq, length(substr(text, o + 1, 7)) AS n_chars FROM r""",
 )
 def interleaved_run_lengths(spark, sf):
     """A conversion that changes nothing gives every run back as it was."""

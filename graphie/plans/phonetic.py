@@ -23,15 +23,15 @@ def small_rules():
 @query(
     "align_with_small_table",
     f"""WITH RECURSIVE {LEXICON_SQL}, {values_sql('rules', 'g, p, imp', SMALL)},
-r AS (SELECT g, p, imp, length(g) AS gl, length(p) AS pl, octet_length(encode(g)) AS gb FROM rules),
+r AS (SELECT g, p, imp, length(g) AS gl, length(p) AS pl, octet_length(encode(g)) AS gb, substr(g, 1, 1) AS f FROM rules),
 words AS (SELECT ortho, phon FROM lexicon WHERE length(ortho) > 0),
 core AS (SELECT ortho, i, max(gb) AS longest FROM (SELECT ortho, unnest(range(0, length(ortho))) AS i FROM words)
-  JOIN r ON substr(ortho || '$', i + 1, gl) = g WHERE imp = 0 GROUP BY 1, 2),
+  JOIN r ON f = substr(ortho, i + 1, 1) AND substr(ortho || '$', i + 1, gl) = g WHERE imp = 0 GROUP BY 1, 2),
 walk AS (SELECT ortho, phon, 0 AS i, 0 AS j, 0 AS surprise, CAST([] AS INTEGER[]) AS trail, '' AS gs FROM words
   UNION ALL SELECT w.ortho, w.phon, CAST(w.i + gl AS INTEGER), CAST(w.j + pl AS INTEGER),
     w.surprise + CASE WHEN imp = 2 OR gb < coalesce(c.longest, 0) THEN 1 ELSE 0 END,
     list_append(w.trail, CAST((w.j + pl) * 1000 + w.i + gl AS INTEGER)), w.gs || g || '|'
-  FROM walk w JOIN r ON substr(w.ortho || '$', w.i + 1, gl) = g AND substr(w.phon, w.j + 1, pl) = p
+  FROM walk w JOIN r ON f = substr(w.ortho, w.i + 1, 1) AND substr(w.ortho || '$', w.i + 1, gl) = g AND substr(w.phon, w.j + 1, pl) = p
   LEFT JOIN core c ON c.ortho = w.ortho AND c.i = w.i WHERE w.i < length(w.ortho)),
 best AS (SELECT ortho, max({{'t': trail, 's': surprise, 'g': gs}}) AS b FROM walk WHERE i >= length(ortho) AND j = length(phon) GROUP BY 1)
 SELECT w.ortho, w.phon, b.s AS surprise, b.g AS graphemes FROM words w LEFT JOIN best ON best.ortho = w.ortho""",

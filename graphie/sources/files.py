@@ -26,3 +26,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not base:
         return tempfile.mkdtemp(prefix=f"graphie-{name}-")
     return os.path.join(base, f"graphie-{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written once and read back, where a plan would compute it repeatedly.
+
+    Files in the shared folder outlive the executors that wrote them.
+    """
+    path = work_folder(df.sparkSession, name) + "/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
