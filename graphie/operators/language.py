@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graphie.functions.plan import computed_once
 from graphie.operators.lookup import constant_lookup, with_lookups
 
 # Fixed values.
@@ -99,7 +100,7 @@ def language_score(
             df,
             [table],
             "_s",
-            lambda find: F.aggregate(F.transform(digrams(text_col), find), zero, add),
+            lambda find: computed_once(F.aggregate(F.transform(digrams(text_col), find), zero, add)),
         )
     else:
         if key is None:

@@ -11,10 +11,12 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from graphie.operators.dictionary import first_wins, like_ascii
+from graphie.sources.files import stored
 
 
 def real(col: str | Column) -> Column:
@@ -114,6 +116,28 @@ def by_frequency(df: DataFrame, freq: str) -> DataFrame:
     return df.orderBy(real(freq).desc_nulls_last(), "ortho")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Number rows from 1 in a total order, without one task seeing all of them.
+
+    Rows are range-partitioned, numbered within their partition, and shifted by the
+    sizes of the partitions before. The partitioned table is written first: sampling
+    could place the borders elsewhere if it were computed twice.
+    """
+    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition: a bounded, small table.
+    before = sizes.withColumn(
+        "_shift", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ).select("_part", "_shift")
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return (
+        parts.withColumn("_k", within)
+        .join(F.broadcast(before), "_part")
+        .withColumn(name, (F.col("_k") + F.col("_shift")).cast("bigint"))
+        .drop("_part", "_k", "_shift")
+    )
+
+
 # --- reconciling spelling tables -------------------------------------------------
 
 

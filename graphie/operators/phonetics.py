@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.functions import graphemes as G
+from graphie.functions.plan import computed_once
 
 PATH = "array<struct<g:string,p:string,i:int,j:int,s:int>>"
 _RULES = "map<string,array<struct<g:string,gl:int,gb:int,p:string,pl:int,imp:int,l:string,r:string>>>"
@@ -37,7 +38,10 @@ def rule_table(rows: list[dict]) -> Column:
     for r in rows:
         full = {**r, "gl": len(r["g"]), "gb": len(r["g"].encode()), "pl": len(r["p"])}
         by_first.setdefault(r["g"][0], []).append(full)
-    return F.from_json(F.lit(json.dumps(by_first, ensure_ascii=False)), _RULES)
+    # A map is read from its start: the most frequent letters go first.
+    common = {c: i for i, c in enumerate("esaitnrulodcmpévqfbghjàxèyêzçûîôâœïùkw")}
+    ordered = dict(sorted(by_first.items(), key=lambda kv: common.get(kv[0], 99)))
+    return F.from_json(F.lit(json.dumps(ordered, ensure_ascii=False)), _RULES)
 
 
 def _empty(kind: str) -> Column:
@@ -415,14 +419,22 @@ def fold_steps(df: DataFrame, steps: list[dict], rules: list[dict] | None = None
     table = rule_table(rules or G.french_rules())
     data = F.from_json(F.lit(json.dumps(steps, ensure_ascii=False)), f"array<{_STEP}>")
     return df.withColumn(
-        "st", let(table, lambda t: let(data, lambda s: F.aggregate(F.array(F.lit(0)), F.col("st"), lambda a, _: _run_steps(t, a, s))))
+        "st", computed_once(let(table, lambda t: let(data, lambda s: _run_steps(t, F.col("st"), s))))
     )
 
 
+def spread_words(lexicon: DataFrame) -> DataFrame:
+    """Words over all cores. A lexicon is small in bytes, so adaptive planning would put it
+    into a task or two, but each word costs far more than moving it."""
+    spark = lexicon.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lexicon.repartition(n, "ortho", "phon")
+
+
 def align_lexicon(lexicon: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """Add ``path`` and ``surprise``; both null for rows that cannot be explained."""
     table = rule_table(rules or G.french_rules())
-    a = lexicon.withColumn("_a", let(table, lambda t: align(t, F.col("ortho"), F.col("phon"))))
+    a = spread_words(lexicon).withColumn("_a", computed_once(let(table, lambda t: align(t, F.col("ortho"), F.col("phon")))))
     return a.select(*lexicon.columns, F.col("_a.path").alias("path"), F.col("_a.surprise").alias("surprise"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.functions import text as T
+from graphie.functions.plan import computed_once
 from graphie.operators.dictionary import Dictionary
 from graphie.operators.lookup import Find, Lookup, constant_lookup, with_lookups
 
@@ -108,7 +109,7 @@ def respell(
         [table],
         "_r",
         lambda find: F.transform("_w", lambda w: respell_word(w, find, m, convert_uppercase)),
-    ).withColumn("_n", replaced(F.col("_w"), F.col("_r")))
+    ).withColumn("_n", computed_once(replaced(F.col("_w"), F.col("_r"))))
     out = [F.when(F.col("_t").isNotNull(), T.weave(T.separators("_t", pattern), "_n")).alias(out_col)]
     if count_col:
         out.append(changed_count("_w", "_n").alias(count_col))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.functions import graphemes as G
+from graphie.functions.plan import computed_once
 from graphie.operators import lexicon as X
 from graphie.operators import phonetics as P
 from graphie.operators import rulesets as RS
@@ -355,7 +356,7 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
             if pending:
                 df = P.fold_steps(df, pending)
                 pending = []
-            df = df.withColumn("st", rule.project(F.col("st")))
+            df = df.withColumn("st", computed_once(rule.project(F.col("st"))))
     return P.fold_steps(df, pending) if pending else df
 
 
@@ -407,7 +408,7 @@ def respell_lexicon(
     )
     aligned = P.with_state(P.align_lexicon(usable.filter("_m")))
     aligned = aligned.withColumn("_plain", F.col("st")).withColumn(
-        "st", F.when(F.col("path").isNotNull(), respell_ligatures(F.col("st")))
+        "st", computed_once(F.when(F.col("path").isNotNull(), respell_ligatures(F.col("st"))))
     )
     oe = F.col("st.ortho")
     two = F.coalesce(oe != F.col("ortho"), F.lit(False))

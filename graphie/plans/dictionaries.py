@@ -223,13 +223,9 @@ post AS (SELECT ortho AS old, replace(ortho, 'ê', 'e') AS new FROM lexicon WHER
 
 
 def ranked(spark, sf):
-    from pyspark.sql import Window as W
-
-    v = vocabulary(spark, sf)
-    lx = v.select(F.col("word").alias("ortho"), "n")
-    # Ranks come from a total order; numbering without a partition is only for this input.
-    rank = F.row_number().over(W.orderBy(F.col("n").desc(), "ortho"))
-    return lx.select("ortho", rank.cast("bigint").alias("rank"))
+    """``ortho, n, rank``: words from the most frequent on."""
+    v = vocabulary(spark, sf).withColumnRenamed("word", "ortho")
+    return X.numbered(v, [F.col("n").desc(), F.col("ortho")]).select("ortho", "rank")
 
 
 @query(
