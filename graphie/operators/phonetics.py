@@ -22,7 +22,9 @@ from graphie.functions import graphemes as G
 from graphie.functions.plan import computed_once
 
 PATH = "array<struct<g:string,p:string,i:int,j:int,s:int>>"
-_RULES = "map<string,array<struct<g:string,gl:int,gb:int,p:string,pl:int,imp:int,l:string,r:string>>>"
+_ENTRIES = "array<struct<g:string,gl:int,gb:int,core:boolean,ctx:int,sounds:array<struct<p:string,pl:int,imp:int>>>>"
+_RULES = f"map<string,{_ENTRIES}>"
+_EDGES = "array<struct<g:string,gl:int,p:string,pl:int,s:int>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,18 +32,45 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rule_table(rows: list[dict]) -> Column:
-    """Grapheme rules by first letter, as a constant. The table is a fixed, small size."""
-    if len(rows) > 10_000:
-        raise ValueError("a grapheme table of this size is not a constant")
-    by_first: dict[str, list[dict]] = {}
-    for r in rows:
-        full = {**r, "gl": len(r["g"]), "gb": len(r["g"].encode()), "pl": len(r["p"])}
-        by_first.setdefault(r["g"][0], []).append(full)
-    # A map is read from its start: the most frequent letters go first.
-    common = {c: i for i, c in enumerate("esaitnrulodcmpévqfbghjàxèyêzçûîôâœïùkw")}
-    ordered = dict(sorted(by_first.items(), key=lambda kv: common.get(kv[0], 99)))
-    return F.from_json(F.lit(json.dumps(ordered, ensure_ascii=False)), _RULES)
+class RuleTable:
+    """Grapheme rules by first letter, as a constant; a fixed, small size.
+
+    Sounds of a grapheme in one context share an entry. Contexts are numbered, and
+    tested by patterns that are part of the expression, so that they are compiled once.
+    """
+
+    def __init__(self, rows: list[dict]):
+        if len(rows) > 10_000:
+            raise ValueError("a grapheme table of this size is not a constant")
+        self.contexts = sorted({(r["l"], r["r"]) for r in rows} - {("", "")})
+        entries: dict[tuple, dict] = {}
+        for r in rows:
+            ctx = 1 + self.contexts.index((r["l"], r["r"])) if (r["l"], r["r"]) != ("", "") else 0
+            e = entries.setdefault(
+                (r["g"], ctx),
+                {"g": r["g"], "gl": len(r["g"]), "gb": len(r["g"].encode()), "core": False, "ctx": ctx, "sounds": []},
+            )
+            e["core"] = e["core"] or r["imp"] == G.CORE
+            e["sounds"].append({"p": r["p"], "pl": len(r["p"]), "imp": r["imp"]})
+        by_first: dict[str, list[dict]] = {}
+        for e in entries.values():
+            by_first.setdefault(e["g"][0], []).append(e)
+        # A map is read from its start: the most frequent letters go first.
+        common = {c: i for i, c in enumerate("esaitnrulodcmpévqfbghjàxèyêzçûîôâœïùkw")}
+        self._rows = dict(sorted(by_first.items(), key=lambda kv: common.get(kv[0], 99)))
+
+    def within(self, build: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+        """``build(align)`` where ``align(word, phon)`` is the alignment by this table."""
+        table = F.from_json(F.lit(json.dumps(self._rows, ensure_ascii=False)), _RULES)
+        return let(table, lambda t: build(lambda w, p: align(t, self.contexts, w, p)))
+
+
+def _in_context(contexts: list[tuple[str, str]], number: Column, before: Column, after: Column) -> Column:
+    out = F.when(number == 0, True)
+    for i, (left, right) in enumerate(contexts, 1):
+        tests = [c for c in (before.rlike(left) if left else None, after.rlike(right) if right else None) if c is not None]
+        out = out.when(number == i, tests[0] if len(tests) == 1 else tests[0] & tests[1])
+    return out
 
 
 def _empty(kind: str) -> Column:
@@ -53,7 +82,7 @@ def _sub(s: Column, start: Column, n: Column) -> Column:
     return F.substr(s, start + 1, n)
 
 
-def align(rules: Column, word: Column, phon: Column) -> Column:
+def align(rules: Column, contexts: list[tuple[str, str]], word: Column, phon: Column) -> Column:
     """``struct<path, surprise>`` or null when the word cannot sound like that."""
 
     def inner(x: Column) -> Column:
@@ -62,27 +91,35 @@ def align(rules: Column, word: Column, phon: Column) -> Column:
         ended = F.concat(w, F.lit("$"))
 
         def edges(i: Column) -> Column:
-            def fits(r: Column) -> Column:
-                before = (r["l"] == "") | F.rlike(F.substr(w, F.lit(1), i), r["l"])
-                after = (r["r"] == "") | F.rlike(F.substr(w, i + r["gl"] + 1), r["r"])
-                return (_sub(ended, i, r["gl"]) == r["g"]) & before & after
-
-            found = F.filter(F.try_element_at(rules, _sub(w, i, F.lit(1))), fits)
+            def from_here(rest: Column) -> Column:
+                found = F.filter(
+                    F.try_element_at(rules, F.substr(rest, F.lit(1), F.lit(1))),
+                    lambda r: F.startswith(rest, r["g"])
+                    & _in_context(contexts, r["ctx"], F.substr(w, F.lit(1), i), F.substr(w, i + r["gl"] + 1)),
+                )
+                return let(F.coalesce(found, _empty(_ENTRIES)), scored)
 
             def scored(c: Column) -> Column:
-                core = F.transform(F.filter(c, lambda r: r["imp"] == G.CORE), lambda r: r["gb"])
-                return let(
-                    F.coalesce(F.array_max(core), F.lit(0)),
-                    lambda longest: F.transform(
-                        c,
-                        lambda r: F.struct(
-                            r["g"].alias("g"), r["gl"].alias("gl"), r["p"].alias("p"), r["pl"].alias("pl"),
-                            F.when((r["imp"] == G.SURPRISING) | (r["gb"] < longest), 1).otherwise(0).alias("s"),
-                        ),
-                    ),
-                )
+                core = F.transform(F.filter(c, lambda r: r["core"]), lambda r: r["gb"])
+
+                def sounded(longest: Column) -> Column:
+                    # Sounds that the word does not have anywhere are left out at once.
+                    return F.flatten(
+                        F.transform(
+                            c,
+                            lambda r: F.transform(
+                                F.filter(r["sounds"], lambda s: F.contains(p, s["p"])),
+                                lambda s: F.struct(
+                                    r["g"].alias("g"), r["gl"].alias("gl"), s["p"].alias("p"), s["pl"].alias("pl"),
+                                    F.when((s["imp"] == G.SURPRISING) | (r["gb"] < longest), 1).otherwise(0).alias("s"),
+                                ),
+                            ),
+                        )
+                    )
+
+                return let(F.coalesce(F.array_max(core), F.lit(0)), sounded)
 
-            return let(F.coalesce(found, _empty(_RULES[11:-1])), scored)
+            return let(F.substr(ended, i + 1), from_here)
 
         def solve(e: Column) -> Column:
             # reach[k]: sound positions from which position n + 1 - k can finish.
@@ -345,7 +382,7 @@ def _candidates(st: Column, sp: Column, pos: Column) -> Column:
     )
 
 
-def _run_steps(rules: Column, state: Column, steps: Column) -> Column:
+def _run_steps(align_: Callable[[Column, Column], Column], state: Column, steps: Column) -> Column:
     def one_step(st: Column, sp: Column) -> Column:
         begun = F.struct(
             *[st[c].alias(c) for c in ("ortho", "phon", "lemme", "h", "path", "surprise")],
@@ -369,7 +406,7 @@ def _run_steps(rules: Column, state: Column, steps: Column) -> Column:
 
             def tried(cands: Column) -> Column:
                 def judged(c: Column) -> Column:
-                    return F.struct(c.alias("c"), align(rules, c["ortho"], c["phon"]).alias("a"))
+                    return F.struct(c.alias("c"), align_(c["ortho"], c["phon"]).alias("a"))
 
                 def good(x: Column) -> Column:
                     free = sp["kind"].isin("all", "sound")
@@ -416,10 +453,10 @@ def _run_steps(rules: Column, state: Column, steps: Column) -> Column:
 def fold_steps(df: DataFrame, steps: list[dict], rules: list[dict] | None = None) -> DataFrame:
     """Run a table of steps on the ``st`` column. The table is data: the expression has
     the same size for one step or a hundred."""
-    table = rule_table(rules or G.french_rules())
+    table = RuleTable(rules or G.french_rules())
     data = F.from_json(F.lit(json.dumps(steps, ensure_ascii=False)), f"array<{_STEP}>")
     return df.withColumn(
-        "st", computed_once(let(table, lambda t: let(data, lambda s: _run_steps(t, F.col("st"), s))))
+        "st", computed_once(table.within(lambda a: let(data, lambda s: _run_steps(a, F.col("st"), s))))
     )
 
 
@@ -433,8 +470,8 @@ def spread_words(lexicon: DataFrame) -> DataFrame:
 
 def align_lexicon(lexicon: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """Add ``path`` and ``surprise``; both null for rows that cannot be explained."""
-    table = rule_table(rules or G.french_rules())
-    a = spread_words(lexicon).withColumn("_a", computed_once(let(table, lambda t: align(t, F.col("ortho"), F.col("phon")))))
+    table = RuleTable(rules or G.french_rules())
+    a = spread_words(lexicon).withColumn("_a", computed_once(table.within(lambda a: a(F.col("ortho"), F.col("phon")))))
     return a.select(*lexicon.columns, F.col("_a.path").alias("path"), F.col("_a.surprise").alias("surprise"))
 
 

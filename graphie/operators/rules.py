@@ -241,7 +241,7 @@ def _il_y(st: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(st["path"], one), ""), r"\$$", "")
 
 
-def _accept(rules: Column, st: Column, ortho: Column, phon: Column, regardless: bool = False) -> Column:
+def _accept(align: Callable[[Column, Column], Column], st: Column, ortho: Column, phon: Column, regardless: bool = False) -> Column:
     """The state with a new spelling if it is plausible, else as it was."""
 
     def judged(a: Column) -> Column:
@@ -251,21 +251,21 @@ def _accept(rules: Column, st: Column, ortho: Column, phon: Column, regardless:
             _with(st, ortho=ortho, phon=phon, path=a["path"], surprise=a["surprise"]),
         ).otherwise(st)
 
-    return P.let(P.align(rules, ortho, phon), judged)
+    return P.let(align(ortho, phon), judged)
 
 
 def _checked(new: Callable[[Column], Column], regardless: bool = False, phon: Callable[[Column], Column] | None = None) -> Project:
     def project(st: Column) -> Column:
-        def go(table: Column) -> Column:
+        def go(align: Callable[[Column, Column], Column]) -> Column:
             pair = F.struct(new(st).alias("o"), (phon(st) if phon else st["phon"]).alias("p"))
             return P.let(
                 pair,
                 lambda x: F.when(
                     x["o"].isNull() | x["p"].isNull() | (x["o"] == st["ortho"]) | (F.size(st["path"]) == 0), st
-                ).otherwise(_accept(table, st, x["o"], x["p"], regardless)),
+                ).otherwise(_accept(align, st, x["o"], x["p"], regardless)),
             )
 
-        return P.let(P.rule_table(G.french_rules()), go)
+        return P.RuleTable(G.french_rules()).within(go)
 
     return project
 
