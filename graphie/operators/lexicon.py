@@ -182,6 +182,7 @@ def reconcile(primary: DataFrame, secondary: DataFrame, never: list[str] = []) -
 
 # --- tagged word dumps -----------------------------------------------------------
 
+SALTS = 16
 # Fixed values.
 RECTIFIED_TAG = "orthographe rectifiée de 1990"
 TRADITIONAL_TAG = "orthographe traditionnelle"
@@ -251,7 +252,9 @@ def match_by_sound(tagged: DataFrame, exact_ratio: bool = True) -> DataFrame:
     sounds the same and has the same ending in s or x.
 
     A word counts as traditional only if its first tagged definition says so; any
-    definition can make it a rectified one. Pairs only form within one sound.
+    definition can make it a rectified one. Pairs only form within one sound. A sound
+    that very many words share is split over tasks by the traditional word, and the best
+    match is kept before anything is shuffled again.
     """
     def keyed(df, name):
         return df.select(
@@ -271,7 +274,8 @@ def match_by_sound(tagged: DataFrame, exact_ratio: bool = True) -> DataFrame:
     old = keyed(firsts, "old")
     new = keyed(tagged.filter(F.col("rect") & ~F.col("trad")), "new").distinct()
     keys = ["ipa", "ends_s", "ends_x"]
-    pairs = old.join(new, keys)
+    spread = new.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = old.withColumn("_salt", F.pmod(F.hash("old"), F.lit(SALTS))).join(spread, [*keys, "_salt"])
     ratio = sequence_ratio("old", "new") if exact_ratio else edit_ratio(F.col("old"), F.col("new"))
     # The smallest word breaks ties of closeness.
     scored = pairs.withColumn("r", ratio)

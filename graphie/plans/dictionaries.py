@@ -289,9 +289,15 @@ def apply_plain_rules(spark, sf):
     return RS.apply_plain_rules(v, "old", [("eaux", "ôs"), ("eau", "ô"), ("que", "qe")])
 
 
-@query("interpret_rulesets")
+@query(
+    "interpret_rulesets",
+    """WITH n(name, pos) AS (VALUES ('qu/q', 0), ('ti/ci', 1), ('alfonic', 2)), p AS (SELECT DISTINCT split_part(url, '/', 3) AS ruleset FROM pages)
+SELECT ruleset, array_to_string(list_sort(list(name)), ' ') AS "desc", 'fr' AS lang, bool_and(name <> 'alfonic') AS supports_repeated_rewrites,
+  CASE WHEN NOT bool_or(name = 'alfonic') THEN 's' END AS marker, bool_or(name = 'oe') AS oe, bool_or(name = '1990') AS rect1990
+FROM p JOIN n ON (length(ruleset) + pos) % 2 = 0 GROUP BY 1""",
+)
 def interpret_rulesets(spark, sf):
-    """Rule sets named by the page languages, with their combined properties."""
+    """Rule sets named after page hosts, with their combined properties."""
     pages = table(spark, sf, "pages").select(F.element_at(F.split("url", "/"), 3).alias("ruleset")).distinct()
     names = spark.createDataFrame([("qu/q", 0), ("ti/ci", 1), ("alfonic", 2)], "name string, pos int")
     even = pages.join(names, (F.length("ruleset") + F.col("pos")) % 2 == 0)
