@@ -21,6 +21,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphie.functions.plan import computed_once
+
 Find = Callable[[Column], Column]
 MAX_ROWS = 1_000_000
 MAX_BYTES = 48 << 20
@@ -64,11 +66,14 @@ def with_lookups(df: DataFrame, lookups: list[Lookup], name: str, build: Callabl
 
     Each table is bound once, as a lambda variable, however often ``find`` is used.
     The subquery stands in a projection of its own, which the optimizer merges into the
-    one that uses it (a single reference), so no row ever carries the table.
+    one that uses it (a single reference), so no row ever carries the table. The marker
+    below keeps that projection from being merged downwards instead, with columns that
+    could not be moved up again.
     """
     cols = [F.col(c) for c in df.columns if c != name]
     tables = [f"_lookup{i}" for i in range(len(lookups))]
-    inner = df.select("*", *[x.table.scalar().alias(t) for x, t in zip(lookups, tables)])
+    marked = df.withColumn("_row", computed_once(F.lit(True)))
+    inner = marked.select("*", *[x.table.scalar().alias(t) for x, t in zip(lookups, tables)])
 
     def bind(i: int, finds: list[Find]) -> Column:
         if i == len(lookups):
@@ -77,7 +82,7 @@ def with_lookups(df: DataFrame, lookups: list[Lookup], name: str, build: Callabl
             F.transform(F.array(tables[i]), lambda t: bind(i + 1, finds + [lookups[i].finder(t)])), F.lit(0)
         )
 
-    return inner.select(*cols, bind(0, []).alias(name))
+    return inner.select(*cols, F.when(F.col("_row"), bind(0, [])).alias(name))
 
 
 def constant_lookup(

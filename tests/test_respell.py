@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphie.functions import text as T
+from graphie.operators import language as L
 from graphie.operators import respell as R
 from graphie.operators.dictionary import Dictionary
 
@@ -99,4 +100,18 @@ def test_plan_has_no_shuffle_and_no_join(spark, sf):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     # The lookup table never becomes a column of the rows.
-    assert not any("_lookup" in line for line in plan.splitlines() if "Scan" in line or "ArrowEval" in line)
+    assert "subquery" in plan and "AS _lookup" not in plan
+
+
+def test_no_plan_carries_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    d = Dictionary.of(spark, {"de": "dé"})
+    coll = spark.createDataFrame([("de",)], "entry string")
+    counts = spark.createDataFrame([("fr", "es", 3), ("en", "th", 1)], "lang string, digram string, n long")
+    for df in (
+        R.respell(docs, "text", d, marker="s", count_col="n").filter("n > 1"),
+        R.respell_guarded(docs, "text", d, coll, F.lit(True), marker="s", count_col="n").filter("n > 1"),
+        L.language_score(docs, "text", L.fit_digram_model(counts)).filter("is_foreign"),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ubquery" in plan and "AS _lookup" not in plan
