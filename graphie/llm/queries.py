@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphie.llm import chat, language_id, licences, mixing, topk, toxicity
+from graphie.llm import chat, decontamination, jaccard_join, language_id, licences, mixing, private, topk, toxicity
 from graphie.llm.shared import fold_of, read_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,16 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_matches(read_documents(spark, sf_dir), licences.known_licences(spark))
 
 
+@query("op6_jaccard_join")
+def jaccard_join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_decontamination")
+def decontamination_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
@@ -82,6 +92,13 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_private_surrogates")
+def private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    done = private.anonymise(docs, private.collision_salts(docs))
+    return done.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), "entities")
+
+
 @query(
     "op10_exact_top_k",
     """
