@@ -5,16 +5,18 @@ and by hash otherwise; two linked sets share a token within the first n - ceil(0
 Classes that share such a token go through two steps:
 
 1. A star: each class is compared with the one class, among those it shares tokens with, that has
-   a shared token earliest in its order (the one with the fewest tokens of its own). Verified stars
-   join whole families of near copies with one comparison a class.
+   the fewest prefix tokens of its own. Verified stars join most of a family of near copies with one
+   comparison a class.
 2. A prefix tree: for each shared token whose classes are still in different components, the
    prefixes are stored in a tree, blocks of bounded size each. Classes outside the token's largest
    component walk the trees: paths share the overlap counted so far, and a subtree is left when the
    remaining lengths cannot reach the overlap that is needed, or when it holds the same component
-   only. What survives is verified on the whole sets.
+   only. A histogram of each whole set bounds the overlap from above as well. What survives is
+   verified on the whole sets: first the best candidate of each class and component, then, with the
+   components joined anew, all that is left.
 
-Every pair of linked classes is either in one component after step 1 or met in step 2, so the
-components are exact. No group is gathered whole, and members of a family are not paired off.
+Every pair of linked classes is either in one component or met in the last walk, so the components
+are exact. No group is gathered whole, and members of a family are not paired off.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ NEEDED = (85, 100)
 COUNTED = 0.2  # the share of a set, by hash, in which frequent tokens are looked for
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 BLOCK = 2000
+BUCKETS = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_CODES = np.arange(1, 257, dtype=np.uint64)
+_CODES[65:91] += np.uint64(32)
+_CODES[[32, *range(9, 14)]] = 0  # the six spaces
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,32 +52,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the words of a byte text, A-Z lower-cased: a polynomial over the bytes of each word, mixed."""
-    space = _SPACE[data]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(int((ends - starts).max()) - 1, _M1)])
-    codes = _LOWER[data].astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    place = np.where(space, 0, place)
-    terms = np.where(space, np.uint64(0), codes * powers[np.minimum(place, len(powers) - 1)])
-    sums = np.add.reduceat(terms, starts)
-    return _mixed(sums + (ends - starts).astype(np.uint64) * _M2)
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, kept between calls."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((int(_M1), pow(int(_M1), -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+    return _POWERS
+
+
+def gram_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct 63-bit hashes of its word 4-grams; of the whole sequence with fewer words.
+
+    All texts are hashed side by side: a word is the difference of running polynomial sums, A-Z lower-cased.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    firsts = np.cumsum([0, *(len(x) + 1 for x in parts)])
+    codes = _CODES[np.frombuffer(b" ".join([*parts, b""]), np.uint8)]
+    ahead, back = _powers(len(codes) + 1)
+    word = np.r_[False, codes > 0, False]
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    codes *= ahead[: len(codes)]
+    sums = np.r_[np.uint64(0), np.cumsum(codes)]
+    w = _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _M2)
+
+    def grams(w: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(max(0, len(w) - k + 1), np.uint64(k), np.uint64)
+        for i in range(k):
+            h = _mixed(h * _M2 + w[i : len(h) + i])
+        return (h >> np.uint64(1)).astype(np.int64)
+
+    of_text = np.searchsorted(starts, firsts)
+    every, out = grams(w, GRAM), []
+    for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist()):
+        if b - a >= GRAM:
+            h = np.sort(every[a : b - GRAM + 1])
+            out.append(h[np.r_[True, h[1:] != h[:-1]]])
+        else:
+            out.append(grams(w[a:b], b - a) if b > a else np.zeros(0, np.int64))
+    return out
 
 
 def gram_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of the word 4-grams; of the whole sequence with fewer words."""
-    w = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-    if not len(w):
-        return np.zeros(0, np.int64)
-    k = min(GRAM, len(w))
-    h = np.full(len(w) - k + 1, np.uint64(k), np.uint64)
-    for i in range(k):
-        h = _mixed(h * _M2 + w[i : len(w) - k + 1 + i])
-    return np.unique((h >> np.uint64(1)).astype(np.int64))
+    return gram_sets([text])[0]
+
+
+def histogram(tokens: np.ndarray) -> np.ndarray:
+    """Numbers of tokens in ``BUCKETS`` classes of hashes; sums of least numbers bound an overlap from above."""
+    return np.minimum(np.bincount(tokens & (BUCKETS - 1), minlength=BUCKETS), (1 << 31) - 1).astype(np.int32)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -98,15 +122,16 @@ def prefix_length(n: int) -> int:
 
 
 def _text_map(docs: DataFrame, schema: str, row, keys: int):
-    """mapInArrow over rows whose last column is a text; ``row(keys..., text)`` gives the output rows."""
+    """mapInArrow over rows whose last column is a text; ``row(keys..., set)`` gives the output rows."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
-    kinds = [{"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[x.strip().split(" ")[1]] for x in schema.split(", ")]
+    of = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
+    kinds = [of[x.strip().split(" ")[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in pieces(batch.column(keys)):
-                cols = [batch.column(i).slice(at, n).to_pylist() for i in range(keys + 1)]
-                out = [row(*r) for r in zip(*cols)]
+                cols = [batch.column(i).slice(at, n).to_pylist() for i in range(keys)]
+                out = [row(*r) for r in zip(*cols, gram_sets(batch.column(keys).slice(at, n).to_pylist()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -115,8 +140,7 @@ def _text_map(docs: DataFrame, schema: str, row, keys: int):
 def frequent_tokens(docs: DataFrame, text: str) -> np.ndarray:
     """Up to ``MOST_FREQUENT`` tokens of the most documents, sorted. They only set the order: any choice is right."""
 
-    def row(t):
-        tokens = gram_set(t)
+    def row(tokens):
         return (tokens[: int(len(tokens) * COUNTED) + 1],)
 
     tokens = _text_map(docs.select(F.col(text).alias("t")), "tokens array<bigint>", row, 0).select(F.explode("tokens").alias("token"))
@@ -151,13 +175,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose prefixes leave the needed overlap possible. Columns a, b, n_a, n_b, p_a, p_b, t_a, t_b."""
+    """Pairs whose lengths and histograms leave the needed overlap possible. Columns a, b, n_a, n_b, h_a, h_b."""
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(2, 8)]
-        keep = [reachable(*r) for r in zip(*cols)]
+        n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+        keep = bound(_histograms(batch.column(4).to_pylist()), _histograms(batch.column(5).to_pylist())) >= least_overlap(n_a, n_b)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _histograms(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.int32).reshape(-1, BUCKETS)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(axis=1)
+
+
 def reachable(n_a: int, n_b: int, p_a: list[int], p_b: list[int], t_a: list[int], t_b: list[int]) -> bool:
     """Whether two sets can still overlap enough, by the shared tokens in their prefixes and the lengths after the last."""
     part, whole = NEEDED
@@ -222,23 +254,58 @@ def walk(tree: Tree, tokens: list[int], places: list[int], n: int, label: int, t
     return found
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (token, block) in order, indexed classes before walkers; yields candidate pairs."""
-    key, tree, rows = None, None, {}
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for token, block, walks, own, n, label, tokens, places in zip(*(batch.column(i).to_pylist() for i in range(8))):
-            if (token, block) != key:
-                key, tree, rows = (token, block), Tree(), {}
-            if not walks:
-                tree.add(tokens, (own, n, label, places))
-                rows[own] = (n, tokens, places)
-                continue
-            for other, size in walk(tree, tokens, places, n, label, token):
-                m, their, at = rows[other]
-                if reachable(n, m, places, at, tokens, their):
-                    out.append((min(own, other), max(own, other)))
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _meet(best: bool):
+    """Candidate pairs from rows of (token, block) in order, indexed classes before walkers.
+
+    With ``best``, one candidate for each walker and component, that of the greatest bound; else all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, rows, held, matrix, sizes, labels = None, Tree(), {}, [], None, None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for token, block, walks, own, n, label, tokens, places, h in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if (token, block) != key:
+                    key, tree, rows, held, matrix = (token, block), Tree(), {}, [], None
+                if not walks:
+                    tree.add(tokens, (own, n, label, places))
+                    rows[own] = len(held)
+                    held.append((n, tokens, places, h, label))
+                    continue
+                if matrix is None:
+                    matrix = _histograms([x[3] for x in held])
+                    sizes, labels = np.array([x[0] for x in held]), np.array([x[4] for x in held])
+                most = np.minimum(matrix, np.frombuffer(h, np.int32)).sum(axis=1)
+                can = (most >= least_overlap(n, sizes)) & (labels != label)
+                if not can.any():
+                    continue
+                found: dict[int, tuple[int, int]] = {}
+                for other, _ in walk(tree, tokens, places, n, label, token):
+                    i = rows[other]
+                    if can[i] and reachable(n, held[i][0], places, held[i][2], tokens, held[i][1]):
+                        group = int(labels[i]) if best else other
+                        found[group] = max(found.get(group, (-1, 0)), (int(most[i]), other))
+                out += [(min(own, other), max(own, other)) for _, other in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
+    """Candidates ``a, b`` in different components, for the tokens whose classes are in several."""
+    labelled = nodes.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    labelled = stored(labelled, "labelled")
+    at = labelled.select("set_id", "label", F.explode("token").alias("key"))
+    per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m")).filter("labels > 1")
+    per = per.select("key", F.ceil(F.col("g") / F.lit(BLOCK)).alias("blocks"), F.col("m.label").alias("main"))
+    at = at.join(per, "key").select("key", "blocks", "set_id", (F.col("label") != F.col("main")).alias("walks"))
+    walkers = at.filter("walks").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "walks", "set_id")
+    indexed = at.select("key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(False).alias("walks"), "set_id")
+    met = indexed.unionByName(walkers).join(labelled.hint("merge"), "set_id")
+    met = met.select("key", "block", "walks", "set_id", "n", "label", "token", "place", "hist")
+    met = met.repartition("key", "block").sortWithinPartitions("key", "block", "walks")
+    return met.mapInArrow(_meet(best), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -248,14 +315,13 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text
     needed = needed.select("set_id", F.col("first").alias("_first"))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("t")).join(needed, F.col("_key") == F.col("_first"))
 
-    def row(own, t):
-        tokens = gram_set(t)
+    def row(own, tokens):
         return own, set_id(tokens), tokens
 
     sets = _text_map(rows.select("set_id", "t"), "set_id bigint, found bigint, tokens array<bigint>", row, 1)
     # an id may be on several rows of different text: only the row of the class counts
     sets = stored(sets.filter("set_id = found").select("set_id", "tokens").dropDuplicates(["set_id"]), "sets")
-    both = pairs.join(sets.toDF("a", "t_a"), "a").join(sets.toDF("b", "t_b"), "b")
+    both = pairs.join(sets.toDF("a", "t_a").hint("merge"), "a").join(sets.toDF("b", "t_b").hint("merge"), "b")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,46 +344,40 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     """
     frequent = frequent_tokens(docs, text)
 
-    def row(own, t):
-        tokens = gram_set(t)
-        return own, len(tokens), set_id(tokens), ordered(tokens, frequent)[: prefix_length(len(tokens)) if len(tokens) else 0]
+    def row(own, tokens):
+        first = ordered(tokens, frequent)[: prefix_length(len(tokens)) if len(tokens) else 0]
+        return own, len(tokens), set_id(tokens), first, histogram(tokens).tobytes()
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    base = stored(_text_map(rows, "doc_id bigint, n_shingles bigint, set_id bigint, prefix array<bigint>", row, 1), "prefixes")
+    shape = "doc_id bigint, n_shingles bigint, set_id bigint, prefix array<bigint>, hist binary"
+    base = stored(_text_map(rows, shape, row, 1), "prefixes")
     member = base.select("doc_id", "n_shingles", "set_id")
     usable = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    first = stored(usable.groupBy("set_id").agg(F.min("doc_id").alias("first")), "classes")
+    first = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"), F.first(F.size("prefix")).alias("length"))
+    first = stored(first, "classes")
 
     each = usable.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
     shared = each.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low != high").select("token")
-    shared = stored(each.join(shared, "token").distinct(), "shared")
-    nodes = shared.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("p"))
-    nodes = stored(nodes.select("set_id", F.col("n").cast("int").alias("n"), "p.place", "p.token"), "nodes")
+    nodes = each.join(shared.hint("merge"), "token").distinct().groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("p"))
+    nodes = nodes.select("set_id", F.col("n").cast("int").alias("n"), "p.place", "p.token").join(first.hint("merge"), "set_id")
+    nodes = stored(nodes.withColumn("alone", F.col("length") - F.size("token")).drop("length"), "nodes")
 
     # 1. stars
-    centre = shared.groupBy("token").agg(F.min(F.struct("place", "set_id")).alias("c")).select("token", "c.set_id").toDF("token", "centre")
-    votes = shared.join(centre, "token").filter("set_id != centre").groupBy("set_id", "centre").agg(F.count(F.lit(1)).alias("c"))
+    at = nodes.select("set_id", "alone", F.explode("token").alias("token"))
+    centre = at.groupBy("token").agg(F.min(F.struct("alone", "set_id")).alias("c")).select("token", F.col("c.set_id").alias("centre"))
+    votes = at.join(centre.hint("merge"), "token").filter("set_id != centre").groupBy("set_id", "centre").agg(F.count(F.lit(1)).alias("c"))
     star = votes.groupBy("set_id").agg(F.max(F.struct("c", "centre")).alias("v")).select(F.col("set_id").alias("a"), F.col("v.centre").alias("b"))
-    sides = [nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("token").alias(f"t_{x}")) for x in "ab"]
-    star = star.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "p_a", "p_b", "t_a", "t_b")
+    sides = [nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"h_{x}")).hint("merge") for x in "ab"]
+    star = star.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "h_a", "h_b")
     links = verified(star.mapInArrow(_possible, "a bigint, b bigint"), first, docs, key, text)
-    found = stored(components(links), "components")
-
-    # 2. trees, for tokens whose classes are in several components
-    labelled = nodes.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    labelled = stored(labelled, "labelled")
-    at = labelled.select("set_id", "label", F.explode("token").alias("key"))
-    per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m")).filter("labels > 1")
-    per = per.select("key", F.ceil(F.col("g") / F.lit(BLOCK)).alias("blocks"), F.col("m.label").alias("main"))
-    at = labelled.select("set_id", "n", "label", "token", "place", F.explode("token").alias("key")).join(per, "key")
-    cols = ["set_id", "n", "label", "token", "place"]
-    indexed = at.select("key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(False).alias("walks"), *cols)
-    walkers = at.filter("label != main").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("walks"), *cols)
-    met = indexed.unionByName(walkers).repartition("key", "block").sortWithinPartitions("key", "block", "walks")
-    more = verified(met.mapInArrow(_meet, "a bigint, b bigint"), first, docs, key, text)
-    if more.limit(1).count():
-        found = components(links.union(more))
+    found = components(links)
+
+    # 2. trees
+    for best in (True, False):
+        more = verified(tree_pairs(nodes, found, best), first, docs, key, text)
+        if more.limit(1).count():
+            links = links.union(more)
+            found = components(links)
 
     labels = member.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
