@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphie.llm import chat, decontamination, jaccard_join, language_id, licences, mixing, private, topk, toxicity
+from graphie.llm import chat, decontamination, jaccard_join, language_id, licences, mixing, private, suffix_arrays, topk, toxicity
 from graphie.llm.shared import fold_of, read_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ FROM (SELECT doc_id, unit, sha256({canonical('t')}) AS digest FROM units) JOIN i
 GROUP BY ALL"""
 
 
+@query("op3_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.without_repeats(read_documents(spark, sf_dir)).drop("kept")
+
+
 @query("op4_language_id")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
