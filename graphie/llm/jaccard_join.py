@@ -36,6 +36,7 @@ NEEDED = (85, 100)
 COUNTED = 0.2  # the share of a set, by hash, in which frequent tokens are looked for
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 BLOCK = 2000
+BEFORE, DEPTH = 8, 40  # tokens of a prefix that travel with one of its tokens: some before it, and the depth of a tree
 BUCKETS = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODES = np.arange(1, 257, dtype=np.uint64)
@@ -97,8 +98,9 @@ def gram_set(text: str | None) -> np.ndarray:
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
-    """Numbers of tokens in ``BUCKETS`` classes of hashes; sums of least numbers bound an overlap from above."""
-    return np.minimum(np.bincount(tokens & (BUCKETS - 1), minlength=BUCKETS), (1 << 31) - 1).astype(np.int32)
+    """Numbers of tokens in ``BUCKETS`` classes of hashes; all 255 for a set with a larger one."""
+    counts = np.bincount(tokens & (BUCKETS - 1), minlength=BUCKETS)
+    return np.where(counts.max() > 255, 255, counts).astype(np.uint8)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -183,77 +185,134 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _histograms(cells: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), np.int32).reshape(-1, BUCKETS)
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(-1, BUCKETS)
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(axis=1)
+    """Sums of least bucket numbers bound an overlap from above; two sets too large for the buckets have no bound."""
+    full = (a == 255).all(axis=-1) & (b == 255).all(axis=-1)
+    return np.where(full, 1 << 40, np.minimum(a, b).sum(axis=-1, dtype=np.int64))
 
 
-def reachable(n_a: int, n_b: int, p_a: list[int], p_b: list[int], t_a: list[int], t_b: list[int]) -> bool:
-    """Whether two sets can still overlap enough, by the shared tokens in their prefixes and the lengths after the last."""
+def reachable(a: tuple, b: tuple) -> bool:
+    """Whether two sets can overlap enough, each (size, tokens, places, end), where no token before the first is shared.
+
+    Up to the smaller reach of the two in the global order all shared tokens are known; after it at
+    most as many follow as are left of either set. ``end`` is the place after the last token known.
+    """
+    (n_a, t_a, p_a, end_a), (n_b, t_b, p_b, end_b) = a, b
     part, whole = NEEDED
     if whole * min(n_a, n_b) < part * max(n_a, n_b):
         return False
     at = {t: p for t, p in zip(t_b, p_b)}
     common = [(p, at[t]) for t, p in zip(t_a, p_a) if t in at]
-    end_a, end_b = prefix_length(n_a), prefix_length(n_b)
-    # beyond the shorter reach of the two prefixes (in the global order) nothing is known
-    last = common[-1] if common else (-1, -1)
-    most = len(common) + min(n_a - last[0] - 1, n_b - last[1] - 1)
-    if t_a and t_b and common:  # tokens of the prefix that come after the last common one have no partner in the other's prefix
-        most = max(len(common) + min(n_a - end_a, n_b - last[1] - 1), len(common) + min(n_a - last[0] - 1, n_b - end_b))
-    return bool(common) and most >= least_overlap(n_a, n_b)
+    if not common:
+        return False
+    last_a, last_b = common[-1]
+    most = len(common) + max(min(n_a - end_a, n_b - last_b - 1), min(n_a - last_a - 1, n_b - end_b))
+    return most >= least_overlap(n_a, n_b)
 
 
 class Tree:
-    """Prefixes of one token's classes: nodes by token, each with its classes and the one component below it, if only one."""
+    """Prefixes of one token's classes: nodes by token, with the classes that end there, and all below as bits."""
 
-    __slots__ = ("below", "ends", "label")
+    __slots__ = ("below", "ends", "bits")
 
     def __init__(self):
-        self.below: dict[int, tuple[int, Tree]] = {}
-        self.ends: list[tuple[int, int, int, list[int]]] = []
-        self.label: int | None = None
+        self.below: dict[int, Tree] = {}
+        self.ends: list[int] = []
+        self.bits = 0
 
-    def add(self, tokens: list[int], member: tuple[int, int, int, list[int]]) -> None:
+    def add(self, tokens: list[int], member: int) -> None:
         node = self
-        for t in [None, *tokens]:
-            if t is not None:
-                node = node.below.setdefault(t, Tree())
-            node.label = member[2] if node.label is None or node.label == member[2] else -1
+        node.bits |= 1 << member
+        for t in tokens:
+            node = node.below.setdefault(t, Tree())
+            node.bits |= 1 << member
         node.ends.append(member)
 
 
-def walk(tree: Tree, tokens: list[int], places: list[int], n: int, label: int, token: int) -> list[tuple[int, int]]:
-    """Classes of other components that the tree cannot rule out, as (class, size).
+def walk(tree: Tree, tokens: list[int], places: list[int], n: int, token: int, wanted: int) -> list[int]:
+    """The wanted classes (bits) that the tree cannot rule out for a set of ``n`` tokens with this prefix from ``token`` on.
 
-    ``token`` must be the first one shared, so that a pair is met in one tree only. A node is left when
-    the tokens of the walker passed over make too many misses for any length, or its component is the walker's.
+    A subtree is left when nothing wanted is below, or when the tokens of the walker that were passed
+    over leave fewer than it must share with any partner.
     """
-    index = {t: i for i, t in enumerate(tokens)}
+    index = {t: p for t, p in zip(tokens, places)}
     part, whole = NEEDED
-    found: list[tuple[int, int]] = []
+    found: list[int] = []
     todo = [(tree, 0, -1)]
     while todo:
         node, shared, last = todo.pop()
-        if node.label == label:
-            continue
-        # of what follows the last shared token the walker can still match all; the least needed is by its own length
-        if shared and whole * (shared + n - places[last] - 1) < part * n:
-            continue
-        for member, size, own, their in node.ends:
-            if own != label and shared and whole * min(n, size) >= part * max(n, size):
-                found.append((member, size))
+        if shared:
+            found += [m for m in node.ends if wanted >> m & 1]
         for t, below in node.below.items():
-            i = index.get(t)
-            if i is None:
+            if not below.bits & wanted:
+                continue
+            place = index.get(t)
+            if place is None:
                 todo.append((below, shared, last))
-            elif shared or t == token:
-                todo.append((below, shared + 1, i))
+            elif (shared or t == token) and whole * (shared + n - place) >= part * n:
+                todo.append((below, shared + 1, place))
     return found
 
 
+def fitting(h: np.ndarray, n: np.ndarray, label: np.ndarray, m: int) -> np.ndarray:
+    """Rows (first m classes, then walkers) that a row of the other kind fits by size, component and histogram.
+
+    Rows are met by size, first in a quarter of the buckets, which are sums, then in all.
+    """
+    classes, walkers = np.argsort(n[:m], kind="stable"), m + np.argsort(n[m:], kind="stable")
+    sizes, rough = n[classes], h.reshape(len(h), -1, 4).sum(axis=2, dtype=np.int16)
+    full = (h == 255).all(axis=1)
+    rough[full] = 1 << 14
+    part, whole = NEEDED
+    seen: list[np.ndarray] = []
+    for at in range(0, len(walkers), 64):
+        w = walkers[at : at + 64]
+        low, high = np.searchsorted(sizes, -(-part * n[w[0]] // whole)), np.searchsorted(sizes, whole * n[w[-1]] // part, "right")
+        for first in range(low, high, 4096):
+            c = classes[first : min(high, first + 4096)]
+            need = least_overlap(n[w][:, None], n[c][None])
+            can = np.minimum(rough[w][:, None], rough[c][None]).sum(axis=2, dtype=np.int32) >= need
+            i, j = np.nonzero(can & (label[w][:, None] != label[c][None]))
+            ok = bound(h[w[i]], h[c[j]]) >= need[i, j]
+            seen += [np.unique(w[i[ok]]), np.unique(c[j[ok]])]
+    return np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (token, block) that some row of another component and fitting histogram stands against."""
+    rest: pa.Table | None = None
+    names = ["key", "block", "walks", "set_id", "i"]
+
+    def screened(table: pa.Table) -> pa.RecordBatch:
+        key, block, walks, n, label = (table.column(c).to_numpy() for c in ("key", "block", "walks", "n", "label"))
+        keep = np.zeros(len(key), bool)
+        cells = table.column("hist").to_pylist()
+        firsts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+        for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(key)]):
+            m = a + int(np.count_nonzero(~walks[a:b]))  # classes first, then walkers
+            if m == b:
+                continue
+            fits = fitting(_histograms(cells[a:b]), n[a:b], label[a:b], m - a)
+            keep[a + fits] = True
+        out = table.select(names).filter(pa.array(keep)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
+        last = np.flatnonzero((key != key[-1]) | (block != block[-1])) if len(key) else []
+        cut = int(last[-1]) + 1 if len(last) else 0
+        rest = table.slice(cut)
+        if cut:
+            yield screened(table.slice(0, cut))
+    if rest is not None and rest.num_rows:
+        yield screened(rest)
+
+
 def _meet(best: bool):
     """Candidate pairs from rows of (token, block) in order, indexed classes before walkers.
 
@@ -261,28 +320,32 @@ def _meet(best: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, rows, held, matrix, sizes, labels = None, Tree(), {}, [], None, None, None
+        key, tree, held, matrix, sizes, labels = None, Tree(), [], None, None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for token, block, walks, own, n, label, tokens, places, h in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            for token, block, walks, own, n, label, tokens, places, h, *tail in zip(*(batch.column(i).to_pylist() for i in range(11))):
+                i, cut = tail
+                before, tokens, places = set(tokens[:i]), tokens[i:], places[i:]
+                mine = (n, tokens, places, places[-1] + 1 if cut else prefix_length(n))
                 if (token, block) != key:
-                    key, tree, rows, held, matrix = (token, block), Tree(), {}, [], None
+                    key, tree, held, matrix = (token, block), Tree(), [], None
                 if not walks:
-                    tree.add(tokens, (own, n, label, places))
-                    rows[own] = len(held)
-                    held.append((n, tokens, places, h, label))
+                    tree.add(tokens, len(held))
+                    held.append((mine, before, h, label, own))
                     continue
                 if matrix is None:
-                    matrix = _histograms([x[3] for x in held])
-                    sizes, labels = np.array([x[0] for x in held]), np.array([x[4] for x in held])
-                most = np.minimum(matrix, np.frombuffer(h, np.int32)).sum(axis=1)
+                    matrix = _histograms([x[2] for x in held])
+                    sizes, labels = np.array([x[0][0] for x in held]), np.array([x[3] for x in held])
+                most = bound(matrix, np.frombuffer(h, np.uint8))
                 can = (most >= least_overlap(n, sizes)) & (labels != label)
                 if not can.any():
                     continue
                 found: dict[int, tuple[int, int]] = {}
-                for other, _ in walk(tree, tokens, places, n, label, token):
-                    i = rows[other]
-                    if can[i] and reachable(n, held[i][0], places, held[i][2], tokens, held[i][1]):
+                wanted = int.from_bytes(np.packbits(can, bitorder="little").tobytes(), "little")
+                for i in walk(tree, tokens, places, n, token, wanted):
+                    # pairs that share a token before this one are met there
+                    if before.isdisjoint(held[i][1]) and reachable(mine, held[i][0]):
+                        other = held[i][4]
                         group = int(labels[i]) if best else other
                         found[group] = max(found.get(group, (-1, 0)), (int(most[i]), other))
                 out += [(min(own, other), max(own, other)) for _, other in found.values()]
@@ -295,15 +358,20 @@ def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
     """Candidates ``a, b`` in different components, for the tokens whose classes are in several."""
     labelled = nodes.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = stored(labelled, "labelled")
-    at = labelled.select("set_id", "label", F.explode("token").alias("key"))
+    at = labelled.select("set_id", "label", F.posexplode("token").alias("i", "key"))
     per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m")).filter("labels > 1")
     per = per.select("key", F.ceil(F.col("g") / F.lit(BLOCK)).alias("blocks"), F.col("m.label").alias("main"))
-    at = at.join(per, "key").select("key", "blocks", "set_id", (F.col("label") != F.col("main")).alias("walks"))
-    walkers = at.filter("walks").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "walks", "set_id")
-    indexed = at.select("key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(False).alias("walks"), "set_id")
-    met = indexed.unionByName(walkers).join(labelled.hint("merge"), "set_id")
-    met = met.select("key", "block", "walks", "set_id", "n", "label", "token", "place", "hist")
+    at = at.join(per, "key").select("key", "blocks", "set_id", "i", (F.col("label") != F.col("main")).alias("walks"))
+    walkers = at.filter("walks").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "walks", "set_id", "i")
+    indexed = at.select("key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(False).alias("walks"), "set_id", "i")
+    small = labelled.select("set_id", "n", "label", "hist").hint("merge")
+    met = indexed.unionByName(walkers).join(small, "set_id").select("key", "block", "walks", "set_id", "i", "n", "label", "hist")
+    met = met.repartition("key", "block").sortWithinPartitions("key", "block", "walks")
+    met = met.mapInArrow(_screened, "key bigint, block bigint, walks boolean, set_id bigint, i int").join(labelled.hint("merge"), "set_id")
+    start = F.greatest(F.col("i") - BEFORE, F.lit(0))
+    near = [F.slice(c, start + 1, F.lit(DEPTH)).alias(c) for c in ("token", "place")]
+    met = met.select("key", "block", "walks", "set_id", "n", "label", *near, "hist", (F.col("i") - start).alias("i"), (F.size("token") > start + DEPTH).alias("cut"))
     met = met.repartition("key", "block").sortWithinPartitions("key", "block", "walks")
     return met.mapInArrow(_meet(best), "a bigint, b bigint")
 
