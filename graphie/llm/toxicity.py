@@ -35,10 +35,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def features(word: bytes) -> tuple[int, int, int]:
-    """Hashed form, beginning and end of a word."""
+def features(word: bytes) -> tuple[int, int, int, int]:
+    """Hashed form, beginning and end of a word, and place 0, which all words have."""
     w = word.strip(TRIM)
-    return crc32(w) % DIMS, crc32(w[:4], 1) % DIMS, crc32(w[-4:], 2) % DIMS
+    return 1 + crc32(w) % (DIMS - 1), 1 + crc32(w[:4], 1) % (DIMS - 1), 1 + crc32(w[-4:], 2) % (DIMS - 1), 0
 
 
 def forward_backward(unary: np.ndarray, trans: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -82,7 +82,7 @@ def stem(form: bytes) -> bytes:
 def toxic_forms(docs: list[tuple[str, int]], share: float = 0.02, ratio: float = 8.0) -> set[bytes]:
     """Forms, and stems written ``stem*``, that are frequent in toxic documents.
 
-    They occur in a ``share`` of the toxic documents (two at least), ``ratio`` times as often as in clean ones.
+    They occur in a ``share`` of the toxic documents (three at least), ``ratio`` times as often as in clean ones.
     """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     n = [0, 0]
@@ -91,7 +91,7 @@ def toxic_forms(docs: list[tuple[str, int]], share: float = 0.02, ratio: float =
         forms = {w.strip(TRIM) for w in set(words_of(text))} - {b""}
         seen[label].update(forms)
         seen[label].update({stem(w) for w in forms})
-    floor = max(2, share * n[1])
+    floor = max(3, share * n[1])
     return {w for w, c in seen[1].items() if c >= floor and c / max(n[1], 1) >= ratio * (seen[0][w] + 0.5) / max(n[0], 1)}
 
 
@@ -113,17 +113,18 @@ def train(docs: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5) -> M
     step = max(1, len(rest) // (2 * len(hot) + 500))
     rows = hot + rest[::step]
     t = max(len(r[0]) for r in rows)
-    feats, tags, live = np.zeros((len(rows), t, 3), np.int64), np.zeros((len(rows), t), np.int64), np.zeros((len(rows), t), bool)
+    feats, tags, live = np.zeros((len(rows), t, 4), np.int64), np.zeros((len(rows), t), np.int64), np.zeros((len(rows), t), bool)
     memo: dict[bytes, tuple] = {}
     for i, (words, ys) in enumerate(rows):
         for j, w in enumerate(words):
             feats[i, j] = memo.get(w) or memo.setdefault(w, features(w))
         tags[i, : len(ys)], live[i, : len(ys)] = ys, True
     weights, trans = np.zeros(DIMS), np.zeros((2, 2))
+    weights[0] = -3.0  # a word never seen is clean until learned otherwise
     sq_w, sq_t = np.full(DIMS, 1e-6), np.full((2, 2), 1e-6)
     gold_pair = np.zeros((2, 2))
     np.add.at(gold_pair, (tags[:, :-1], tags[:, 1:]), live[:, 1:])
-    used = np.repeat(live[:, :, None], 3, axis=2)
+    used = np.repeat(live[:, :, None], 4, axis=2)
     for _ in range(rounds):
         unary = np.stack([np.zeros(feats.shape[:2]), weights[feats].sum(axis=2)], axis=2) * live[:, :, None]
         marg, pair, _ = forward_backward(unary, trans, live)
@@ -154,10 +155,10 @@ class Unary(dict):
         self.weights, self.most = model.weights, most
 
     def __missing__(self, word: bytes) -> float:
-        a, b, c = features(word)
+        a, b, c, d = features(word)
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = float(self.weights[a] + self.weights[b] + self.weights[c])
+        value = self[word] = float(self.weights[a] + self.weights[b] + self.weights[c] + self.weights[d])
         return value
 
 
