@@ -110,7 +110,7 @@ def with_stop_entries(d: Dictionary, stops: list[str]) -> Dictionary:
     """
     spark = d.df.sparkSession
     s = spark.createDataFrame([(w,) for w in stops], "old string").distinct()
-    kept = d.df.select("old", "new").join(F.broadcast(s), "old", "left_anti")
+    kept = d.df.select("old", "new").join(s, "old", "left_anti")
     return Dictionary(kept.unionByName(s.withColumn("new", F.lit(""))), d.meta)
 
 

@@ -55,7 +55,7 @@ def fit_digram_model(counts: DataFrame, overrides: dict[str, dict[str, float]] |
     if not fixed:
         return fitted
     extra = counts.sparkSession.createDataFrame(fixed, "lang string, digram string, entropy double")
-    return fitted.join(F.broadcast(extra), ["lang", "digram"], "left_anti").unionByName(extra)
+    return fitted.join(extra, ["lang", "digram"], "left_anti").unionByName(extra)
 
 
 def _paired(model: DataFrame, first: str, second: str) -> DataFrame:
@@ -177,23 +177,3 @@ def plausibly_lang(
             detected_share.isNotNull(), F.when(~empty, detected_share >= MIN_SHARE)
         ).otherwise(gate)
     return gate
-
-
-def page_sample(segments: DataFrame, key: str, text_col: str = "text", order: str = "seq") -> DataFrame:
-    """Visible, non-blank text of a page, one segment per line: what the gate reads.
-
-    ``segments`` come from one page row each, so a page's segments are bounded by
-    the page; prefer ``visible_text`` on the page row itself, which does not shuffle.
-    """
-    return (
-        segments.filter(~F.col("hidden") & F.col(text_col).rlike(r"\S"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct(order, F.col(text_col).alias("t")))).alias("s"))
-        .select(key, F.concat(F.array_join(F.transform("s", lambda x: x["t"]), "\n"), F.lit("\n")).alias("sample"))
-    )
-
-
-def top_digrams(counts: DataFrame, k: int) -> DataFrame:
-    """The k most frequent digrams of each language, ties by digram."""
-    w = W.partitionBy("lang").orderBy(F.col("n").desc(), "digram")
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Limits on a custom rule text.
-MAX_SPEC_BYTES = 1000
-MAX_RULES = 100
-
 # Where a named rule runs relative to the others (0 when absent).
 RANKS = {
     "emment/ament": -3, "qua-o-u/ca-o-u": -2, "que/c": -2, "qu/q": -1, "qu/qou": -1, "accent-plat": 1, "ou/omega": 2,
@@ -25,12 +21,9 @@ def parse_custom_rules(specs: DataFrame, key: str, spec: str) -> DataFrame:
     """``key, step, target, repl, kind`` from texts like ``'eaux/ôs é/E'``.
 
     ``kind`` is ``accent`` when the result holds exactly one E, to be written é or è
-    by its syllable. The text is cut at 1000 bytes, as the limit is one of size.
+    by its syllable. Texts and numbers of rules have no limit.
     """
-    cut = F.decode(F.substr(F.encode(F.col(spec), "UTF-8"), F.lit(1), F.lit(MAX_SPEC_BYTES)), "UTF-8")
-    whole = F.when(F.octet_length(spec) <= MAX_SPEC_BYTES, F.col(spec)).otherwise(cut)
-    pairs = F.filter(F.split(whole, " "), lambda p: F.instr(p, "/") > 1)
-    steps = F.slice(pairs, 1, MAX_RULES)
+    steps = F.filter(F.split(F.col(spec), " "), lambda p: F.instr(p, "/") > 1)
     at = F.instr("p", "/")
     e = F.length("repl") - F.length(F.replace("repl", F.lit("E"), F.lit("")))
     return (

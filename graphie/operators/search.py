@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 
 from graphie.functions import text as T
 
-MAX_QUERY_BYTES = 50
 DEFAULT_LIMIT = 10
 
 
 def build_index(entries: DataFrame, surfaces: Column, entry_id: str, *payload: str) -> DataFrame:
     """One row per spelling of an entry: ``len, key, surface, entry_id, payload``.
 
-    ``len`` counts bytes of the key. Write it sorted by (len, key) with
-    ``write_index`` so that readers can skip row groups.
+    ``len`` counts bytes of the key. Write it sorted by (len, key) so that readers can skip row groups.
     """
     return (
         entries.select(F.col(entry_id).alias("entry_id"), *payload, F.explode(F.array_distinct(surfaces)).alias("surface"))
@@ -26,16 +24,13 @@ def build_index(entries: DataFrame, surfaces: Column, entry_id: str, *payload: s
     )
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    index.repartitionByRange("len", "key").sortWithinPartitions("len", "key").write.mode("overwrite").parquet(path)
-
 
 def clean_query(q: Column | str) -> Column:
     """Leading spaces and one trailing space removed, lower case. Null when there is
-    nothing to search or the query is too long."""
+    nothing to search."""
     q = F.col(q) if isinstance(q, str) else q
     t = F.lower(F.regexp_replace(q, "^ *(.*?) ?$", "$1"))
-    return F.when((t != "") & (F.octet_length(t) <= MAX_QUERY_BYTES), t)
+    return F.when(t != "", t)
 
 
 # What a plain letter of the query accepts in the entry.
@@ -73,26 +68,26 @@ def search(
 ) -> DataFrame:
     """``query, rank, entry_id, surface`` for each distinct query.
 
-    Each index key is met by equality with its own prefixes: a row per prefix on the
-    index side (at most the longest query), so the join yields matches only, never
+    Each index key is met by equality with its own prefixes: a row per prefix length that
+    some query has, so the join yields matches only, never
     pairs to filter away. Distinct queries keep a popular one from being a hot key.
     The best surface of an entry is a partial aggregate; the top k is a rank limit,
     which Spark applies before the shuffle as well.
     """
     qs = (
         queries.select(F.col(query_col).alias("query"))
-        .filter(F.col("query").isNotNull() & (F.octet_length("query") <= MAX_QUERY_BYTES))
+        .filter(F.col("query").isNotNull())
         .distinct()
         .withColumn("prefix", T.strip_marks("query"))
         .filter(F.length("prefix") > 0)
         .withColumn("pattern", compat_pattern(F.col("query")))
     )
-    longest = F.least(F.length("key"), F.lit(MAX_QUERY_BYTES * 2))
-    prefixes = F.transform(
-        F.sequence(F.lit(1), longest), lambda n: F.substr(F.col("key"), F.lit(1), n)
-    )
+    lengths = qs.agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("l")).scalar()
+    usable = F.filter("_lengths", lambda n: n <= F.length("key"))
+    prefixes = F.transform(usable, lambda n: F.substr(F.col("key"), F.lit(1), n))
     ix = (
         index.filter(F.length("key") > 0)
+        .select("len", "key", "surface", "entry_id", lengths.alias("_lengths"))
         .select("len", "key", "surface", "entry_id", F.explode(prefixes).alias("prefix"))
     )
     hits = ix.join(qs, "prefix").filter(F.rlike("surface", F.col("pattern")))

@@ -138,8 +138,6 @@ MEMBERS = {
     "epub": r"\.(xhtml|html)$",
     "htmlz": r"\.html$",
 }
-MAX_CONTAINER_BYTES = 300_000_000
-MAX_SERVED_BYTES = 45 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _T = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
@@ -159,12 +157,12 @@ _CONTAINER_SCHEMA = "doc string, kind string, part string, n_bytes bigint, conte
 
 
 def container_members(
-    files: DataFrame, doc_col: str = "path", content_col: str = "content", *, max_bytes: int = MAX_CONTAINER_BYTES
+    files: DataFrame, doc_col: str = "path", content_col: str = "content", *, max_bytes: int | None = None
 ) -> DataFrame:
     """``doc, kind, part, n_bytes, content, error`` for the text members of each file.
 
-    A container whose text members add up to more than ``max_bytes``, by the sizes of
-    its directory, is not unpacked: it yields a single row with ``error`` set. Plain
+    Where ``max_bytes`` is given, a container whose text members add up to more, by the sizes
+    of its directory, is not unpacked: it yields a single row with ``error`` set. Plain
     files are their own only member.
     """
     import re
@@ -190,7 +188,7 @@ def container_members(
                                 i for i in z.infolist() if not i.is_dir() and patterns[kind].search(i.filename)
                             ]
                             total = sum(max(1, i.file_size, i.compress_size) for i in infos)
-                            if total > max_bytes:
+                            if max_bytes is not None and total > max_bytes:
                                 rows = [(doc, kind, None, total, None, "files in zip too large")]
                             else:
                                 rows = [
@@ -420,7 +418,3 @@ def main_files(members: DataFrame) -> DataFrame:
     return members.groupBy("doc").agg(
         F.count_if(page).alias("n"), F.min(F.when(page, F.col("part"))).alias("_f")
     ).select("doc", F.when(F.col("n") == 1, F.col("_f")).alias("main_file"), "n")
-
-
-def part_name(path: str) -> str:
-    return posixpath.basename(path)

@@ -257,13 +257,13 @@ SPECS = [("a", "eaux/ôs eau/ô é/E x /y q/ a/b/c"), ("b", "que/qe  ou/u "), ("
 @query(
     "parse_custom_rules",
     f"""WITH {values_sql('specs', 'ruleset, spec', SPECS)},
-w AS (SELECT ruleset, unnest(string_split(substr(spec, 1, 1000), ' ')) AS p, generate_subscripts(string_split(substr(spec, 1, 1000), ' '), 1) AS i FROM specs),
+w AS (SELECT ruleset, unnest(string_split(spec, ' ')) AS p, generate_subscripts(string_split(spec, ' '), 1) AS i FROM specs),
 r AS (SELECT ruleset, i, substr(p, 1, instr(p, '/') - 1) AS target, substr(p, instr(p, '/') + 1) AS repl FROM w WHERE contains(p, '/')),
 k AS (SELECT *, row_number() OVER (PARTITION BY ruleset ORDER BY i) AS step FROM r WHERE target <> ''),
 hits AS (SELECT k.ruleset, k.step, count(d.doc_id) AS n_docs FROM k LEFT JOIN documents d ON contains(d.text, k.target) GROUP BY 1, 2)
 SELECT k.ruleset, k.step, target, repl,
   CASE WHEN length(repl) - length(replace(repl, 'E', '')) = 1 THEN 'accent' ELSE 'text' END AS kind, n_docs
-FROM k JOIN hits h ON h.ruleset = k.ruleset AND h.step = k.step WHERE k.step <= 100""",
+FROM k JOIN hits h ON h.ruleset = k.ruleset AND h.step = k.step""",
 )
 def parse_custom_rules(spark, sf):
     """Rules written as text, with the number of documents each can touch."""

@@ -311,12 +311,12 @@ def ligature_twins(spark, sf):
 GRAMMAR_SQL = f"""{LEXICON_SQL},
 gram AS (SELECT ortho, substr(ortho, 1, 4) AS lemme, CASE WHEN length(ortho) % 2 = 0 THEN 'VER' ELSE 'NOM' END AS cgram,
   CASE WHEN ortho LIKE '%e' THEN 'f' WHEN length(ortho) % 3 = 0 THEN '' ELSE 'm' END AS genre, CASE WHEN ortho LIKE '%s' THEN 'p' ELSE 's' END AS nombre,
-  CASE WHEN ortho LIKE '%é%' THEN 'par:pas' ELSE 'ind:pre' END AS infover FROM lexicon WHERE length(ortho) BETWEEN 4 AND 12)"""
+  CASE WHEN ortho LIKE '%é%' THEN 'par:pas' ELSE 'ind:pre' END AS infover FROM lexicon)"""
 
 
 def grammar(spark, sf):
     o = F.col("ortho")
-    return lexicon(spark, sf).filter(F.length(o).between(4, 12)).select(
+    return lexicon(spark, sf).select(
         "ortho",
         F.substr("ortho", F.lit(1), F.lit(4)).alias("lemme"),
         F.when(F.length(o) % 2 == 0, "VER").otherwise("NOM").alias("cgram"),

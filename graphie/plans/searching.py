@@ -10,14 +10,14 @@ from graphie.plans.registry import LEXICON_SQL, VOCAB_SQL, lexicon, query, table
 
 # Every word with é is an entry spelled with and without the accent.
 ENTRIES_SQL = f"""{VOCAB_SQL},
-entries AS (SELECT word AS id, word AS post90, replace(word, 'é', 'e') AS new FROM vocab WHERE length(word) <= 30),
+entries AS (SELECT word AS id, word AS post90, replace(word, 'é', 'e') AS new FROM vocab),
 surf AS (SELECT id, post90 AS s FROM entries UNION SELECT id, new FROM entries),
 ix AS (SELECT id AS entry_id, s AS surface, replace(strip_accents(s), 'œ', 'oe') AS key,
   CAST(octet_length(encode(replace(strip_accents(s), 'œ', 'oe'))) AS BIGINT) AS len FROM surf WHERE s <> '')"""
 
 
 def index(spark, sf):
-    e = vocabulary(spark, sf).filter(F.length("word") <= 30).select(
+    e = vocabulary(spark, sf).select(
         F.col("word").alias("id"),
         F.col("word").alias("post90"),
         F.replace("word", F.lit("é"), F.lit("e")).alias("new"),
@@ -35,7 +35,7 @@ def search_index(spark, sf):
 QUERY_SQL = f"""raw AS (SELECT '  ' || upper(split_part(p_name, ' ', 1)) || ' ' AS q FROM part
   UNION SELECT split_part(text, ' ', 1) FROM conversations UNION SELECT substr(text, 1, 2) FROM conversations
   UNION SELECT 'oe' UNION SELECT 'mét' UNION SELECT 'o'),
-qs AS (SELECT DISTINCT CASE WHEN t <> '' AND octet_length(encode(t)) <= 50 THEN t END AS query FROM
+qs AS (SELECT DISTINCT CASE WHEN t <> '' THEN t END AS query FROM
   (SELECT lower(regexp_replace(q, '^ *(.*?) ?$', '\\1', 's')) AS t FROM raw))"""
 
 

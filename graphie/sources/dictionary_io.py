@@ -11,11 +11,10 @@ from graphie.operators.dictionary import Dictionary, Metadata, first_wins, last_
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value, line_no`` of one text file: increasing in file order, and 0 for the
-    first line."""
-    df = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_b"))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.select("value", (F.col("_b") * (1 << 20) + row).alias("line_no"))
+    """``value, line_no`` of the text files of a path: increasing in the order of file names, blocks and rows."""
+    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("r")
+    return df.select("value", F.struct("f", "b", row).alias("line_no"))
 
 
 def _pair(value: str, message: str) -> tuple[Column, Column, Column]:
@@ -29,11 +28,14 @@ def read_dictionary(spark: SparkSession, path: str) -> Dictionary:
     """``old,new`` lines after an optional JSON line. The last definition of a word wins;
     a line without exactly two fields is an error."""
     lines = _lines(spark, path)
-    head = [r.value for r in lines.filter("line_no = 0").take(1)]
-    has_meta = bool(head) and head[0].startswith("{")
-    meta = Metadata.from_json_object(json.loads(head[0])) if has_meta else Metadata()
+    head = lines.orderBy("line_no").limit(1).collect()
+    has_meta = bool(head) and head[0].value.startswith("{")
+    meta = Metadata.from_json_object(json.loads(head[0].value)) if has_meta else Metadata()
     old, new, ok = _pair("value", "didn't get exactly 2 items in line ")
-    body = lines.filter("line_no > 0") if has_meta else lines
+    body = lines
+    if has_meta:
+        first = head[0].line_no
+        body = lines.filter(~((F.col("line_no.f") == first.f) & (F.col("line_no.b") == first.b) & (F.col("line_no.r") == first.r)))
     pairs = body.filter(ok).select(old.alias("old"), new.alias("new"), "line_no")
     return Dictionary(last_wins(pairs, "old", "line_no", "new").select("old", "new"), meta)
 

@@ -20,10 +20,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a local temporary folder is made.
+    Where that is unset, only a local session gets a temporary folder; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"graphie-{name}-")
     return os.path.join(base, f"graphie-{name}-{uuid.uuid4().hex}")
 

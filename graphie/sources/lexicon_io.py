@@ -28,10 +28,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, word, tags, sounds`` from JSON lines; other lines are skipped."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_b"))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    lines = lines.select("value", (F.col("_b") * (1 << 20) + row).alias("line_no")).filter(F.startswith("value", F.lit("{")))
+    """``line_no, word, tags, sounds`` from JSON lines in the order of files, blocks and rows; other lines are skipped."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("r")
+    lines = lines.select("value", F.struct("f", "b", row).alias("line_no")).filter(F.startswith("value", F.lit("{")))
     return lines.select("line_no", F.from_json("value", DUMP_SCHEMA).alias("j")).select("line_no", "j.*")
 
 

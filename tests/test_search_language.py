@@ -37,7 +37,7 @@ def test_limit_and_special_characters(spark):
 
 def test_query_hygiene(spark):
     df = spark.createDataFrame([("  Chat ",), ("chat  ",), ("",), ("x" * 51,)], "q string")
-    assert [r.c for r in df.select(S.clean_query("q").alias("c")).collect()] == ["chat", "chat ", None, None]
+    assert [r.c for r in df.select(S.clean_query("q").alias("c")).collect()] == ["chat", "chat ", None, "x" * 51]
 
 
 def test_popular_query_and_hot_prefix(spark):
