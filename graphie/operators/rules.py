@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.functions import graphemes as G
+from graphie.functions import text as T
 from graphie.functions.plan import computed_once
 from graphie.operators import lexicon as X
 from graphie.operators import phonetics as P
@@ -492,11 +493,12 @@ def build_dictionary(
 
 
 def _in_vocabulary(lx: DataFrame, vocabulary: DataFrame, post90: DataFrame | None) -> DataFrame:
-    """Lexicon rows some corpus word can come from: itself, its singular, with œ as oe, in
-    lower case, or through its official spelling."""
-    w = F.lower("word")
-    forms = F.array(w, F.regexp_replace(w, "s$", ""))
-    plain = vocabulary.select(F.explode(forms).alias("ortho")).select(
+    """Lexicon rows some corpus word can come from: itself, a part of a compound, its singular, with
+    œ as oe, in lower case, or through its official spelling."""
+    pieces = F.filter(T.split_hyphens(F.lower("word")), lambda p: p != "-")
+    words = vocabulary.select(F.explode(F.array_distinct(F.concat(F.array(F.lower("word")), pieces))).alias("w"))
+    forms = F.array(F.col("w"), F.regexp_replace("w", "s$", ""))
+    plain = words.select(F.explode(forms).alias("ortho")).select(
         F.explode(F.array("ortho", F.replace("ortho", F.lit("œ"), F.lit("oe")))).alias("ortho")
     )
     if post90 is not None:

@@ -127,6 +127,9 @@ def test_batch_and_corpus_generation_agree(spark, lexicon):
     whole = {r.old: r.new for r in full.collect()}
     part = {r.old: r.new for r in some.collect()}
     assert part == {w: whole[w] for w in ("hommes", "ville")}
+    joined = spark.createDataFrame([("Hommes-ville",)], "word string")
+    parts, _ = R.build_dictionary(lexicon, names, vocabulary=joined, all_words=True)
+    assert {r.old: r.new for r in parts.collect()} == part
     assert meta.desc == "flagship oe" and meta.marker() == "s" and meta.supports_repeated_rewrites
 
 
