@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from graphie.llm.toxicity import pieces
 
-SAMPLE, SLICE = 512, 1024
+SAMPLE, SLICE, CLASSES = 512, 1024, 16
 HIDDEN, LANE, SIDE_BY_SIDE = 8, 128, 2048
 STEPS, BATCH, TRAIN_LANE = 300, 128, 48
 LETTER = re.compile(r"[^\W\d_]")
@@ -175,15 +175,16 @@ def train(samples: list[tuple[bytes, str]], seed: int = 5) -> Network:
 def fit_languages(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network:
     """Train on rows for which ``usable`` holds and that have a text and a language.
 
-    At most ``SAMPLE`` rows a language are read, chosen by the hash of their id and text, a slice at a
-    hashed place of each. The rank limit applies before the shuffle, so a common language is no hot group.
+    At most ``SAMPLE`` rows a language are read, the first of each of ``CLASSES`` classes of their hash, a
+    slice at a hashed place of each. The rank limit applies before the shuffle, so a common language is no
+    hot group.
     """
     h = F.xxhash64(F.col(key), F.length(text))
     at = F.pmod(h, F.greatest(F.lit(1), F.length(text) - SLICE)) + 1
     rows = docs.filter(usable & F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).alias("_lang"), F.substring(F.col(text), at.cast("int"), F.lit(SLICE)).alias("_slice"), h.alias("_h"))
-    first = Window.partitionBy("_lang").orderBy("_h", "_slice")
-    rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE).orderBy("_lang", "_r")
+    first = Window.partitionBy("_lang", F.pmod("_h", F.lit(CLASSES))).orderBy("_h", "_slice")
+    rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE // CLASSES).orderBy("_lang", "_h", "_slice")
     return train([(r["_slice"].encode("utf-8", "surrogatepass"), r["_lang"]) for r in rows.select("_lang", "_slice").toLocalIterator()])
 
 
