@@ -38,6 +38,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 18
 BLOCK = 2000
 BEFORE, DEPTH = 8, 40  # tokens of a prefix that travel with one of its tokens: some before it, and the depth of a tree
 BUCKETS = 64
+PIECE = 1 << 19  # bytes of text hashed side by side: about what a core holds in its cache
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODES = np.arange(1, 257, dtype=np.uint64)
 _CODES[65:91] += np.uint64(32)
@@ -131,7 +132,7 @@ def _text_map(docs: DataFrame, schema: str, row, keys: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in pieces(batch.column(keys)):
+            for at, n in pieces(batch.column(keys), PIECE):
                 cols = [batch.column(i).slice(at, n).to_pylist() for i in range(keys)]
                 out = [row(*r) for r in zip(*cols, gram_sets(batch.column(keys).slice(at, n).to_pylist()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
