@@ -2,7 +2,10 @@
 
 Equal sets are one class. Tokens (hashed 4-grams) have one global order, very frequent ones last
 and by hash otherwise; two linked sets share a token within the first n - ceil(0.85 n) + 1 of each.
-Classes that share such a token go through two steps:
+Of a set that is linked at all, no more than n - ceil(0.85 n) tokens are in no other set. So each
+set is laid open to twice the length of its prefix, and one that has more such tokens there is
+linked with nothing and left out: a passage that many documents share makes no candidates.
+Classes that share a token of their prefixes go through two steps:
 
 1. A star: each class is compared with the one class, among those it shares tokens with, that has
    the fewest prefix tokens of its own. Verified stars join most of a family of near copies with one
@@ -11,7 +14,7 @@ Classes that share such a token go through two steps:
    prefixes are stored in a tree, blocks of bounded size each. Classes outside the token's largest
    component walk the trees: paths share the overlap counted so far, and a subtree is left when the
    remaining lengths cannot reach the overlap that is needed, or when it holds the same component
-   only. A histogram of each whole set bounds the overlap from above as well. What survives is
+   only. Before that, classes with too many tokens that no other component has are left out again. A histogram of each whole set bounds the overlap from above as well. What survives is
    verified on the whole sets: first the best candidate of each class and component, then, with the
    components joined anew, all that is left.
 
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.llm.shared import stored
@@ -38,6 +41,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 18
 BLOCK = 2000
 BEFORE, DEPTH = 8, 40  # tokens of a prefix that travel with one of its tokens: some before it, and the depth of a tree
 BUCKETS = 64
+REACH, ROUNDS = 2, 2  # prefix lengths that a set is laid open to; how often classes without partners are left out before a walk
 PIECE = 1 << 19  # bytes of text hashed side by side: about what a core holds in its cache
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODES = np.arange(1, 257, dtype=np.uint64)
@@ -124,6 +128,21 @@ def prefix_length(n: int) -> int:
     return n - -(-part * n // whole) + 1
 
 
+def reach(n: int) -> int:
+    return min(n, REACH * prefix_length(n)) if n else 0
+
+
+def spare(n: str) -> Column:
+    """Tokens that a linked set of ``n`` tokens may have for itself: one fewer than its prefix."""
+    part, whole = NEEDED
+    return F.expr(f"bigint({n}) * {whole - part} div {whole}")
+
+
+def enough(shared: str | Column, n: str = "n") -> Column:
+    """Whether so many shared tokens among those laid open leave a link possible."""
+    return F.least(F.col(n), REACH * (spare(n) + 1)) - shared <= spare(n)
+
+
 def _text_map(docs: DataFrame, schema: str, row, keys: int):
     """mapInArrow over rows whose last column is a text; ``row(keys..., set)`` gives the output rows."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
@@ -359,6 +378,12 @@ def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
     """Candidates ``a, b`` in different components, for the tokens whose classes are in several."""
     labelled = nodes.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = stored(labelled, "labelled")
+    for _ in range(ROUNDS):
+        at = labelled.select("set_id", "label", F.explode("token").alias("key"))
+        foreign = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+        left = at.join(foreign.hint("merge"), "key").groupBy("set_id").agg(F.count(F.lit(1)).alias("c"))
+        labelled = stored(labelled.join(left.hint("merge"), "set_id").filter(enough(F.col("c"))).drop("c"), "labelled")
+    labelled = labelled.withColumns({c: F.slice(c, F.lit(1), F.col("k")) for c in ("token", "place")})
     at = labelled.select("set_id", "label", F.posexplode("token").alias("i", "key"))
     per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m")).filter("labels > 1")
@@ -414,7 +439,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     frequent = frequent_tokens(docs, text)
 
     def row(own, tokens):
-        first = ordered(tokens, frequent)[: prefix_length(len(tokens)) if len(tokens) else 0]
+        first = ordered(tokens, frequent)[: reach(len(tokens))]
         return own, len(tokens), set_id(tokens), first, histogram(tokens).tobytes()
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
@@ -422,17 +447,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     base = stored(_text_map(rows, shape, row, 1), "prefixes")
     member = base.select("doc_id", "n_shingles", "set_id")
     usable = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    first = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"), F.first(F.size("prefix")).alias("length"))
+    first = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"))
     first = stored(first, "classes")
 
     each = usable.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
     shared = each.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low != high").select("token")
-    nodes = each.join(shared.hint("merge"), "token").distinct().groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("p"))
-    nodes = nodes.select("set_id", F.col("n").cast("int").alias("n"), "p.place", "p.token").join(first.hint("merge"), "set_id")
-    nodes = stored(nodes.withColumn("alone", F.col("length") - F.size("token")).drop("length"), "nodes")
+    nodes = each.join(shared.hint("merge"), "token").groupBy("set_id", "n").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("p"))
+    nodes = nodes.filter(enough(F.size("p"))).select("set_id", F.col("n").cast("int").alias("n"), "p.place", "p.token")
+    nodes = nodes.withColumn("k", F.size(F.filter("place", lambda x: x <= spare("n")))).join(first.hint("merge"), "set_id")
+    nodes = stored(nodes.withColumn("alone", spare("n") + 1 - F.col("k")), "nodes")
 
     # 1. stars
-    at = nodes.select("set_id", "alone", F.explode("token").alias("token"))
+    at = nodes.select("set_id", "alone", F.explode(F.slice("token", F.lit(1), F.col("k"))).alias("token"))
     centre = at.groupBy("token").agg(F.min(F.struct("alone", "set_id")).alias("c")).select("token", F.col("c.set_id").alias("centre"))
     votes = at.join(centre.hint("merge"), "token").filter("set_id != centre").groupBy("set_id", "centre").agg(F.count(F.lit(1)).alias("c"))
     star = votes.groupBy("set_id").agg(F.max(F.struct("c", "centre")).alias("v")).select(F.col("set_id").alias("a"), F.col("v.centre").alias("b"))
