@@ -3,8 +3,8 @@
 Equal sets are one class. Tokens (hashed 4-grams) have one global order, very frequent ones last
 and by hash otherwise; two linked sets share a token within the first n - ceil(0.85 n) + 1 of each.
 Of a set that is linked at all, no more than n - ceil(0.85 n) tokens are in no other set. So each
-set is laid open to twice the length of its prefix, and one that has more such tokens there is
-linked with nothing and left out: a passage that many documents share makes no candidates.
+set is laid open to a third more than its prefix, and one that has more such tokens there is
+linked with nothing and left out: a passage in a longer document makes no candidates.
 Classes that share a token of their prefixes go through two steps:
 
 1. A star: each class is compared with the one class, among those it shares tokens with, that has
@@ -14,7 +14,8 @@ Classes that share a token of their prefixes go through two steps:
    prefixes are stored in a tree, blocks of bounded size each. Classes outside the token's largest
    component walk the trees: paths share the overlap counted so far, and a subtree is left when the
    remaining lengths cannot reach the overlap that is needed, or when it holds the same component
-   only. Before that, classes with too many tokens that no other component has are left out again. A histogram of each whole set bounds the overlap from above as well. What survives is
+   only. Before that, classes with too many tokens that no other component has are left out again,
+   and of tokens that the same classes share the first alone is walked. A histogram of each whole set bounds the overlap from above as well. What survives is
    verified on the whole sets: first the best candidate of each class and component, then, with the
    components joined anew, all that is left.
 
@@ -41,7 +42,8 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 18
 BLOCK = 2000
 BEFORE, DEPTH = 8, 40  # tokens of a prefix that travel with one of its tokens: some before it, and the depth of a tree
 BUCKETS = 64
-REACH, ROUNDS = 2, 2  # prefix lengths that a set is laid open to; how often classes without partners are left out before a walk
+PART = 3  # a set is laid open to this part of its prefix more
+ROUNDS = 2  # how often classes without partners are left out before a walk
 PIECE = 1 << 19  # bytes of text hashed side by side: about what a core holds in its cache
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODES = np.arange(1, 257, dtype=np.uint64)
@@ -129,7 +131,8 @@ def prefix_length(n: int) -> int:
 
 
 def reach(n: int) -> int:
-    return min(n, REACH * prefix_length(n)) if n else 0
+    first = prefix_length(n) if n else 0
+    return min(n, first + first // PART + 1)
 
 
 def spare(n: str) -> Column:
@@ -140,7 +143,8 @@ def spare(n: str) -> Column:
 
 def enough(shared: str | Column, n: str = "n") -> Column:
     """Whether so many shared tokens among those laid open leave a link possible."""
-    return F.least(F.col(n), REACH * (spare(n) + 1)) - shared <= spare(n)
+    first = spare(n) + 1
+    return F.least(F.col(n), first + F.floor(first / PART) + 1) - shared <= spare(n)
 
 
 def _text_map(docs: DataFrame, schema: str, row, keys: int):
@@ -385,8 +389,12 @@ def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
         labelled = stored(labelled.join(left.hint("merge"), "set_id").filter(enough(F.col("c"))).drop("c"), "labelled")
     labelled = labelled.withColumns({c: F.slice(c, F.lit(1), F.col("k")) for c in ("token", "place")})
     at = labelled.select("set_id", "label", F.posexplode("token").alias("i", "key"))
-    per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m")).filter("labels > 1")
+    marks = [F.expr(f"sum(cast(xxhash64(set_id, {i}) as decimal(20)))").alias(f"m{i}") for i in (1, 2)]
+    per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), *marks)
+    totals = [F.sum(m).alias(m) for m in ("m1", "m2")]
+    per = per.groupBy("key").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("m"), *totals).filter("labels > 1")
+    # of tokens that the same classes share only the first can be the first that two of them share
+    per = per.groupBy("g", "m1", "m2").agg(F.min_by(F.struct("key", "m"), "key").alias("t")).select("g", "t.*")
     per = per.select("key", F.ceil(F.col("g") / F.lit(BLOCK)).alias("blocks"), F.col("m.label").alias("main"))
     at = at.join(per, "key").select("key", "blocks", "set_id", "i", (F.col("label") != F.col("main")).alias("walks"))
     walkers = at.filter("walks").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "walks", "set_id", "i")
