@@ -14,3 +14,11 @@ def computed_once(col: Column) -> Column:
     rewritten text. Anything that depends on the partition number stays in its place.
     """
     return F.when(F.spark_partition_id() >= 0, col)
+
+
+def spread_key(key: str, own: str) -> Column:
+    """A key for a left join in which rows without a key do not gather in one task.
+
+    They get a key of their own that no word equals, dealt by the column ``own``.
+    """
+    return F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.col(own)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.functions import text as T
-from graphie.functions.plan import computed_once
+from graphie.functions.plan import computed_once, spread_key
 from graphie.operators.dictionary import Dictionary
 from graphie.operators.lookup import Find, Lookup, constant_lookup, with_lookups
 
@@ -127,20 +127,21 @@ def resolve_words(
     """``word, new_word`` for a table of distinct words, by joins.
 
     Up to four equi-joins with the dictionary (the word, its other cases, its
-    singular); Catalyst broadcasts or shuffles the dictionary by its size, and both
-    sides of each join are unique on the key, so no key is hot.
+    singular); Catalyst broadcasts or shuffles the dictionary by its size. The dictionary
+    has a key once, and words that lack the key of a join are dealt by themselves.
     """
     m = dictionary.meta.marker() if marker is ... else marker
     w = F.col(word_col)
 
     def d(name: str, on: str) -> DataFrame:
-        return dictionary.df.select(F.col("old").alias(on), F.col("new").alias(name))
+        known = dictionary.df.filter(~F.col("old").startswith("\x00"))
+        return known.select(F.col("old").alias(on), F.col("new").alias(name))
 
     up, allup = T.is_capitalized(w), T.is_all_upper(w)
     base = vocabulary.join(d("_exact", word_col), word_col, "left")
     low = F.lower(w)
     if convert_uppercase:
-        base = base.withColumn("_cap", F.when(allup, T.capitalize(low)))
+        base = base.withColumn("_cap", F.when(allup, T.capitalize(low))).withColumn("_cap", spread_key("_cap", word_col))
         base = base.join(d("_proper", "_cap"), "_cap", "left")
         mode = (
             F.when(~up | F.col("_exact").isNotNull(), "same")
@@ -159,7 +160,7 @@ def resolve_words(
     base = base.join(d("_r1", "_wu"), "_wu", "left")
     value = F.col("_r1")
     if m is not None:
-        base = base.withColumn("_sing", T.depluralize(F.col("_wu")))
+        base = base.withColumn("_sing", T.depluralize(F.col("_wu"))).withColumn("_sing", spread_key("_sing", word_col))
         base = base.join(d("_r2", "_sing"), "_sing", "left")
         value = F.coalesce(value, F.concat(F.nullif("_r2", F.lit("")), F.lit(m)))
     recased = (

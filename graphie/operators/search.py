@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphie.functions import text as T
+from graphie.functions.plan import spread_key
 
 DEFAULT_LIMIT = 10
 
@@ -175,7 +176,7 @@ def build_search_entries(
     partner = g.filter("n = 1").select(
         F.col("post90").alias("other"), F.col("new").alias("new2"), F.col("old").alias("old2")
     )
-    j = g.join(partner, "other", "left")
+    j = g.withColumn("other", spread_key("other", "post90")).join(partner, "other", "left")
     add_s = lambda a: F.transform(a, lambda x: F.concat(x, F.lit("s")))
     agrees = (F.col("n") == 1) & F.when(
         F.col("side") == "S",

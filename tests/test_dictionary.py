@@ -133,3 +133,18 @@ def test_hot_stem_is_a_short_chain(spark):
     df = spark.createDataFrame(rows, "old string, new string")
     assert D.simplify_mapping(df, "s").count() == n
     assert D.simplify_mapping(df.withColumn("rank", F.lit(1)), "s").columns == ["old", "new", "rank"]
+
+
+def test_exclusion_of_many_words(spark):
+    words = spark.range(20_000).select(F.concat(F.lit("mot"), F.col("id").cast("string")).alias("old"), F.lit("x").alias("new"))
+    exact = spark.range(10, 15_000).select(F.lit("old").alias("field"), F.concat(F.lit("MOT"), F.col("id").cast("string")).alias("pattern"))
+    wild = spark.createDataFrame([("old", "mot1999_"), ("new", "y%"), ("new", None)], "field string, pattern string")
+    left = D.exclude(words, exact.unionByName(wild))
+    assert left.count() == 10 + 5_000 - 10 and not left.filter("old = 'mot19991' OR old = 'mot10'").count()
+
+
+def test_rows_without_a_key_are_spread(spark):
+    from graphie.functions.plan import spread_key
+
+    rows = spark.createDataFrame([("a", None), ("b", None), ("c", "k")], "w string, k string").select(spread_key("k", "w").alias("key"))
+    assert [r.key for r in rows.collect()] == ["\x00a", "\x00b", "k"]
