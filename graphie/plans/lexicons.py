@@ -174,22 +174,25 @@ def crowd(spark, sf):
     return a.unionByName(v.filter(n == 4).select(F.upper("word").alias("old"), F.col("word").alias("new")))
 
 
-_SELECT_NEW = """CASE WHEN l.type = 1 THEN l.post90 WHEN l.ortho LIKE '%s' OR l.ortho LIKE '%x' THEN substr(l.post90, instr(l.post90, '/') + 1)
-  ELSE substr(l.post90, 1, greatest(instr(l.post90, '/') - 1, 0)) END"""
+# official spellings with their forms for one and for many, and the form that fits the word itself
+FORMS_SQL = """parted AS (SELECT *, regexp_extract(post90, '^([^/]*)/', 1) AS one, regexp_replace(post90, '^[^/]*/', '') AS many FROM l),
+picked AS (SELECT ortho, CASE WHEN type = 1 THEN [post90] ELSE [one, many] END AS forms,
+  CASE WHEN type = 1 THEN post90 WHEN right(ortho, 1) IN ('s', 'x') THEN many ELSE one END AS new FROM parted)"""
 
 
-@query("select_spelling_by_number", f"WITH {SPELLINGS_SQL} SELECT ortho, {_SELECT_NEW} AS new FROM l")
+@query("select_spelling_by_number", f"WITH {SPELLINGS_SQL}, {FORMS_SQL} SELECT ortho, new FROM picked")
 def select_spelling_by_number(spark, sf):
     return official(spark, sf).select("ortho", X.select_new(F.col("ortho"), F.col("type"), F.col("post90")).alias("new"))
 
 
 @query(
     "reconcile_sources",
-    f"""WITH {SPELLINGS_SQL}
-SELECT old, new FROM (SELECT DISTINCT l.ortho AS old, {_SELECT_NEW} AS new FROM l LEFT JOIN w ON w.old = l.ortho
-  WHERE w.new IS NULL OR CASE WHEN l.type = 1 THEN l.post90 = w.new ELSE substr(l.post90, instr(l.post90, '/') + 1) = w.new
-    OR substr(l.post90, 1, instr(l.post90, '/') - 1) = w.new END) WHERE new <> old AND old NOT IN ('épa', 'éou')
-UNION ALL SELECT DISTINCT w.old, w.new FROM w LEFT JOIN l ON l.ortho = w.old WHERE l.ortho IS NULL AND w.old <> w.new AND w.old = lower(w.old)""",
+    f"""WITH {SPELLINGS_SQL}, {FORMS_SQL},
+agreeing AS (SELECT ortho AS old, picked.new FROM picked JOIN w AS crowd ON crowd.old = ortho AND list_contains(forms, crowd.new)),
+official_only AS (SELECT ortho AS old, new FROM picked WHERE ortho NOT IN (SELECT old FROM w)),
+crowd_only AS (SELECT DISTINCT old, new FROM w WHERE old NOT IN (SELECT ortho FROM l))
+SELECT old, new FROM (FROM agreeing UNION FROM official_only) WHERE old <> new AND NOT list_contains(['épa', 'éou'], old)
+UNION ALL SELECT old, new FROM crowd_only WHERE old <> new AND lower(old) = old""",
 )
 def reconcile_sources(spark, sf):
     return X.reconcile(official(spark, sf), crowd(spark, sf), NEVER)
