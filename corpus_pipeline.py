@@ -15,6 +15,7 @@ from graphie.llm import decontamination, jaccard_join, mixing, private, toxicity
 from graphie.llm.shared import fold_of, shared_folder, table
 
 TOXIC_FROM = 0.3
+NEAR_GRAM, NEAR_FROM = 5, (80, 100)  # near copies: word 5-grams, Jaccard similarity of 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their word 4-grams, the one with the smallest id."""
-    return jaccard_join.first_of_each(docs)
+    """Of each group of documents linked by their word 5-grams, the one with the smallest id."""
+    return jaccard_join.first_of_each(docs, gram=NEAR_GRAM, needed=NEAR_FROM)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

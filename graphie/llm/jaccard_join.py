@@ -1,6 +1,7 @@
-"""N-gram Jaccard join: documents linked by the overlap of their word 4-gram sets, and their components.
+"""N-gram Jaccard join: documents linked by the overlap of their word n-gram sets, and their components.
 
-Equal sets are one class. Tokens (hashed 4-grams) have one global order, very frequent ones last
+The length of the n-grams and the similarity needed are the caller's; 4 and 0.85 stand for them here.
+Equal sets are one class. Tokens (hashed n-grams) have one global order, very frequent ones last
 and by hash otherwise; two linked sets share a token within the first n - ceil(0.85 n) + 1 of each.
 Of a set that is linked at all, no more than n - ceil(0.85 n) tokens are in no other set. So each
 set is laid open to a third more than its prefix, and one that has more such tokens there is
@@ -26,6 +27,7 @@ are exact. No group is gathered whole, and members of a family are not paired of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +70,8 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def gram_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text the sorted distinct 63-bit hashes of its word 4-grams; of the whole sequence with fewer words.
+def gram_sets(texts: list[str | None], gram: int = GRAM) -> list[np.ndarray]:
+    """For each text the sorted distinct 63-bit hashes of its word n-grams; of the whole sequence with fewer words.
 
     All texts are hashed side by side: a word is the difference of running polynomial sums, A-Z lower-cased.
     """
@@ -90,18 +92,18 @@ def gram_sets(texts: list[str | None]) -> list[np.ndarray]:
         return (h >> np.uint64(1)).astype(np.int64)
 
     of_text = np.searchsorted(starts, firsts)
-    every, out = grams(w, GRAM), []
+    every, out = grams(w, gram), []
     for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist()):
-        if b - a >= GRAM:
-            h = np.sort(every[a : b - GRAM + 1])
+        if b - a >= gram:
+            h = np.sort(every[a : b - gram + 1])
             out.append(h[np.r_[True, h[1:] != h[:-1]]])
         else:
             out.append(grams(w[a:b], b - a) if b > a else np.zeros(0, np.int64))
     return out
 
 
-def gram_set(text: str | None) -> np.ndarray:
-    return gram_sets([text])[0]
+def gram_set(text: str | None, gram: int = GRAM) -> np.ndarray:
+    return gram_sets([text], gram)[0]
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
@@ -119,35 +121,34 @@ def set_id(tokens: np.ndarray) -> int:
     return int((_mixed(total * _M1 + odd) ^ np.uint64(len(t))).astype(np.int64)[0])
 
 
-def least_overlap(a: int, b: int) -> int:
-    """Shared tokens without which 100 * intersection < 85 * union."""
-    part, whole = NEEDED
-    return -(-part * (a + b) // (whole + part))
+class Link(NamedTuple):
+    """Sets are linked whose intersection is at least ``part / whole`` of their union."""
 
+    part: int = NEEDED[0]
+    whole: int = NEEDED[1]
 
-def prefix_length(n: int) -> int:
-    part, whole = NEEDED
-    return n - -(-part * n // whole) + 1
+    def least_overlap(self, a: int, b: int) -> int:
+        """Shared tokens without which whole * intersection < part * union."""
+        return -(-self.part * (a + b) // (self.whole + self.part))
 
+    def prefix_length(self, n: int) -> int:
+        return n - -(-self.part * n // self.whole) + 1
 
-def reach(n: int) -> int:
-    first = prefix_length(n) if n else 0
-    return min(n, first + first // PART + 1)
+    def reach(self, n: int) -> int:
+        first = self.prefix_length(n) if n else 0
+        return min(n, first + first // PART + 1)
 
+    def spare(self, n: str) -> Column:
+        """Tokens that a linked set of ``n`` tokens may have for itself: one fewer than its prefix."""
+        return F.expr(f"bigint({n}) * {self.whole - self.part} div {self.whole}")
 
-def spare(n: str) -> Column:
-    """Tokens that a linked set of ``n`` tokens may have for itself: one fewer than its prefix."""
-    part, whole = NEEDED
-    return F.expr(f"bigint({n}) * {whole - part} div {whole}")
+    def enough(self, shared: str | Column, n: str = "n") -> Column:
+        """Whether so many shared tokens among those laid open leave a link possible."""
+        first = self.spare(n) + 1
+        return F.least(F.col(n), first + F.floor(first / PART) + 1) - shared <= self.spare(n)
 
 
-def enough(shared: str | Column, n: str = "n") -> Column:
-    """Whether so many shared tokens among those laid open leave a link possible."""
-    first = spare(n) + 1
-    return F.least(F.col(n), first + F.floor(first / PART) + 1) - shared <= spare(n)
-
-
-def _text_map(docs: DataFrame, schema: str, row, keys: int):
+def _text_map(docs: DataFrame, schema: str, row, keys: int, gram: int):
     """mapInArrow over rows whose last column is a text; ``row(keys..., set)`` gives the output rows."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
     of = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
@@ -157,19 +158,19 @@ def _text_map(docs: DataFrame, schema: str, row, keys: int):
         for batch in batches:
             for at, n in pieces(batch.column(keys), PIECE):
                 cols = [batch.column(i).slice(at, n).to_pylist() for i in range(keys)]
-                out = [row(*r) for r in zip(*cols, gram_sets(batch.column(keys).slice(at, n).to_pylist()))]
+                out = [row(*r) for r in zip(*cols, gram_sets(batch.column(keys).slice(at, n).to_pylist(), gram))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def frequent_tokens(docs: DataFrame, text: str) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, text: str, gram: int = GRAM) -> np.ndarray:
     """Up to ``MOST_FREQUENT`` tokens of the most documents, sorted. They only set the order: any choice is right."""
 
     def row(tokens):
         return (tokens[: int(len(tokens) * COUNTED) + 1],)
 
-    tokens = _text_map(docs.select(F.col(text).alias("t")), "tokens array<bigint>", row, 0).select(F.explode("tokens").alias("token"))
+    tokens = _text_map(docs.select(F.col(text).alias("t")), "tokens array<bigint>", row, 0, gram).select(F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > FREQUENT)
     top = often.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(top.column(0).to_numpy().astype(np.int64))
@@ -200,12 +201,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(link: Link):
     """Pairs whose lengths and histograms leave the needed overlap possible. Columns a, b, n_a, n_b, h_a, h_b."""
-    for batch in batches:
-        n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
-        keep = bound(_histograms(batch.column(4).to_pylist()), _histograms(batch.column(5).to_pylist())) >= least_overlap(n_a, n_b)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = bound(_histograms(batch.column(4).to_pylist()), _histograms(batch.column(5).to_pylist())) >= link.least_overlap(n_a, n_b)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _histograms(cells: list[bytes]) -> np.ndarray:
@@ -218,15 +223,14 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(full, 1 << 40, np.minimum(a, b).sum(axis=-1, dtype=np.int64))
 
 
-def reachable(a: tuple, b: tuple) -> bool:
+def reachable(a: tuple, b: tuple, link: Link) -> bool:
     """Whether two sets can overlap enough, each (size, tokens, places, end), where no token before the first is shared.
 
     Up to the smaller reach of the two in the global order all shared tokens are known; after it at
     most as many follow as are left of either set. ``end`` is the place after the last token known.
     """
     (n_a, t_a, p_a, end_a), (n_b, t_b, p_b, end_b) = a, b
-    part, whole = NEEDED
-    if whole * min(n_a, n_b) < part * max(n_a, n_b):
+    if link.whole * min(n_a, n_b) < link.part * max(n_a, n_b):
         return False
     at = {t: p for t, p in zip(t_b, p_b)}
     common = [(p, at[t]) for t, p in zip(t_a, p_a) if t in at]
@@ -234,7 +238,7 @@ def reachable(a: tuple, b: tuple) -> bool:
         return False
     last_a, last_b = common[-1]
     most = len(common) + max(min(n_a - end_a, n_b - last_b - 1), min(n_a - last_a - 1, n_b - end_b))
-    return most >= least_overlap(n_a, n_b)
+    return most >= link.least_overlap(n_a, n_b)
 
 
 class Tree:
@@ -256,14 +260,14 @@ class Tree:
         node.ends.append(member)
 
 
-def walk(tree: Tree, tokens: list[int], places: list[int], n: int, token: int, wanted: int) -> list[int]:
+def walk(tree: Tree, tokens: list[int], places: list[int], n: int, token: int, wanted: int, link: Link) -> list[int]:
     """The wanted classes (bits) that the tree cannot rule out for a set of ``n`` tokens with this prefix from ``token`` on.
 
     A subtree is left when nothing wanted is below, or when the tokens of the walker that were passed
     over leave fewer than it must share with any partner.
     """
     index = {t: p for t, p in zip(tokens, places)}
-    part, whole = NEEDED
+    part, whole = link
     found: list[int] = []
     todo = [(tree, 0, -1)]
     while todo:
@@ -281,7 +285,7 @@ def walk(tree: Tree, tokens: list[int], places: list[int], n: int, token: int, w
     return found
 
 
-def fitting(h: np.ndarray, n: np.ndarray, label: np.ndarray, m: int) -> np.ndarray:
+def fitting(h: np.ndarray, n: np.ndarray, label: np.ndarray, m: int, link: Link) -> np.ndarray:
     """Rows (first m classes, then walkers) that a row of the other kind fits by size, component and histogram.
 
     Rows are met by size, first in a quarter of the buckets, which are sums, then in all.
@@ -290,14 +294,14 @@ def fitting(h: np.ndarray, n: np.ndarray, label: np.ndarray, m: int) -> np.ndarr
     sizes, rough = n[classes], h.reshape(len(h), -1, 4).sum(axis=2, dtype=np.int16)
     full = (h == 255).all(axis=1)
     rough[full] = 1 << 14
-    part, whole = NEEDED
+    part, whole = link
     seen: list[np.ndarray] = []
     for at in range(0, len(walkers), 64):
         w = walkers[at : at + 64]
         low, high = np.searchsorted(sizes, -(-part * n[w[0]] // whole)), np.searchsorted(sizes, whole * n[w[-1]] // part, "right")
         for first in range(low, high, 4096):
             c = classes[first : min(high, first + 4096)]
-            need = least_overlap(n[w][:, None], n[c][None])
+            need = link.least_overlap(n[w][:, None], n[c][None])
             can = np.minimum(rough[w][:, None], rough[c][None]).sum(axis=2, dtype=np.int32) >= need
             i, j = np.nonzero(can & (label[w][:, None] != label[c][None]))
             ok = bound(h[w[i]], h[c[j]]) >= need[i, j]
@@ -305,9 +309,8 @@ def fitting(h: np.ndarray, n: np.ndarray, label: np.ndarray, m: int) -> np.ndarr
     return np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
 
 
-def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screened(link: Link):
     """Rows of (token, block) that some row of another component and fitting histogram stands against."""
-    rest: pa.Table | None = None
     names = ["key", "block", "walks", "set_id", "i"]
 
     def screened(table: pa.Table) -> pa.RecordBatch:
@@ -319,25 +322,29 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = a + int(np.count_nonzero(~walks[a:b]))  # classes first, then walkers
             if m == b:
                 continue
-            fits = fitting(_histograms(cells[a:b]), n[a:b], label[a:b], m - a)
+            fits = fitting(_histograms(cells[a:b]), n[a:b], label[a:b], m - a, link)
             keep[a + fits] = True
         out = table.select(names).filter(pa.array(keep)).combine_chunks()
         return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
-        last = np.flatnonzero((key != key[-1]) | (block != block[-1])) if len(key) else []
-        cut = int(last[-1]) + 1 if len(last) else 0
-        rest = table.slice(cut)
-        if cut:
-            yield screened(table.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield screened(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
+            last = np.flatnonzero((key != key[-1]) | (block != block[-1])) if len(key) else []
+            cut = int(last[-1]) + 1 if len(last) else 0
+            rest = table.slice(cut)
+            if cut:
+                yield screened(table.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield screened(rest)
+
+    return run
 
 
-def _meet(best: bool):
+def _meet(best: bool, link: Link):
     """Candidate pairs from rows of (token, block) in order, indexed classes before walkers.
 
     With ``best``, one candidate for each walker and component, that of the greatest bound; else all.
@@ -350,7 +357,7 @@ def _meet(best: bool):
             for token, block, walks, own, n, label, tokens, places, h, *tail in zip(*(batch.column(i).to_pylist() for i in range(11))):
                 i, cut = tail
                 before, tokens, places = set(tokens[:i]), tokens[i:], places[i:]
-                mine = (n, tokens, places, places[-1] + 1 if cut else prefix_length(n))
+                mine = (n, tokens, places, places[-1] + 1 if cut else link.prefix_length(n))
                 if (token, block) != key:
                     key, tree, held, matrix = (token, block), Tree(), [], None
                 if not walks:
@@ -361,14 +368,14 @@ def _meet(best: bool):
                     matrix = _histograms([x[2] for x in held])
                     sizes, labels = np.array([x[0][0] for x in held]), np.array([x[3] for x in held])
                 most = bound(matrix, np.frombuffer(h, np.uint8))
-                can = (most >= least_overlap(n, sizes)) & (labels != label)
+                can = (most >= link.least_overlap(n, sizes)) & (labels != label)
                 if not can.any():
                     continue
                 found: dict[int, tuple[int, int]] = {}
                 wanted = int.from_bytes(np.packbits(can, bitorder="little").tobytes(), "little")
-                for i in walk(tree, tokens, places, n, token, wanted):
+                for i in walk(tree, tokens, places, n, token, wanted, link):
                     # pairs that share a token before this one are met there
-                    if before.isdisjoint(held[i][1]) and reachable(mine, held[i][0]):
+                    if before.isdisjoint(held[i][1]) and reachable(mine, held[i][0], link):
                         other = held[i][4]
                         group = int(labels[i]) if best else other
                         found[group] = max(found.get(group, (-1, 0)), (int(most[i]), other))
@@ -378,7 +385,7 @@ def _meet(best: bool):
     return run
 
 
-def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
+def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool, link: Link) -> DataFrame:
     """Candidates ``a, b`` in different components, for the tokens whose classes are in several."""
     labelled = nodes.join(found.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = stored(labelled, "labelled")
@@ -386,7 +393,7 @@ def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
         at = labelled.select("set_id", "label", F.explode("token").alias("key"))
         foreign = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
         left = at.join(foreign.hint("merge"), "key").groupBy("set_id").agg(F.count(F.lit(1)).alias("c"))
-        labelled = stored(labelled.join(left.hint("merge"), "set_id").filter(enough(F.col("c"))).drop("c"), "labelled")
+        labelled = stored(labelled.join(left.hint("merge"), "set_id").filter(link.enough(F.col("c"))).drop("c"), "labelled")
     labelled = labelled.withColumns({c: F.slice(c, F.lit(1), F.col("k")) for c in ("token", "place")})
     at = labelled.select("set_id", "label", F.posexplode("token").alias("i", "key"))
     marks = [F.expr(f"sum(cast(xxhash64(set_id, {i}) as decimal(20)))").alias(f"m{i}") for i in (1, 2)]
@@ -402,15 +409,15 @@ def tree_pairs(nodes: DataFrame, found: DataFrame, best: bool) -> DataFrame:
     small = labelled.select("set_id", "n", "label", "hist").hint("merge")
     met = indexed.unionByName(walkers).join(small, "set_id").select("key", "block", "walks", "set_id", "i", "n", "label", "hist")
     met = met.repartition("key", "block").sortWithinPartitions("key", "block", "walks")
-    met = met.mapInArrow(_screened, "key bigint, block bigint, walks boolean, set_id bigint, i int").join(labelled.hint("merge"), "set_id")
+    met = met.mapInArrow(_screened(link), "key bigint, block bigint, walks boolean, set_id bigint, i int").join(labelled.hint("merge"), "set_id")
     start = F.greatest(F.col("i") - BEFORE, F.lit(0))
     near = [F.slice(c, start + 1, F.lit(DEPTH)).alias(c) for c in ("token", "place")]
     met = met.select("key", "block", "walks", "set_id", "n", "label", *near, "hist", (F.col("i") - start).alias("i"), (F.size("token") > start + DEPTH).alias("cut"))
     met = met.repartition("key", "block").sortWithinPartitions("key", "block", "walks")
-    return met.mapInArrow(_meet(best), "a bigint, b bigint")
+    return met.mapInArrow(_meet(best, link), "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, gram: int, link: Link) -> DataFrame:
     """The pairs ``a, b`` of classes that are linked, by their whole sets. ``first`` has a document of each class."""
     pairs = stored(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(first, "set_id")
@@ -420,7 +427,7 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text
     def row(own, tokens):
         return own, set_id(tokens), tokens
 
-    sets = _text_map(rows.select("set_id", "t"), "set_id bigint, found bigint, tokens array<bigint>", row, 1)
+    sets = _text_map(rows.select("set_id", "t"), "set_id bigint, found bigint, tokens array<bigint>", row, 1, gram)
     # an id may be on several rows of different text: only the row of the class counts
     sets = stored(sets.filter("set_id = found").select("set_id", "tokens").dropDuplicates(["set_id"]), "sets")
     both = pairs.join(sets.toDF("a", "t_a").hint("merge"), "a").join(sets.toDF("b", "t_b").hint("merge"), "b")
@@ -431,28 +438,30 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text
             for i in range(batch.num_rows):
                 x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(NEEDED[1] * same >= NEEDED[0] * (len(x) + len(y) - same))
+                keep.append(link.whole * same >= link.part * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return stored(both.select("a", "b", "t_a", "t_b").mapInArrow(linked, "a bigint, b bigint"), "links")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, needed: tuple[int, int] = NEEDED) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, set_id, component_id``, the smallest id reachable by links.
 
-    Words are runs without the six ASCII spaces, A-Z lower-cased. A null text, or one without words, has
+    Documents are linked when the sets of their word ``gram``-grams have a Jaccard similarity of ``needed``
+    (numerator, denominator) or more. Words are runs without the six ASCII spaces, A-Z lower-cased. A null text, or one without words, has
     an empty set and is its own component; so is a row with a null id, which links with nothing. Rows
     that repeat an id are rows of one document each and are linked by their texts. Other columns are ignored.
     """
-    frequent = frequent_tokens(docs, text)
+    link = Link(*needed)
+    frequent = frequent_tokens(docs, text, gram)
 
     def row(own, tokens):
-        first = ordered(tokens, frequent)[: reach(len(tokens))]
+        first = ordered(tokens, frequent)[: link.reach(len(tokens))]
         return own, len(tokens), set_id(tokens), first, histogram(tokens).tobytes()
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     shape = "doc_id bigint, n_shingles bigint, set_id bigint, prefix array<bigint>, hist binary"
-    base = stored(_text_map(rows, shape, row, 1), "prefixes")
+    base = stored(_text_map(rows, shape, row, 1, gram), "prefixes")
     member = base.select("doc_id", "n_shingles", "set_id")
     usable = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
     first = usable.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"))
@@ -461,9 +470,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     each = usable.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
     shared = each.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low != high").select("token")
     nodes = each.join(shared.hint("merge"), "token").groupBy("set_id", "n").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("p"))
-    nodes = nodes.filter(enough(F.size("p"))).select("set_id", F.col("n").cast("int").alias("n"), "p.place", "p.token")
-    nodes = nodes.withColumn("k", F.size(F.filter("place", lambda x: x <= spare("n")))).join(first.hint("merge"), "set_id")
-    nodes = stored(nodes.withColumn("alone", spare("n") + 1 - F.col("k")), "nodes")
+    nodes = nodes.filter(link.enough(F.size("p"))).select("set_id", F.col("n").cast("int").alias("n"), "p.place", "p.token")
+    nodes = nodes.withColumn("k", F.size(F.filter("place", lambda x: x <= link.spare("n")))).join(first.hint("merge"), "set_id")
+    nodes = stored(nodes.withColumn("alone", link.spare("n") + 1 - F.col("k")), "nodes")
 
     # 1. stars
     at = nodes.select("set_id", "alone", F.explode(F.slice("token", F.lit(1), F.col("k"))).alias("token"))
@@ -472,12 +481,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     star = votes.groupBy("set_id").agg(F.max(F.struct("c", "centre")).alias("v")).select(F.col("set_id").alias("a"), F.col("v.centre").alias("b"))
     sides = [nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"h_{x}")).hint("merge") for x in "ab"]
     star = star.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "h_a", "h_b")
-    links = verified(star.mapInArrow(_possible, "a bigint, b bigint"), first, docs, key, text)
+    links = verified(star.mapInArrow(_possible(link), "a bigint, b bigint"), first, docs, key, text, gram, link)
     found = components(links)
 
     # 2. trees
     for best in (True, False):
-        more = verified(tree_pairs(nodes, found, best), first, docs, key, text)
+        more = verified(tree_pairs(nodes, found, best, link), first, docs, key, text, gram, link)
         if more.limit(1).count():
             links = links.union(more)
             found = components(links)
@@ -489,8 +498,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     return out.select("doc_id", "n_shingles", "set_id", F.when(alone, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, needed: tuple[int, int] = NEEDED) -> DataFrame:
     """The documents with one kept of each component: that of the smallest id, and of rows repeating it the first text."""
-    found = jaccard_components(docs, text, key).select(F.col("doc_id").alias("_doc"), "component_id").filter("_doc != component_id")
+    found = jaccard_components(docs, text, key, gram, needed).select(F.col("doc_id").alias("_doc"), "component_id").filter("_doc != component_id")
     drop = found.select("_doc").distinct()
     return docs.join(drop, F.col(key) == F.col("_doc"), "left_anti")
