@@ -47,7 +47,8 @@ ALPHABETS = [
 ]
 _RANGES = [(ord(a), ord(b)) for a, b in ALPHABETS]
 
-TRIGGER = re.compile("[0-9@]")
+# Every entity holds one of these.
+TRIGGER = re.compile(r"[\d@]|A[KS]IA|(?:[spr]k|gh[po]|xox[abp])[-_]")
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’-]+"
 NAME = re.compile(rf"\b(?P<title>{'|'.join(sorted(GENDER, key=len, reverse=True))})(?:\.[ ]?|[ ])(?P<name>{_CAP}(?: {_CAP})?)")
 ENTITY = re.compile(
@@ -63,7 +64,7 @@ DIGITS = re.compile(r"\d")
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in order, without overlaps. Only lines with a digit or @ are read closely, and names after titles."""
+    """(start, end, kind) in order, without overlaps. Only lines that the trigger meets are read closely, and names after titles."""
     found, at = [], 0
     if not text:
         return found
@@ -98,7 +99,7 @@ def permuted(key: bytes, tweak: str, number: int, left: int, right: int) -> int:
 
 def _radix(ch: str) -> tuple[int, int] | None:
     c = ord(ch)
-    return next(((a, b - a + 1) for a, b in _RANGES if a <= c <= b), None)
+    return next(((a, b - a + 1) for a, b in _RANGES if a <= c <= b), (c - int(ch), 10) if ch.isdecimal() else None)
 
 
 def respelled(key: bytes, tweak: str, text: str) -> str:
@@ -131,6 +132,16 @@ def _account_digits(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+def _plain(digits: str) -> str:
+    """Decimal digits of any script as 0 to 9; other characters as they are."""
+    return digits if digits.isascii() else "".join(str(int(ch)) if ch.isdecimal() else ch for ch in digits)
+
+
+def _digit_like(ch: str, new: str) -> str:
+    """A digit 0 to 9 in the script of the digit that it replaces."""
+    return new if "0" <= ch <= "9" or not ch.isdecimal() else chr(ord(ch) - int(ch) + int(new))
+
+
 def canonical(kind: str, found: str) -> str:
     """One form for all ways to write an entity."""
     if kind == "email":
@@ -138,11 +149,11 @@ def canonical(kind: str, found: str) -> str:
     if kind == "ip":
         return ".".join(str(int(p)) for p in found.split("."))
     if kind in ("card", "social"):
-        return "".join(DIGITS.findall(found))
+        return _plain("".join(DIGITS.findall(found)))
     if kind == "account":
-        return found.replace(" ", "")
+        return _plain(found.replace(" ", ""))
     if kind == "phone":
-        digits = "".join(DIGITS.findall(found))
+        digits = _plain("".join(DIGITS.findall(found)))
         return digits if found.startswith("+") else "1" + digits
     return found
 
@@ -202,10 +213,10 @@ def laid_out(kind: str, found: str, new: str) -> str:
     if kind in ("card", "social", "phone"):
         new = new[-len(DIGITS.findall(found)) :]
         fill = iter(new)
-        return "".join(next(fill) if "0" <= ch <= "9" else ch for ch in found)
+        return "".join(_digit_like(ch, next(fill)) if ch.isdecimal() else ch for ch in found)
     if kind == "account":
         fill = iter(new)
-        return "".join(ch if ch == " " else next(fill) for ch in found)
+        return "".join(ch if ch == " " else _digit_like(ch, next(fill)) for ch in found)
     return new
 
 
