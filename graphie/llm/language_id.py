@@ -133,8 +133,11 @@ class Network:
 
 
 def train(samples: list[tuple[bytes, str]], seed: int = 5) -> Network:
-    """Fit on (bytes, language). One language or none gives a network that always says it, or nothing."""
-    langs = sorted({lang for _, lang in samples})
+    """Fit on (bytes, language). One language or none gives a network that always says it, or nothing.
+
+    A language that has only empty texts is not learned, and the others are learned without it.
+    """
+    langs = sorted({lang for t, lang in samples if t})
     rng, n, k = np.random.default_rng(seed), HIDDEN, max(1, len(langs))
     w = {"c": np.zeros((k, 1))}
     for d in "01":
@@ -144,7 +147,7 @@ def train(samples: list[tuple[bytes, str]], seed: int = 5) -> Network:
         w[f"v{d}"] = rng.normal(0, 0.3, (k, n))
     w = {name: x.astype(np.float32) for name, x in w.items()}
     of = {lang: [np.frombuffer(t, np.uint8) for t, own in samples if own == lang and t] for lang in langs}
-    if len(langs) < 2 or not all(of.values()):
+    if len(langs) < 2:
         return Network(langs, w)
     mean, square = {name: np.zeros_like(x) for name, x in w.items()}, {name: np.zeros_like(x) for name, x in w.items()}
     for step in range(1, STEPS + 1):
@@ -173,7 +176,7 @@ def train(samples: list[tuple[bytes, str]], seed: int = 5) -> Network:
 
 
 def fit_languages(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network:
-    """Train on rows for which ``usable`` holds and that have a text and a language.
+    """Train on rows for which ``usable`` holds and that have a language and a text that is not empty.
 
     At most ``SAMPLE`` rows a language are read, the first of each of ``CLASSES`` classes of their hash, a
     slice at a hashed place of each. The rank limit applies before the shuffle, so a common language is no
@@ -181,7 +184,7 @@ def fit_languages(docs: DataFrame, usable: Column, text: str = "text", lang: str
     """
     h = F.xxhash64(F.col(key), F.length(text))
     at = F.pmod(h, F.greatest(F.lit(1), F.length(text) - SLICE)) + 1
-    rows = docs.filter(usable & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = docs.filter(usable & (F.col(text) != "") & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).alias("_lang"), F.substring(F.col(text), at.cast("int"), F.lit(SLICE)).alias("_slice"), h.alias("_h"))
     first = Window.partitionBy("_lang", F.pmod("_h", F.lit(CLASSES))).orderBy("_h", "_slice")
     rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= SAMPLE // CLASSES).orderBy("_lang", "_h", "_slice")

@@ -173,6 +173,19 @@ def test_languages(spark, odd):
     assert language_id.predict_languages(odd, language_id.fit_languages(odd, F.lit(True))).filter("lang_pred = 'und'").count() == odd.count()
 
 
+def test_languages_with_empty_texts_only_are_not_learned(spark):
+    rng = random.Random(12)
+    make = {"aa": lambda: "".join(rng.choices("abcde ", k=300)), "mm": lambda: "", "zz": lambda: "".join(rng.choices("uvwxyß ", k=300))}
+    rows = [(i, make[k](), k) for i, k in enumerate(["aa", "zz"] * 60 + ["mm"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    network = language_id.fit_languages(docs, F.col("doc_id") % 5 != 1)
+    got = language_id.predict_languages(docs, network, keep=("doc_id", "lang")).filter("doc_id % 5 = 1 AND lang != 'mm'").collect()
+    assert got and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.9 * len(got)
+    assert network.langs == ["aa", "zz"]
+    again = language_id.train([(t.encode(), k) for _, t, k in rows])
+    assert again.langs == ["aa", "zz"] and again.documents([b"abcde " * 40]).argmax() == 0
+
+
 # 5
 
 
