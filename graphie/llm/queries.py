@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphie.llm import chat, decontamination, jaccard_join, language_id, licences, mixing, private, suffix_arrays, topk, toxicity
+from graphie.llm import chat, decontamination, jaccard_join, language_id, lexical, licences, mixing, private, secret_scan, suffix_arrays, topk, toxicity, whitening
 from graphie.llm.shared import fold_of, read_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,42 @@ FROM s QUALIFY rank <= 10""",
 )
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}') AS ts FROM documents),
+sized AS (SELECT r, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+corpus AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sized),
+asked AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')) AS t FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM sized) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, corpus GROUP BY t),
+s AS (SELECT item_id, doc_id, r, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // l)))) AS BIGINT) AS score
+  FROM asked JOIN w USING (t) JOIN tf USING (t) JOIN sized USING (r), corpus GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20""",
+)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = lexical.query_terms(table(spark, sf_dir, "benchmark"))
+    return lexical.search(lexical.build_index(read_documents(spark, sf_dir), asked), asked, 20)
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.usable_vectors(table(spark, sf_dir, "embeddings"))
+    rows = whitening.whiten(vectors, whitening.fit_whitening(vectors))
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def _is(value: str):
+    return lambda x: x == value
+
+
+@query("op13_secret_scan")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_documents(read_documents(spark, sf_dir))
+    counts = [F.size(F.filter(F.col("base.kind"), _is(k))).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.span_list("base"), 256).alias("base_sha256"), secret_scan.span_list("spans").alias("spans"), "n_layers", "n_refused"
+    )
