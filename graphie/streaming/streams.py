@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from graphie.operators import dictionary as D
 from graphie.operators import language as L
@@ -44,58 +47,116 @@ def respell_or_hold(
     return done.withColumn(text_col, F.coalesce("_src", text_col)).drop("_src")
 
 
+# State of a page: changes since the last rewrite, the times of the last change and rewrite, and
+# changes the watermark has not reached, as times and how many at each.
+_PENDING = "n bigint, last bigint, fired bigint, times array<bigint>, counts array<bigint>"
+_NONE = (0, 0, -MAX_DELAY_MS, [], [])
+
+
+def _due(n: int, last: int, fired: int) -> int:
+    """The moment pending changes are to be rewritten."""
+    quiet = last + QUIET_MS
+    return quiet if n > MANY_CHANGES else max(quiet, fired + MAX_DELAY_MS)
+
+
+def _advance(state: tuple, now: float) -> tuple[tuple, list[tuple[int, int]]]:
+    """The state when it is ``now``, and the rewrites (time, changes) until then."""
+    n, last, fired, times, counts = state
+    out, later = [], []
+    for t, c in sorted(zip(times, counts)):
+        if t > now:
+            later.append((t, c))
+            continue
+        if n and t >= _due(n, last, fired):
+            fired = _due(n, last, fired)
+            out.append((fired, n))
+            n = 0
+        n, last = n + c, max(last, t)
+    if n and _due(n, last, fired) <= now:
+        fired = _due(n, last, fired)
+        out.append((fired, n))
+        n = 0
+    return (n, last, fired, [t for t, _ in later], [c for _, c in later]), out
+
+
+class _Debouncer(StatefulProcessor):
+    """Changes wait for the watermark, so micro-batches may be cut anywhere; a timer a page says when to look again."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", _PENDING)
+
+    def _settled(self, k: tuple, state: tuple, now: int) -> Iterator[pd.DataFrame]:
+        state, out = _advance(state, now)
+        self.pending.update(state)
+        n, last, fired, times, _ = state
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if n or times:
+            self.handle.registerTimer(max(now + 1, min([*times[:1], *([_due(n, last, fired)] if n else [])])))
+        yield pd.DataFrame([(k[0], at, c) for at, c in out], columns=[self.key, "fired_at", "n_changes"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, last, fired, times, counts = self.pending.get() if self.pending.exists() else _NONE
+        waiting = Counter(dict(zip(times, counts)))
+        for b in rows:
+            waiting.update(b.iloc[:, -1].tolist())
+        at = sorted(waiting)
+        yield from self._settled(key, (n, last, fired, at, [waiting[t] for t in at]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settled(key, tuple(self.pending.get()), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
 def debounce(stream: DataFrame, key: str, ts: str, *, watermark: str = "1 second") -> DataFrame:
     """When to rewrite a page that keeps changing: ``key, fired_at, n_changes``.
 
-    A page is rewritten once it has been quiet for a tenth of a second, if it has
-    changed a lot or its last rewrite is at least five seconds old; otherwise when
-    those five seconds are over. State per page: a count and two times.
+    A page is rewritten once it has been quiet for a tenth of a second, if it has changed a lot or its
+    last rewrite is at least five seconds old; otherwise when those five seconds are over. The answer
+    depends on event times alone, not on how the input is cut into micro-batches. State per page: a
+    count, two times, and the changes the watermark has not passed. Rows without a time are left out.
+    Needs ``keyed_state``. What is pending when the input ends stays in the state: see ``last_rewrites``.
     """
     kind = dict(stream.dtypes)[key]
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, fired = state.get if state.exists else (0, 0, -MAX_DELAY_MS)
-        out = []
-
-        def due() -> int:
-            """The moment the pending changes are to be rewritten."""
-            quiet = last + QUIET_MS
-            return quiet if n > MANY_CHANGES else max(quiet, fired + MAX_DELAY_MS)
-
-        times: list[int] = []
-        if not state.hasTimedOut:
-            for b in batches:
-                times.extend(int(x.timestamp() * 1000) for x in b[ts])
-        for t in sorted(times):
-            if n and t >= due():
-                fired = due()
-                out.append((k[0], fired, n))
-                n = 0
-            n, last = n + 1, max(last, t)
-        now = state.getCurrentWatermarkMs()
-        if n and now >= due():
-            fired = due()
-            out.append((k[0], fired, n))
-            n = 0
-        state.update((n, last, fired))
-        if n:
-            state.setTimeoutTimestamp(max(due(), now + 1))
-        yield pd.DataFrame(out, columns=[key, "fired_at", "n_changes"])
-
+    timed = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark)
     return (
-        stream.withWatermark(ts, watermark)
-        .select(key, ts)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step,
-            f"{key} {kind}, fired_at bigint, n_changes bigint",
-            "n bigint, last bigint, fired bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        timed.select(key, ts, F.unix_millis(ts).alias("ms")).groupBy(key)
+        .transformWithStateInPandas(_Debouncer(key), f"{key} {kind}, fired_at bigint, n_changes bigint", "Append", "EventTime")
     )
 
 
+def last_rewrites(spark: SparkSession, checkpoint: str, key: str, kind: str) -> DataFrame:
+    """Rewrites still due when a stream of ``debounce`` has ended, read from its state store."""
+    state = spark.read.format("statestore").option("stateVarName", "pending").load(checkpoint)
+
+    def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, *pending in b.itertuples(index=False):
+                out += [(k, at, n) for at, n in _advance((*pending[:3], list(pending[3]), list(pending[4])), math.inf)[1]]
+            yield pd.DataFrame(out, columns=[key, "fired_at", "n_changes"])
+
+    return state.select(f"key.{key}", "value.*").mapInPandas(flush, f"{key} {kind}, fired_at bigint, n_changes bigint")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state and timers need, for streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def change_bursts(stream: DataFrame, key: str, ts: str, *, gap: str = "5 seconds", watermark: str = "10 seconds") -> DataFrame:
     """The event-time form with built-in sessions: one row per burst of changes."""
     return (
@@ -107,15 +168,57 @@ def change_bursts(stream: DataFrame, key: str, ts: str, *, gap: str = "5 seconds
 
 
 def latest_wins(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """Only the newest version of each row of a micro-batch: intermediate ones are skipped."""
+    """Only the newest version of each row: intermediate ones are skipped."""
     rest = [c for c in batch.columns if c not in (key, order)]
     return D.last_wins(batch, key, order, *rest).select(*batch.columns)
 
 
+class _Newest(StatefulProcessor):
+    """Lets a version pass if none of its key seen before, in this micro-batch or an earlier one, is newer."""
+
+    def __init__(self, columns: list[str], order: str, kind: str):
+        self.columns, self.order, self.kind = columns, order, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", f"v {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in rows:
+            b = b.set_axis(self.columns, axis=1)  # names that are no identifiers arrive as others
+            b = b[b[self.order].notna()]
+            top = b[b[self.order] == b[self.order].max()]
+            if len(top) and (best is None or top[self.order].iloc[0] >= best[self.order].iloc[0]):
+                same = best is not None and top[self.order].iloc[0] == best[self.order].iloc[0]
+                best = pd.concat([best, top]) if same else top
+        if best is None:
+            return
+        version = best[self.order].iloc[0]
+        if self.kind in ("tinyint", "smallint", "int", "bigint"):
+            version = int(version)  # a column that holds nulls as well arrives as floats
+        if not self.newest.exists() or version >= self.newest.get()[0]:
+            self.newest.update((version,))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+def newest_versions(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of a stream that are newer than every row of their key so far; ties pass together.
+
+    The newest version per key is keyed state, so an old version that comes late, in a later
+    micro-batch, is skipped as well. Rows without an order are left out. Needs ``keyed_state``. What
+    comes out are upserts: ``latest_wins`` of the sink, at read time, is the state of the table.
+    """
+    kind = dict(stream.dtypes)[order]
+    return stream.groupBy(key).transformWithStateInPandas(_Newest(stream.columns, order, kind), stream.schema, "Append", "None")
+
+
 def respell_latest(
     text_col: str, key: str, order: str, dictionary: Dictionary, sink: Callable[[DataFrame, int], None]
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that coalesces, rewrites and hands on."""
+    """A ``foreachBatch`` function that coalesces each micro-batch, rewrites and hands on."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         sink(R.respell(latest_wins(batch, key, order), text_col, dictionary), epoch)

@@ -3,25 +3,50 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from graphie.operators.dictionary import Dictionary
-from graphie.plans.streams import run
+from graphie.plans.streams import in_parts, run
 from graphie.sources import lexicon_io as LX
 from graphie.sources.files import read_documents, stored, work_folder
 from graphie.streaming import streams as S
 
 
-def test_debounce(spark, tmp_path):
-    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    at = lambda ms: t0 + timedelta(milliseconds=ms)
+T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def at(ms):
+    return T0 + timedelta(milliseconds=ms)
+
+
+def debounced(spark, df, parts):
+    """All rewrites, as milliseconds since the first moment."""
+    base = work_folder(spark, "debounce")
+    stream = in_parts(df, "pages", F.col("part"), parts).drop("part")
+    out = run(S.debounce(stream, "page", "ts"), "debounce", base=base)
+    rest = S.last_rewrites(spark, f"{base}/state", "page", "string")
+    start = int(T0.timestamp() * 1000)
+    return sorted((r.page, r.fired_at - start, r.n_changes) for r in out.unionByName(rest).collect()), rest.count()
+
+
+def test_debounce(spark):
     rows = [("a", at(0)), ("a", at(50)), ("a", at(3000)), ("a", at(3050)), ("a", at(9000)), ("end", at(60000))]
     rows += [("big", at(i)) for i in range(1500)]
-    rows += [("big", at(20000)), ("big", at(20010))]
-    spark.createDataFrame(rows, "page string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / "x.parquet"))
-    stream = spark.readStream.schema("page string, ts timestamp").parquet(str(tmp_path / "in" / "x.parquet"))
-    out = run(S.debounce(stream, "page", "ts"), "debounce").filter("page <> 'end'").collect()
-    base = int(t0.timestamp() * 1000)
-    got = sorted((r.page, r.fired_at - base, r.n_changes) for r in out)
+    rows += [("big", at(20000)), ("big", at(20010)), ("late", at(59999)), ("late", None)]
     # The first burst fires once quiet; the next waits until five seconds have passed.
-    assert got == [("a", 150, 2), ("a", 5150, 2), ("a", 10150, 1), ("big", 1599, 1500), ("big", 20110, 2)]
+    want = [("a", 150, 2), ("a", 5150, 2), ("a", 10150, 1), ("big", 1599, 1500), ("big", 20110, 2), ("end", 60100, 1), ("late", 60099, 1)]
+    whole = spark.createDataFrame([(*r, 0) for r in rows], "page string, ts timestamp, part int")
+    got, pending = debounced(spark, whole, 1)
+    assert got == want and pending == 2
+    # cut anywhere, also within a burst and, by less than the watermark, out of order
+    cut = [(p, t, 0 if t is None or t < at(700) else 1 if t < at(5100) else 2) for p, t in rows]
+    swapped = [(p, t, 1 if p == "big" and t == at(650) else k) for p, t, k in cut]
+    assert debounced(spark, spark.createDataFrame(swapped, "page string, ts timestamp, part int"), 3)[0] == want
+
+
+def test_newest_versions_across_micro_batches(spark):
+    rows = [(1, 5, "e", 0), (1, 2, "b", 0), (2, 1, "z", 0), (3, None, "n", 0), (1, 3, "c", 1), (2, 2, "y", 1), (1, 7, "g", 2), (1, 7, "h", 2), (2, 2, "x", 2), (2, 0, "w", 2)]
+    df = spark.createDataFrame(rows, "class int, v int, text string, part int")
+    out = run(S.newest_versions(in_parts(df, "versions", F.col("part"), 3), "class", "v"), "newest")
+    assert sorted((r["class"], r.v, r.text) for r in out.collect()) == [(1, 5, "e"), (1, 7, "g"), (1, 7, "h"), (2, 1, "z"), (2, 2, "x"), (2, 2, "y")]
+    assert {tuple(r)[:3] for r in S.latest_wins(out, "class", "v").collect()} == {tuple(r)[:3] for r in S.latest_wins(df.filter("v is not null"), "class", "v").collect()}
 
 
 def test_stream_equals_batch_and_holds_empty_rows(spark, sf):
