@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from graphie.functions import graphemes as G
 from graphie.functions.plan import computed_once
+from graphie.sources.files import stored
 
 PATH = "array<struct<g:string,p:string,i:int,j:int,s:int>>"
 _ENTRIES = "array<struct<g:string,gl:int,gb:int,core:boolean,ctx:int,sounds:array<struct<p:string,pl:int,imp:int>>>>"
@@ -382,6 +383,75 @@ def _candidates(st: Column, sp: Column, pos: Column) -> Column:
     )
 
 
+def _wanted(st: Column, sp: Column) -> Column:
+    key = F.concat(st["ortho"], F.lit("|"), st["phon"])
+    return (
+        ((sp["need"] == "") | F.rlike(st["w0"], sp["need"]))
+        & ((sp["lemma"] == "") | F.rlike(st["lemme"], sp["lemma"]))
+        & ((sp["target"] == "") | F.contains(key, sp["target"]))
+        & (F.size(st["path"]) > 0)
+    )
+
+
+def _first_position(st: Column, sp: Column) -> Column:
+    return F.when(sp["start"] == "last4", F.greatest(F.length(st["ortho"]) - 3, F.lit(1))).otherwise(1)
+
+
+def _rounds(align_: Callable[[Column, Column], Column], st: Column, sp: Column, pos: Column) -> Column:
+    """``struct<st, pos, go>`` after a number of rounds of one step. ``go``: it has not come to its end.
+
+    Every round passes at least one letter that was there before, or uses one up, unless the result of
+    the step holds its target again. So without such a result ``go`` is always false in the end.
+    """
+    rounds = F.sequence(F.lit(1), F.length(st["ortho"]) + F.length(sp["repl"]) + 1)
+    first = F.struct(st.alias("st"), pos.cast("int").alias("pos"), F.lit(True).alias("go"))
+
+    def round_(acc: Column, _: Column) -> Column:
+        cur = acc["st"]
+
+        def tried(cands: Column) -> Column:
+            def judged(c: Column) -> Column:
+                return F.struct(c.alias("c"), align_(c["ortho"], c["phon"]).alias("a"))
+
+            def good(x: Column) -> Column:
+                free = sp["kind"].isin("all", "sound")
+                quiet = x["a"]["surprise"] <= cur["surprise"]
+                allowed = ~cur["kept"] | (sp["kind"] == "sound") | F.rlike(x["c"]["ortho"], sp["keep"])
+                return x["a"].isNotNull() & (free | quiet) & F.coalesce(allowed, F.lit(True))
+
+            passed = F.filter(F.transform(cands, judged), good)
+
+            def settle(ok: Column) -> Column:
+                pick = F.when(
+                    sp["kind"] == "suffix", F.when(F.size(ok) == 2, F.get(ok, F.lit(1)))
+                ).otherwise(F.get(ok, F.lit(0)))
+
+                def next_(x: Column) -> Column:
+                    new = F.struct(
+                        x["c"]["ortho"].alias("ortho"), x["c"]["phon"].alias("phon"),
+                        cur["lemme"].alias("lemme"), cur["h"].alias("h"),
+                        x["a"]["path"].alias("path"), x["a"]["surprise"].alias("surprise"),
+                        cur["w0"].alias("w0"), cur["kept"].alias("kept"),
+                    )
+                    is_text = sp["kind"] == "text"
+                    again = F.when(is_text, F.size(cands) > 0).otherwise(
+                        sp["kind"].isin("graphem", "edouble", "ecirc", "accent") & x.isNotNull()
+                    )
+                    return F.struct(
+                        F.when(x.isNotNull(), new).otherwise(cur).alias("st"),
+                        F.when(is_text, F.coalesce(F.get(cands, F.lit(0))["at"] + 1, acc["pos"])).otherwise(acc["pos"]).alias("pos"),
+                        F.coalesce(again, F.lit(False)).alias("go"),
+                    )
+
+                return let(pick, next_)
+
+            return let(passed, settle)
+
+        return F.when(acc["go"], let(_candidates(cur, sp, acc["pos"]), tried)).otherwise(acc)
+
+    return F.aggregate(rounds, first, round_)
+
+
 def _run_steps(align_: Callable[[Column, Column], Column], state: Column, steps: Column) -> Column:
     def one_step(st: Column, sp: Column) -> Column:
         begun = F.struct(
@@ -389,75 +459,71 @@ def _run_steps(align_: Callable[[Column, Column], Column], state: Column, steps:
             F.concat(st["ortho"], F.lit("|"), st["phon"]).alias("w0"),
             F.when(sp["keep"] == "", F.lit(False)).otherwise(F.rlike(st["ortho"], sp["keep"])).alias("kept"),
         )
-        key = F.concat(st["ortho"], F.lit("|"), st["phon"])
-        wanted = (
-            ((sp["need"] == "") | F.rlike(st["w0"], sp["need"]))
-            & ((sp["lemma"] == "") | F.rlike(st["lemme"], sp["lemma"]))
-            & ((sp["target"] == "") | F.contains(key, sp["target"]))
-            & (F.size(st["path"]) > 0)
-        )
-        start0 = F.when(sp["start"] == "last4", F.greatest(F.length(st["ortho"]) - 3, F.lit(1))).otherwise(1)
-        # Every round moves past at least one character or uses up one replacement.
-        rounds = F.sequence(F.lit(1), F.length(st["ortho"]) + F.length(sp["repl"]) + 1)
-        first = F.struct(st.alias("st"), start0.alias("pos"), F.lit(True).alias("go"))
-
-        def round_(acc: Column, _: Column) -> Column:
-            cur = acc["st"]
-
-            def tried(cands: Column) -> Column:
-                def judged(c: Column) -> Column:
-                    return F.struct(c.alias("c"), align_(c["ortho"], c["phon"]).alias("a"))
-
-                def good(x: Column) -> Column:
-                    free = sp["kind"].isin("all", "sound")
-                    quiet = x["a"]["surprise"] <= cur["surprise"]
-                    allowed = ~cur["kept"] | (sp["kind"] == "sound") | F.rlike(x["c"]["ortho"], sp["keep"])
-                    return x["a"].isNotNull() & (free | quiet) & F.coalesce(allowed, F.lit(True))
-
-                passed = F.filter(F.transform(cands, judged), good)
-
-                def settle(ok: Column) -> Column:
-                    pick = F.when(
-                        sp["kind"] == "suffix", F.when(F.size(ok) == 2, F.get(ok, F.lit(1)))
-                    ).otherwise(F.get(ok, F.lit(0)))
-
-                    def next_(x: Column) -> Column:
-                        new = F.struct(
-                            x["c"]["ortho"].alias("ortho"), x["c"]["phon"].alias("phon"),
-                            cur["lemme"].alias("lemme"), cur["h"].alias("h"),
-                            x["a"]["path"].alias("path"), x["a"]["surprise"].alias("surprise"),
-                            cur["w0"].alias("w0"), cur["kept"].alias("kept"),
-                        )
-                        is_text = sp["kind"] == "text"
-                        again = F.when(is_text, F.size(cands) > 0).otherwise(
-                            sp["kind"].isin("graphem", "edouble", "ecirc", "accent") & x.isNotNull()
-                        )
-                        return F.struct(
-                            F.when(x.isNotNull(), new).otherwise(cur).alias("st"),
-                            F.when(is_text, F.coalesce(F.get(cands, F.lit(0))["at"] + 1, acc["pos"])).otherwise(acc["pos"]).alias("pos"),
-                            F.coalesce(again, F.lit(False)).alias("go"),
-                        )
+        done = _rounds(align_, st, sp, _first_position(st, sp))["st"]
+        return F.when(sp["kind"] == "begin", begun).when(_wanted(st, sp), done).otherwise(st)
 
-                    return let(pick, next_)
+    return F.aggregate(steps, state, one_step)
 
-                return let(passed, settle)
 
-            return F.when(acc["go"], let(_candidates(cur, sp, acc["pos"]), tried)).otherwise(acc)
+def grows(sp: dict) -> bool:
+    """Can the step find its target again inside its own result?"""
+    inner = [sp["repl"].replace("E", e) for e in "éè"] if sp["kind"] == "accent" else [sp["repl"][1:]]
+    return sp["kind"] in ("text", "accent") and any(sp["target"] in x for x in inner)
 
-        run = F.aggregate(rounds, first, round_)
-        return F.when(sp["kind"] == "begin", begun).when(wanted, run["st"]).otherwise(st)
 
-    return F.aggregate(steps, state, one_step)
+def _folded(df: DataFrame, table: RuleTable, steps: list[dict]) -> DataFrame:
+    data = F.from_json(F.lit(json.dumps(steps, ensure_ascii=False)), f"array<{_STEP}>")
+    return df.withColumn(
+        "st", computed_once(table.within(lambda a: let(data, lambda s: _run_steps(a, F.col("st"), s))))
+    )
+
+
+MOST_GROWTH = 50  # letters
+
+
+def _to_fixpoint(df: DataFrame, table: RuleTable, sp: dict) -> DataFrame:
+    """Run one growing step until it finds nothing more in any row.
+
+    A pass does as many rounds as the word is long, and rows that have not ended go on in the next
+    one where they stopped; every pass is written, so it is done once. A step that makes a word longer
+    by more than ``MOST_GROWTH`` letters, all of them plausible, is taken to have no fixpoint.
+    """
+    step_ = F.from_json(F.lit(json.dumps(sp, ensure_ascii=False)), _STEP)
+    first = _first_position(F.col("st"), step_).cast("int")
+    df = df.withColumn("_run", F.struct(F.col("st"), first.alias("pos"), F.col("st").isNotNull().alias("go")))
+    df = df.withColumn("_long", F.length("st.ortho") + MOST_GROWTH)
+
+    def pass_(a: Callable[[Column, Column], Column]) -> Column:
+        def run(s: Column) -> Column:
+            cur = F.col("_run")
+            ended = F.struct(cur["st"].alias("st"), cur["pos"].alias("pos"), F.lit(False).alias("go"))
+            return F.when(cur["go"] & _wanted(cur["st"], s), _rounds(a, cur["st"], s, cur["pos"])).otherwise(ended)
+
+        return let(step_, run)
+
+    while True:
+        df = stored(df.withColumn("_run", computed_once(table.within(pass_))), "fixpoint")
+        going = df.filter("_run.go")
+        if going.isEmpty():
+            return df.withColumn("st", F.col("_run.st")).drop("_run", "_long")
+        if row := going.filter(F.length("_run.st.ortho") > F.col("_long")).select("st.ortho").first():
+            raise ValueError(f"{sp['target']!r} -> {sp['repl']!r} never ends on {row[0]!r}")
 
 
 def fold_steps(df: DataFrame, steps: list[dict], rules: list[dict] | None = None) -> DataFrame:
     """Run a table of steps on the ``st`` column. The table is data: the expression has
-    the same size for one step or a hundred."""
+    the same size for one step or a hundred. Steps that can grow a word without bound are run by
+    themselves, to their fixpoint."""
     table = RuleTable(rules or G.french_rules())
-    data = F.from_json(F.lit(json.dumps(steps, ensure_ascii=False)), f"array<{_STEP}>")
-    return df.withColumn(
-        "st", computed_once(table.within(lambda a: let(data, lambda s: _run_steps(a, F.col("st"), s))))
-    )
+    pending: list[dict] = []
+    for sp in [*steps, None]:
+        if sp is not None and not grows(sp):
+            pending.append(sp)
+            continue
+        df = _folded(df, table, pending) if pending else df
+        pending = []
+        df = df if sp is None else _to_fixpoint(df, table, sp)
+    return df
 
 
 def spread_words(lexicon: DataFrame) -> DataFrame:

@@ -438,10 +438,7 @@ def generation_stats(lexicon: DataFrame, results: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "prefiltered_out").alias("prefiltered_out"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )
-    one = lambda df, c: df.select(c).scalar().alias(c)
-    return lexicon.sparkSession.range(1).select(
-        one(total, "total"), *[one(rest, c) for c in ("considered", "prefiltered_out", "failed")]
-    )
+    return total.crossJoin(rest)  # one row each
 
 
 def metadata_of(names: list[str], rules: list[Rule]) -> Metadata:

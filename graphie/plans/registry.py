@@ -80,7 +80,7 @@ def smoke_dictionary(spark: SparkSession) -> Dictionary:
 
 VOCAB_SQL = f"""
 tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS w FROM documents),
-vocab AS (SELECT lower(w) AS word, count(*) AS n FROM tok GROUP BY 1)"""
+vocab AS MATERIALIZED (SELECT lower(w) AS word, count(*) AS n FROM tok GROUP BY 1)"""
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +115,7 @@ def sound_sql(expr: str) -> str:
 
 
 LEXICON_SQL = f"""{VOCAB_SQL},
-lexicon AS (SELECT word AS ortho, {sound_sql('word')} AS phon,
+lexicon AS MATERIALIZED (SELECT word AS ortho, {sound_sql('word')} AS phon,
   regexp_replace(word, 's$', '') AS lemme, n AS freq,
   row_number() OVER (ORDER BY n DESC, word) AS rank FROM vocab)"""
 

@@ -153,3 +153,29 @@ def test_extension_keeps_only_new_words(spark, lexicon):
     post = spark.createDataFrame([("elles", "elle")], "old string, new string")
     got = {r.old: r.new for r in R.extend_dictionary(ref, lexicon, post).collect()}
     assert "ville" not in got and "homme" not in got and "hommes" not in got and got["elle"] == "èle"
+
+
+def letters(more):
+    return [{"g": c, "p": c, "imp": 0, "l": "", "r": ""} for c in "abtno"] + [{"g": "h", "p": "", "imp": 0, "l": more, "r": ""}]
+
+
+def test_growing_steps_run_to_their_fixpoint(spark, monkeypatch):
+    words = spark.createDataFrame([(w, w, w, i) for i, w in enumerate(["toto", "tat", "ant", "none", ""])] + [("zz", "q", "", 9)], "ortho string, phon string, lemme string, rank int")
+    table = letters("^[^h]*(?:h[^h]*){0,8}$")  # nine silent h at most: more rounds than one pass has
+    assert P.grows(P.text("t", "ht")) and P.grows(P.step("accent", "é", "aE")) and not P.grows(P.text("t", "th"))
+    got = P.fold_steps(P.with_state(P.align_lexicon(words, table)), [P.step("begin"), P.text("t", "ht"), P.text("o", "a")], table)
+    h = "h" * 9
+    assert {r.ortho: r.new for r in got.select("ortho", F.col("st.ortho").alias("new")).collect()} == {
+        "toto": h + "toto", "tat": h + "tat", "ant": f"an{h}t", "none": "none", "": "", "zz": "zz",
+    }
+    monkeypatch.setattr(P, "MOST_GROWTH", 10)
+    with pytest.raises(ValueError, match="never ends on 't"):
+        P.fold_steps(P.with_state(P.align_lexicon(words, letters(""))), [P.step("begin"), P.text("t", "ht")], letters(""))
+
+
+def test_most_words_of_the_documents_can_be_aligned(spark, sf):
+    from graphie.plans.phonetic import small_lexicon
+
+    a = P.align_lexicon(small_lexicon(spark, sf).filter(F.col("ortho").rlike("^[a-zéèêàâîôûç']+$")))
+    n, ok = a.agg(F.count(F.lit(1)), F.count("path")).first()
+    assert ok > 0.9 * n
