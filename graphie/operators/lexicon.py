@@ -393,23 +393,34 @@ def participle_pairs(lexicon: DataFrame) -> DataFrame:
 
 
 def rewrite_after(
-    df: DataFrame, text_col: str, heads: DataFrame, pairs: DataFrame, *, out_col: str | None = None
+    df: DataFrame, text_col: str, heads: DataFrame, pairs: DataFrame, *, out_col: str | None = None,
+    key: str | list[str] | None = None, max_rows: int | None = None,
 ) -> DataFrame:
-    """Rewrite ``head variable`` to ``head invariable`` where the two words are separated
-    by one space. Map-side: both word lists are checked and sent along."""
+    """Rewrite ``head variable`` to ``head invariable`` where the two words are separated by one space.
+
+    Word lists of checked size are sent along and the work is done where a text is read. A list over the
+    bound (``max_rows``) reaches the rows, told apart by ``key``, by a join with their words.
+    """
     from graphie.functions import text as T
-    from graphie.operators.lookup import constant_lookup, with_lookups
+    from graphie.operators.lookup import constant_lookup, row_lookup, with_lookups
 
     out_col = out_col or text_col
-    head = constant_lookup(heads.select("word", F.lit(True).alias("v")).distinct(), "word", "v")
-    one = pairs.groupBy("var").agg(F.min("invar").alias("invar"))
-    pair = constant_lookup(one, "var", "invar")
-    if head is None or pair is None:
-        raise ValueError("word lists too large")
+    bound = {} if max_rows is None else {"max_rows": max_rows}
     keep = [c for c in df.columns if c != out_col]
     pattern = r"[\p{L}\p{N}_]+"
     step = df.withColumn("_w", T.words(text_col, pattern)).withColumn("_s", T.separators(text_col, pattern))
 
+    def found(step: DataFrame, table: DataFrame, on: str, value: str, column: str):
+        constant = constant_lookup(table, on, value, **bound)
+        if constant is not None:
+            return step, constant
+        if key is None:
+            raise ValueError("the word list is too large to send to every task; pass key=")
+        return row_lookup(step, [key] if isinstance(key, str) else list(key), F.col("_w"), table, on, value, column)
+
+    step, head = found(step, heads.select("word", F.lit(True).alias("v")).distinct(), "word", "v", "_heads")
+    step, pair = found(step, pairs.groupBy("var").agg(F.min("invar").alias("invar")), "var", "invar", "_pairs")
+
     def swap(w: Column, i: Column, head, pair) -> Column:
         before = F.get(F.col("_w"), F.greatest(i - 1, F.lit(0)))
         follows = (i > 0) & (F.get(F.col("_s"), i) == " ") & F.coalesce(head(before), F.lit(False))

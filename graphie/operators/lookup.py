@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphie.functions.plan import computed_once
+from graphie.sources.files import stored
 
 Find = Callable[[Column], Column]
 MAX_ROWS = 1_000_000
@@ -61,7 +62,22 @@ class Lookup:
         return lambda k: F.try_element_at(F.get(table, F.pmod(F.hash(k), n)), k)
 
 
-def with_lookups(df: DataFrame, lookups: list[Lookup], name: str, build: Callable[..., Column]) -> DataFrame:
+class RowLookup:
+    """``key -> value`` from a map that each row carries for itself, after a constant of its commonest keys: see ``row_lookup``."""
+
+    def __init__(self, column: str, head: Lookup | None):
+        self.column = column
+        self.head = head
+
+    def finder(self, table: Column | None) -> Find:
+        own = lambda k: F.try_element_at(F.col(self.column), k)
+        if table is None:
+            return own
+        common = self.head.finder(table)
+        return lambda k: F.coalesce(common(k), own(k))
+
+
+def with_lookups(df: DataFrame, lookups: list[Lookup | RowLookup], name: str, build: Callable[..., Column]) -> DataFrame:
     """Add column ``name = build(find, ...)``, one ``find`` per lookup.
 
     Each table is bound once, as a lambda variable, however often ``find`` is used.
@@ -71,20 +87,56 @@ def with_lookups(df: DataFrame, lookups: list[Lookup], name: str, build: Callabl
     could not be moved up again.
     """
     cols = [F.col(c) for c in df.columns if c != name]
-    tables = [f"_lookup{i}" for i in range(len(lookups))]
-    marked = df.withColumn("_row", computed_once(F.lit(True)))
-    inner = marked.select("*", *[x.table.scalar().alias(t) for x, t in zip(lookups, tables)])
+    constants = [x.head if isinstance(x, RowLookup) else x for x in lookups]
+    tables = {i: f"_lookup{i}" for i, x in enumerate(constants) if x is not None}
 
     def bind(i: int, finds: list[Find]) -> Column:
         if i == len(lookups):
             return build(*finds)
+        if i not in tables:
+            return bind(i + 1, finds + [lookups[i].finder(None)])
         return F.get(
             F.transform(F.array(tables[i]), lambda t: bind(i + 1, finds + [lookups[i].finder(t)])), F.lit(0)
         )
 
+    if not tables:
+        return df.select(*cols, bind(0, []).alias(name))
+    marked = df.withColumn("_row", computed_once(F.lit(True)))
+    inner = marked.select("*", *[constants[i].table.scalar().alias(t) for i, t in tables.items()])
     return inner.select(*cols, F.when(F.col("_row"), bind(0, [])).alias(name))
 
 
+HEAD_WORDS, HEAD_ROWS = 10_000, 100_000
+
+
+def row_lookup(
+    df: DataFrame, row_key: list[str], asked: Column, table: DataFrame, key: str, value: str | list[str], column: str
+) -> tuple[DataFrame, RowLookup]:
+    """``df`` with a map of what its rows can look up in a table of any size, and the lookup on it.
+
+    ``asked`` are all keys a row may ask for. Each is counted over the rows first. A key that more than
+    ``HEAD_ROWS`` rows ask for, and more than one in ``HEAD_WORDS`` of all questions, would be a hot key of
+    the join; there are at most ``HEAD_WORDS`` such keys, so they travel as a constant. The rest is joined,
+    and no task gets more than that many rows of one key. Rows that share a row key share their map.
+    """
+    values = [value] if isinstance(value, str) else list(value)
+    packed = F.col(value) if isinstance(value, str) else F.struct(*values)
+    entries = table.filter(F.length(key) > 0).select(F.col(key).alias("_k"), *values)
+    questions = df.select(*row_key, F.explode(F.array_distinct(asked)).alias("_k"))
+    known = stored(questions.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).join(entries, "_k"), "entries")
+    most = max(HEAD_ROWS, (known.agg(F.sum("_n")).first()[0] or 0) // HEAD_WORDS)
+    common = known.filter(F.col("_n") > most)
+    head = None if common.isEmpty() else constant_lookup(common, "_k", value, max_rows=HEAD_WORDS)
+    tail = known if head is None else known.filter(F.col("_n") <= most)
+    own = F.map_from_entries(F.collect_set(F.struct("_k", packed.alias("_v")))).alias(column)
+    names = [f"_key{i}" for i in range(len(row_key))]
+    maps = questions.join(tail, "_k").groupBy(*row_key).agg(own).toDF(*names, column)
+    same = F.lit(True)
+    for k, n in zip(row_key, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(maps, same, "left").drop(*names), RowLookup(column, head)
+
+
 def constant_lookup(
     df: DataFrame, key: str, value: str | list[str], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
 ) -> Lookup | None:

@@ -3,7 +3,8 @@
 The plan for a dictionary of checked size is one scan and one projection: words
 and separators come from two regex passes, each word goes through the case ladder
 inside ``transform``, and the pieces are woven back. Nothing is exploded or
-shuffled. A dictionary over the bound takes ``_respell_by_join``.
+shuffled. With a dictionary over the bound each row gets the entries its words can ask
+for by a join (``lookup.row_lookup``), and the projection is the same.
 """
 
 from __future__ import annotations
@@ -16,16 +17,46 @@ from pyspark.sql import functions as F
 from graphie.functions import text as T
 from graphie.functions.plan import computed_once, spread_key
 from graphie.operators.dictionary import Dictionary
-from graphie.operators.lookup import Find, Lookup, constant_lookup, with_lookups
+from graphie.operators.lookup import Find, Lookup, RowLookup, constant_lookup, row_lookup, with_lookups
 
-SALTS = 16
+def with_plurals(entries: DataFrame, marker: str | None) -> DataFrame:
+    """Entries with ``plural``: what the plural in s becomes."""
+    plural = F.lit(None).cast("string") if marker is None else F.concat("new", F.lit(marker))
+    return entries.withColumn("plural", F.when(F.col("new") != "", plural))
 
 
-def entry_lookup(df: DataFrame, marker: str | None, **bound) -> Lookup | None:
-    """Lookup of ``struct<new, plural>``: the entry, and what its plural in s becomes."""
-    plural = F.lit(None).cast("string") if marker is None else F.concat("new", F.lit(marker))
-    entries = df.select("old", "new", F.when(F.col("new") != "", plural).alias("plural"))
-    return constant_lookup(entries, "old", ["new", "plural"], **bound)
+def asked_forms(words: Column, marker: str | None, convert_uppercase: bool) -> Column:
+    """Every form that ``respell_word`` may look up for some words."""
+
+    def forms(x: Column) -> Column:
+        def with_singular(*ys: Column) -> Column:
+            singular = [] if marker is None else [F.when(F.endswith(y, F.lit("s")), T.drop_last(y)) for y in ys]
+            return F.array(*ys, *singular)
+
+        low = F.lower(x)
+        upper = [low, T.capitalize(low)] if convert_uppercase else []
+        return F.when(T.is_capitalized(x), with_singular(x, T.uncapitalize(x), *upper)).otherwise(with_singular(x))
+
+    def units(w: Column) -> Column:
+        compound = F.contains(w, F.lit("-")) & w.rlike(T.HYPHENATED)
+        return F.when(compound, F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w))
+
+    every = F.flatten(F.transform(F.flatten(F.transform(F.array_distinct(words), units)), forms))
+    return F.filter(every, lambda x: x != "")
+
+
+def _entries(
+    df: DataFrame, words: str, table: DataFrame, values: list[str], key: str | list[str] | None,
+    marker: str | None, convert_uppercase: bool, max_rows: int | None,
+) -> tuple[DataFrame, Lookup | RowLookup]:
+    """Rows with a lookup of ``table(old, values)`` for their words: a constant if it is small enough."""
+    constant = constant_lookup(table, "old", values, **({} if max_rows is None else {"max_rows": max_rows}))
+    if constant is not None:
+        return df, constant
+    if key is None:
+        raise ValueError("the dictionary is too large to send to every task; pass key=")
+    keys = [key] if isinstance(key, str) else list(key)
+    return row_lookup(df, keys, asked_forms(F.col(words), marker, convert_uppercase), table, "old", values, "_entries")
 
 
 def ladder(w: Column, find: Find, marker: str | None, convert_uppercase: bool) -> Column:
@@ -87,23 +118,16 @@ def respell(
 ) -> DataFrame:
     """Rewrite ``text_col``. ``count_col`` adds the number of words that changed.
 
-    ``key`` names the columns that identify a row; only the join plan for very
-    large dictionaries needs them.
+    ``key`` names the columns that identify a row; only the plan for very large dictionaries needs
+    them. ``max_rows`` sets another bound for a dictionary that is sent to every task.
     """
     out_col = out_col or text_col
     m = dictionary.meta.marker() if marker is ... else marker
-    bound = {} if max_rows is None else {"max_rows": max_rows}
-    table = entry_lookup(dictionary.df, m, **bound)
-    if table is None:
-        if key is None:
-            raise ValueError("the dictionary is too large to send to every task; pass key=")
-        keys = [key] if isinstance(key, str) else list(key)
-        return _respell_by_join(
-            df, text_col, dictionary, keys, out_col, count_col, convert_uppercase, m, pattern, normalize
-        )
     keep = [c for c in df.columns if c not in (out_col, count_col)]
     src = T.nfc(text_col) if normalize else F.col(text_col)
     step = df.withColumn("_t", src).withColumn("_w", T.words("_t", pattern))
+    entries = with_plurals(dictionary.df.select("old", "new"), m)
+    step, table = _entries(step, "_w", entries, ["new", "plural"], key, m, convert_uppercase, max_rows)
     step = with_lookups(
         step,
         [table],
@@ -171,61 +195,6 @@ def resolve_words(
     return base.select(word_col, F.coalesce(F.nullif(recased, F.lit("")), w).alias("new_word"))
 
 
-def _respell_by_join(
-    df, text_col, dictionary, keys, out_col, count_col, convert_uppercase, marker, pattern, normalize
-) -> DataFrame:
-    """Dictionaries too large for every task.
-
-    Words are resolved once per distinct word. What travels back to a document is
-    only its list of changed distinct words. The most frequent words occur in nearly
-    every document, so that join is salted by document.
-    """
-    keep = [c for c in df.columns if c not in (out_col, count_col)]
-    src = T.nfc(text_col) if normalize else F.col(text_col)
-    docs = df.withColumn("_t", src)
-    doc_words = docs.select(*keys, F.explode(F.array_distinct(T.words("_t", pattern))).alias("w"))
-    vocab = doc_words.select("w").distinct()
-    hyphen = F.contains(F.col("w"), F.lit("-")) & F.col("w").rlike(T.HYPHENATED)
-    known = dictionary.df.select(F.col("old").alias("w")).withColumn("_known", F.lit(True))
-    pieces = (
-        vocab.join(known, "w", "left")
-        .withColumn(
-            "ps",
-            F.when(hyphen & F.col("_known").isNull(), F.split("w", "-")).otherwise(F.array("w")),
-        )
-        .select("w", F.posexplode("ps").alias("pos", "p"))
-    )
-    resolved = resolve_words(
-        pieces.select("p").distinct(), "p", dictionary, convert_uppercase=convert_uppercase, marker=marker
-    )
-    changed = (
-        pieces.join(resolved, "p")
-        .groupBy("w")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "new_word"))).alias("ps"))
-        .select("w", F.array_join(F.transform("ps", lambda p: p["new_word"]), "-").alias("nw"))
-        .filter("w <> nw")
-    )
-    salt = F.pmod(F.hash(*keys), F.lit(SALTS))
-    spread = changed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    per_doc = (
-        doc_words.withColumn("_s", salt)
-        .join(spread, ["w", "_s"])
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("w", "nw"))).alias("_m"))
-    )
-    step = docs.join(per_doc, keys, "left").withColumn("_w", T.words("_t", pattern))
-    step = step.withColumn(
-        "_n",
-        F.when(F.col("_m").isNull(), F.col("_w")).otherwise(
-            F.transform("_w", lambda x: F.coalesce(F.try_element_at(F.col("_m"), x), x))
-        ),
-    )
-    out = [F.when(F.col("_t").isNotNull(), T.weave(T.separators("_t", pattern), "_n")).alias(out_col)]
-    if count_col:
-        out.append(changed_count("_w", "_n").alias(count_col))
-    return step.select(*keep, *out)
-
-
 def respell_guarded(
     df: DataFrame,
     text_col: str,
@@ -237,25 +206,23 @@ def respell_guarded(
     count_col: str | None = None,
     marker: str | None | object = ...,
     pattern: str = T.WORD_BROWSER,
+    key: str | list[str] | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Browser form: spans judged ``foreign`` are left alone from the first word that
     is both rewritable and in ``collisions(entry)`` on. Words before it are rewritten.
 
-    Capitals are kept as capitals of one letter only (no whole-word upper case).
+    Capitals are kept as capitals of one letter only (no whole-word upper case). ``key`` and
+    ``max_rows`` are those of ``respell``.
     """
     out_col = out_col or text_col
     m = dictionary.meta.marker() if marker is ... else marker
     entries = dictionary.df.join(
         collisions.select(F.col("entry").alias("old"), F.lit(True).alias("hit")), "old", "left"
-    ).select(
-        "old",
-        "new",
-        F.coalesce("hit", F.lit(False)).alias("hit"),
-        F.when(F.col("new") != "", F.concat("new", F.lit(m))).alias("plural"),
-    )
-    table = constant_lookup(entries, "old", ["new", "plural", "hit"])
-    if table is None:
-        raise ValueError("the dictionary is too large for the guarded form")
+    ).select("old", "new", F.coalesce("hit", F.lit(False)).alias("hit"))
+    entries = with_plurals(entries, m)
+    words = df.withColumn("_w", T.words(text_col, pattern)).withColumn("_f", F.coalesce(foreign, F.lit(False)))
+    words, table = _entries(words, "_w", entries, ["new", "plural", "hit"], key, m, False, max_rows)
 
     def collides(w: Column, find: Find) -> Column:
         """Would the word be rewritten through an entry of the collision list?"""
@@ -286,9 +253,7 @@ def respell_guarded(
         return F.when(split, F.split(w, "-")).otherwise(F.array(w))
 
     step = with_lookups(
-        df.withColumn("_w", T.words(text_col, pattern)).withColumn(
-            "_f", F.coalesce(foreign, F.lit(False))
-        ),
+        words,
         [table],
         "_p",
         lambda find: F.transform("_w", lambda w: parts(w, find)),

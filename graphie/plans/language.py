@@ -158,12 +158,17 @@ hits AS (SELECT doc_id, i FROM wds WHERE w IN ({', '.join("'" + c + "'" for c in
 firsts AS (SELECT doc_id, min(i) AS p FROM hits GROUP BY 1)"""
 
 
-def _guard_sql() -> str:
+_SCORED_SQL = f"""{DIGRAMS_SQL.strip()},
+scores AS (SELECT doc_id, sum(n * (coalesce(e2, 30) - coalesce(e1, 30))) AS e FROM dg LEFT JOIN pairs USING (digram) GROUP BY 1),
+judged AS (SELECT d.doc_id, d.text, CASE WHEN s.e < 0 THEN 'en' ELSE 'fr' END AS lang FROM documents d LEFT JOIN scores s USING (doc_id)),"""
+
+
+def _guard_sql(documents: str = "documents", before: str = "") -> str:
     from graphie.plans.respelling import ladder_sql, pieces_sql
 
     pattern = WORD_SQL.replace("0-9]", "0-9?]")
     return f"""
-WITH {GUARD_D}, {pieces_sql('documents', 'doc_id, lang', pattern)}, {ladder_sql('wds', upper=False)}, {_FIRST_HIT},
+WITH {before} {GUARD_D}, {pieces_sql(documents, 'doc_id, lang', pattern)}, {ladder_sql('wds', upper=False)}, {_FIRST_HIT},
 new AS (SELECT x.doc_id, list(CASE WHEN x.lang = 'en' AND i >= f.p THEN x.w ELSE l.out END ORDER BY i) AS ns,
     count(*) FILTER (l.out <> x.w AND NOT (x.lang = 'en' AND coalesce(i >= f.p, false))) AS n_changed
   FROM wds x JOIN lad l ON l.w = x.w LEFT JOIN firsts f ON f.doc_id = x.doc_id GROUP BY 1)
@@ -184,6 +189,27 @@ def respell_with_foreign_guard(spark, sf):
     return r.select("doc_id", "n_changed", F.md5("text").alias("digest"))
 
 
+@query("respell_with_foreign_guard_by_join", _guard_sql())
+def respell_with_foreign_guard_by_join(spark, sf):
+    """The same with the plan for dictionaries over the bound, forced."""
+    docs = documents(spark, sf, "doc_id", "text", "lang")
+    coll = spark.createDataFrame([(c,) for c in COLLISIONS], "entry string")
+    r = R.respell_guarded(
+        docs, "text", smoke_dictionary(spark), coll, F.col("lang") == "en", count_col="n_changed", key="doc_id", max_rows=0
+    )
+    return r.select("doc_id", "n_changed", F.md5("text").alias("digest"))
+
+
+@query("respell_with_scored_guard", _guard_sql("judged", _SCORED_SQL))
+def respell_with_scored_guard(spark, sf):
+    """Documents that the digram score takes for English are guarded, whatever their label says."""
+    docs = documents(spark, sf, "doc_id", "text")
+    scored = L.language_score(docs, "text", corpus_model(spark, sf))
+    coll = spark.createDataFrame([(c,) for c in COLLISIONS], "entry string")
+    r = R.respell_guarded(scored, "text", smoke_dictionary(spark), coll, F.col("is_foreign"), count_col="n_changed")
+    return r.select("doc_id", "n_changed", F.md5("text").alias("digest"))
+
+
 @query(
     "foreign_spans_by_language",
     f"""WITH {DIGRAMS_SQL}, ll AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,

@@ -342,17 +342,17 @@ def participle_pairs(spark, sf):
 HEADS = ["de", "la", "le", "les", "des", "en", "un", "une", "est", "pour", "the", "of"]
 
 
-@query(
-    "rewrite_after_auxiliary",
-    f"""WITH {GRAMMAR_SQL}, {_PAIRS_SQL}, p AS (SELECT var, min(invar) AS invar FROM pp GROUP BY 1),
+_AFTER_SQL = f"""WITH {GRAMMAR_SQL}, {_PAIRS_SQL}, p AS (SELECT var, min(invar) AS invar FROM pp GROUP BY 1),
 src AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS ws, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}_]+') AS ss FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS w, unnest(list_slice(ss, 1, len(ws))) AS s, generate_subscripts(ws, 1) AS i FROM src),
 y AS (SELECT doc_id, i, w, s, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM x),
 n AS (SELECT doc_id, list(CASE WHEN s = ' ' AND prev IN ({', '.join("'" + h + "'" for h in HEADS)}) THEN coalesce(p.invar, w) ELSE w END ORDER BY i) AS ns
   FROM y LEFT JOIN p ON p.var = y.w GROUP BY 1)
 SELECT src.doc_id, md5(CASE WHEN ns IS NULL THEN text ELSE array_to_string(list_transform(list_zip(ss, ns), lambda q: q[1] || coalesce(q[2], '')), '') END) AS digest
-FROM src LEFT JOIN n ON n.doc_id = src.doc_id""",
-)
+FROM src LEFT JOIN n ON n.doc_id = src.doc_id"""
+
+
+@query("rewrite_after_auxiliary", _AFTER_SQL)
 def rewrite_after_auxiliary(spark, sf):
     docs = documents(spark, sf, "doc_id", "text")
     heads = spark.createDataFrame([(h,) for h in HEADS], "word string")
@@ -360,6 +360,15 @@ def rewrite_after_auxiliary(spark, sf):
     return r.select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("rewrite_after_auxiliary_by_join", _AFTER_SQL)
+def rewrite_after_auxiliary_by_join(spark, sf):
+    """The plan for word lists over the bound, forced."""
+    docs = documents(spark, sf, "doc_id", "text")
+    heads = spark.createDataFrame([(h,) for h in HEADS], "word string")
+    r = X.rewrite_after(docs, "text", heads, participle_pairs(spark, sf), key="doc_id", max_rows=0)
+    return r.select("doc_id", F.md5("text").alias("digest"))
+
+
 @query(
     "word_provenance",
     f"""WITH {VOCAB_SQL}, v AS (SELECT 'vocabulary' AS source, word, CAST(n AS VARCHAR) AS detail FROM vocab),

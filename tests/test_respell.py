@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from graphie.functions import text as T
 from graphie.operators import language as L
+from graphie.operators import lexicon as X
+from graphie.operators import lookup
 from graphie.operators import respell as R
 from graphie.operators.dictionary import Dictionary
 
@@ -115,3 +117,35 @@ def test_no_plan_carries_the_table(spark, sf):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ubquery" in plan and "AS _lookup" not in plan
+
+
+@pytest.mark.parametrize("rows", [100_000, 1])
+def test_plans_over_the_bound_agree(spark, monkeypatch, rows):
+    """With every word in the tail, and with all that two rows share sent as a constant; keys are null or repeated."""
+    monkeypatch.setattr(lookup, "HEAD_ROWS", rows)
+    texts = ["de l'eau, des eaux EAU Eau", "de bill de Bills de", "", None, "a-de De-b", "de"] * 2
+    df = spark.createDataFrame([(None if i == 1 else i % 9, t, i % 2 == 1) for i, t in enumerate(texts)], "id int, text string, en boolean")
+    d = Dictionary.of(spark, {"de": "dé", "eau": "ô", "eaux": "", "bill": "bil", "Eau": "x"})
+    coll = spark.createDataFrame([("bill",)], "entry string")
+    forms = lambda out: sorted(map(str, out.collect()))
+    for kw in ({"marker": "s"}, {"marker": None, "convert_uppercase": False}):
+        assert forms(R.respell(df, "text", d, key="id", max_rows=0, count_col="n", **kw)) == forms(R.respell(df, "text", d, count_col="n", **kw))
+    guarded = [R.respell_guarded(df, "text", d, coll, F.col("en"), marker="s", count_col="n", **kw) for kw in ({}, {"key": "id", "max_rows": 0})]
+    assert forms(guarded[0]) == forms(guarded[1])
+    heads = spark.createDataFrame([("de",), ("des",)], "word string")
+    pairs = spark.createDataFrame([("eaux", "eau"), ("bill", "b")], "var string, invar string")
+    assert forms(X.rewrite_after(df, "text", heads, pairs, key="id", max_rows=0)) == forms(X.rewrite_after(df, "text", heads, pairs))
+
+
+def test_a_word_of_every_row_is_no_key_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HEAD_ROWS", 50)
+    df = spark.range(200).select("id", F.concat(F.lit("de mot"), F.chr(F.col("id") % 26 + 97)).alias("text"))
+    d = Dictionary.of(spark, {"de": "dé", **{f"mot{c}": "m" + c for c in "abcdefghijklmnopqrstuvwxyz"}})
+    step = df.withColumn("_w", T.words("text"))
+    out, found = lookup.row_lookup(step, ["id"], F.col("_w"), d.df, "old", "new", "_e")
+    assert found.head is not None and out.filter(F.array_contains(F.map_keys("_e"), "de")).isEmpty()
+    assert out.filter(F.size("_e") == 1).count() == 200
+    got = R.respell(df, "text", d, key="id", max_rows=0).agg(F.count_if(F.startswith("text", F.lit("dé m")))).first()[0]
+    assert got == 200
+    with pytest.raises(ValueError, match="key="):
+        R.respell(df, "text", d, max_rows=0)
