@@ -262,3 +262,17 @@ def collision_words(d: DataFrame, foreign: DataFrame, ignore: list[str] = []) ->
     if ignore:
         f = f.filter(~F.col("word").isin(ignore))
     return forms.join(f, "word", "left_semi").select("entry").distinct()
+
+
+def register_lookup(spark: SparkSession, name: str, df: DataFrame) -> None:
+    """Make a dictionary a SQL function: ``name(word)`` is its entry or null.
+
+    ``name_entries(word)`` is the same as a table function, for a lateral join. Both are SQL functions
+    over the table, so a call is planned as a join with it, of any size.
+    """
+    df.select("old", "new").createOrReplaceTempView(f"{name}_table")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(w STRING) RETURNS STRING RETURN (SELECT max(new) FROM {name}_table WHERE old = w)")
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_entries(w STRING) RETURNS TABLE (old STRING, new STRING) "
+        f"RETURN SELECT old, new FROM {name}_table WHERE old = w"
+    )

@@ -461,12 +461,11 @@ def teaching_words(lexicon: DataFrame, patterns: list[tuple[str, str | None]]) -
     return lexicon.filter(F.coalesce(hit, F.lit(False)))
 
 
-def spelling_families(df: DataFrame) -> DataFrame:
-    """``modern, olds, touched`` from rows ``(modern, old, touched)``."""
-    return df.groupBy("modern").agg(
-        F.array_except(F.sort_array(F.collect_set("old")), F.array(F.first("modern"))).alias("olds"),
-        F.max("touched").alias("touched"),
-    )
+def spelling_families(df: DataFrame, locale: str = "fr") -> DataFrame:
+    """``modern, olds, touched`` from rows ``(modern, old, touched)``; old spellings as a dictionary of the locale lists them."""
+    others = F.array_except(F.collect_set("old"), F.array(F.first("modern")))
+    listed = F.array_sort(F.transform(others, lambda x: F.collate(x, locale)))
+    return df.groupBy("modern").agg(F.transform(listed, lambda x: x.cast("string")).alias("olds"), F.max("touched").alias("touched"))
 
 
 def keyboard_list(lexicon: DataFrame, d: DataFrame, k: int = 1000, lang: str = "fr-FR") -> DataFrame:

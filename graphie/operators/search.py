@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphie.functions import text as T
 from graphie.functions.plan import spread_key
+from graphie.sources.files import stored
 
 DEFAULT_LIMIT = 10
 
@@ -60,29 +61,26 @@ def compat_pattern(q: Column) -> Column:
     return F.concat(F.lit("^"), p)
 
 
-def search(
-    queries: DataFrame,
-    query_col: str,
-    index: DataFrame,
-    *,
-    limit: int = DEFAULT_LIMIT,
-) -> DataFrame:
-    """``query, rank, entry_id, surface`` for each distinct query.
+# Accented letters a plain one accepts; the others are exact.
+_PLAIN = str.maketrans({x: k for k, v in _ACCEPTS.items() for x in v.strip("[]")[1:]})
+SPELLINGS = 4
+
+
+def accepts(query: Column, pattern: Column, surface: Column) -> Column:
+    """Does the original spelling go with the query? The regex, which has to be compiled for each query, is
+    only asked where taking the accents off the spelling does not settle it."""
+    marked = "".join(map(chr, _PLAIN))
+    folded = F.translate(surface, marked, marked.translate(_PLAIN))
+    return F.when(F.startswith(folded, query), True).otherwise(F.rlike(surface, pattern))
 
-    Each index key is met by equality with its own prefixes: a row per prefix length that
-    some query has, so the join yields matches only, never
-    pairs to filter away. Distinct queries keep a popular one from being a hot key.
-    The best surface of an entry is a partial aggregate; the top k is a rank limit,
-    which Spark applies before the shuffle as well.
+
+def _shortest(qs: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """The ``n`` first spellings of the index for each query, numbered by ``at``.
+
+    Each key is met by equality with its own prefixes: a row per prefix length that some query has. The
+    rank limit is applied in the tasks that read the index as well, so what a query of one letter moves
+    is no more than what any other does.
     """
-    qs = (
-        queries.select(F.col(query_col).alias("query"))
-        .filter(F.col("query").isNotNull())
-        .distinct()
-        .withColumn("prefix", T.strip_marks("query"))
-        .filter(F.length("prefix") > 0)
-        .withColumn("pattern", compat_pattern(F.col("query")))
-    )
     lengths = qs.agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("l")).scalar()
     usable = F.filter("_lengths", lambda n: n <= F.length("key"))
     prefixes = F.transform(usable, lambda n: F.substr(F.col("key"), F.lit(1), n))
@@ -91,14 +89,40 @@ def search(
         .select("len", "key", "surface", "entry_id", lengths.alias("_lengths"))
         .select("len", "key", "surface", "entry_id", F.explode(prefixes).alias("prefix"))
     )
-    hits = ix.join(qs, "prefix").filter(F.rlike("surface", F.col("pattern")))
-    best = hits.groupBy("query", "entry_id").agg(F.min(F.struct("len", "key", "surface")).alias("b"))
-    w = W.partitionBy("query").orderBy("b.len", "b.key", "b.surface", "entry_id")
-    return (
-        best.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= limit)
-        .select("query", "rank", "entry_id", F.col("b.surface").alias("surface"))
+    hits = ix.join(qs, "prefix").filter(accepts(F.col("query"), F.col("pattern"), F.col("surface")))
+    w = W.partitionBy("query").orderBy("len", "key", "surface", "entry_id")
+    return hits.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n).drop("prefix", "pattern")
+
+
+def search(queries: DataFrame, query_col: str, index: DataFrame, *, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """``query, rank, entry_id, surface`` for each distinct query.
+
+    The shortest spellings of a query come first: ``SPELLINGS`` times as many as entries are wanted. A
+    query is done when they hold enough entries or are all there are; the others, whose entries have more
+    spellings each, go on sixteen times as far.
+    """
+    qs = (
+        queries.select(F.col(query_col).alias("query"))
+        .filter(F.col("query").isNotNull())
+        .distinct()
+        .withColumn("prefix", T.strip_marks("query"))
+        .filter(F.length("prefix") > 0)
+        .withColumn("pattern", compat_pattern(F.col("query")))
     )
+    qs = stored(qs, "queries")  # read for its lengths and for the join, which knows its size then
+    n, out = limit * SPELLINGS, None
+    while True:
+        near = _shortest(qs, index, n + 1).select("query", F.struct("at", "surface", "entry_id").alias("x"))
+        rows = near.groupBy("query").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # n + 1 at most
+        ids = F.slice(F.array_distinct(F.transform(F.slice("xs", 1, n), lambda x: x["entry_id"])), 1, limit)
+        first = lambda e: F.get(F.filter("xs", lambda x: x["entry_id"] == e), F.lit(0))["surface"]
+        tops = F.transform(ids, lambda e, i: F.struct((i + 1).alias("rank"), e.alias("entry_id"), first(e).alias("surface")))
+        found = stored(rows.select("query", tops.alias("tops"), ((F.size("xs") > n) & (F.size(ids) < limit)).alias("open")), "found")
+        ranked = found.filter("NOT open").select("query", F.explode("tops").alias("t")).select("query", "t.rank", "t.entry_id", "t.surface")
+        out = ranked if out is None else out.unionByName(ranked)
+        if found.filter("open").isEmpty():
+            return out
+        qs, n = qs.join(found.filter("open").select("query"), "query", "left_semi"), 16 * n
 
 
 def display_columns(old: Column, post90: Column, new: Column, implied_plural: Column) -> list[Column]:

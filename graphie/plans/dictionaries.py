@@ -35,35 +35,23 @@ def stop_entries(spark, sf):
     return D.with_stop_entries(Dictionary(dict_eau(spark, sf)), STOPS).df
 
 
-@query(
-    "first_definition_wins",
-    f"""WITH {VOCAB_SQL}, k AS (SELECT substr(word, 1, 3) AS old, word AS new, n * 100000 + length(word) AS rank FROM vocab),
-u AS (SELECT old, new, rank FROM k QUALIFY count(*) OVER (PARTITION BY old, rank) = 1)
-SELECT old, arg_min(new, rank) AS new, min(rank) AS rank FROM u GROUP BY 1""",
-)
+_KEYED_SQL = f"""{VOCAB_SQL}, k AS (SELECT substr(word, 1, 3) AS old, {{'rank': n, 'new': word}} AS o FROM vocab)"""
+
+
+@query("first_definition_wins", f"WITH {_KEYED_SQL} SELECT old, min(o).new AS new, min(o).rank AS rank FROM k GROUP BY old")
 def first_definition_wins(spark, sf):
-    return D.first_wins(_ranked_keys(spark, sf), "old", "rank", "new")
+    return D.first_wins(_ranked_keys(spark, sf), "old", "o", "new").select("old", "new", F.col("o.rank").alias("rank"))
 
 
-@query(
-    "last_definition_wins",
-    f"""WITH {VOCAB_SQL}, k AS (SELECT substr(word, 1, 3) AS old, word AS new, n * 100000 + length(word) AS rank FROM vocab),
-u AS (SELECT old, new, rank FROM k QUALIFY count(*) OVER (PARTITION BY old, rank) = 1)
-SELECT old, arg_max(new, rank) AS new, max(rank) AS rank FROM u GROUP BY 1""",
-)
+@query("last_definition_wins", f"WITH {_KEYED_SQL} SELECT old, max(o).new AS new, max(o).rank AS rank FROM k GROUP BY old")
 def last_definition_wins(spark, sf):
-    return D.last_wins(_ranked_keys(spark, sf), "old", "rank", "new")
+    return D.last_wins(_ranked_keys(spark, sf), "old", "o", "new").select("old", "new", F.col("o.rank").alias("rank"))
 
 
 def _ranked_keys(spark, sf):
-    """Rows of one key with a strict order: those whose rank is shared are left out."""
-    k = vocabulary(spark, sf).select(
-        F.substr("word", F.lit(1), F.lit(3)).alias("old"),
-        F.col("word").alias("new"),
-        (F.col("n") * 100000 + F.length("word")).alias("rank"),
-    )
-    alone = k.groupBy("old", "rank").agg(F.count(F.lit(1)).alias("c"), F.min("new").alias("new"))
-    return alone.filter("c = 1").select("old", "new", "rank")
+    """All words as definitions of their first three letters; many share a rank, and the word settles it."""
+    key = F.substr("word", F.lit(1), F.lit(3)).alias("old")
+    return vocabulary(spark, sf).select(key, F.col("word").alias("new"), F.struct(F.col("n").alias("rank"), F.col("word").alias("new")).alias("o"))
 
 
 def simplify_sql(src: str, marker: str) -> str:
@@ -155,7 +143,7 @@ def chained_entries(spark, sf):
 
 @query(
     "collision_words",
-    f"""WITH {DICTS_SQL}, d AS (SELECT * FROM d1 UNION ALL SELECT word, word || 'x' FROM vocab WHERE length(word) = 4 AND NOT contains(word, 'eau')),
+    f"""WITH {DICTS_SQL}, d AS (SELECT * FROM d1 UNION ALL SELECT word, word || 'x' FROM vocab WHERE NOT contains(word, 'eau')),
 en AS (SELECT DISTINCT lower(w) AS word FROM tok WHERE lang = 'en'),
 e AS (SELECT old AS entry, old AS implied FROM d UNION SELECT old, old || 's' FROM d)
 SELECT DISTINCT entry FROM e JOIN en ON en.word = e.implied AND en.word <> 'comme'""",
@@ -163,7 +151,7 @@ SELECT DISTINCT entry FROM e JOIN en ON en.word = e.implied AND en.word <> 'comm
 def collision_words(spark, sf):
     d = dict_eau(spark, sf).unionByName(
         vocabulary(spark, sf)
-        .filter((F.length("word") == 4) & ~F.contains("word", F.lit("eau")))
+        .filter(~F.contains("word", F.lit("eau")))
         .select(F.col("word").alias("old"), F.concat("word", F.lit("x")).alias("new"))
     )
     docs = documents(spark, sf, "doc_id", "text", "lang").filter("lang = 'en'")
@@ -320,3 +308,21 @@ SELECT old, array_to_string(list_sort(list(DISTINCT new)), ',') AS news, count(D
 def multi_valued_entries(spark, sf):
     m = X.multi_valued(dict_eau(spark, sf).unionByName(dict_que(spark, sf)))
     return m.withColumn("n", F.col("n").cast("bigint"))
+
+
+@query(
+    "lookup_function",
+    f"""WITH {DICTS_SQL}, t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part UNION ALL SELECT -1, word FROM vocab)
+SELECT w AS word, p_partkey, d1.new, d2.new AS entry FROM t LEFT JOIN d1 ON d1.old = w LEFT JOIN d2 ON d2.old = w""",
+)
+def lookup_function(spark, sf):
+    """Dictionaries called from SQL, as a function and as a table function."""
+    D.register_lookup(spark, "eau_spelling", dict_eau(spark, sf))
+    D.register_lookup(spark, "que_spelling", dict_que(spark, sf))
+    parts = table(spark, sf, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("word"))
+    vocabulary(spark, sf).select(F.lit(-1).cast("bigint").alias("p_partkey"), "word").unionByName(
+        parts.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "word")
+    ).createOrReplaceTempView("spelling_words")
+    return spark.sql(
+        "SELECT word, p_partkey, eau_spelling(word) AS new, e.new AS entry FROM spelling_words LEFT JOIN LATERAL que_spelling_entries(word) e"
+    )

@@ -15,6 +15,8 @@ from graphie.operators.dictionary import Dictionary, Metadata
 from graphie.plans.registry import (
     DICTS_SQL, LEXICON_SQL, SMOKE_SQL, VOCAB_SQL, dict_eau, documents, lexicon, query, smoke_dictionary, table, vocabulary,
 )
+from graphie.operators import lexicon as X
+from graphie.plans.dictionaries import ranked
 from graphie.plans.respelling import respell_sql
 from graphie.sources import dictionary_io as IO
 from graphie.sources import lexicon_io as LX
@@ -40,6 +42,34 @@ def dictionary_file_all_words(spark, sf):
     return IO.dictionary_lines(d, Metadata(), all_words=True).select("line")
 
 
+@query(
+    "keyboard_file",
+    f"""WITH {LEXICON_SQL}, d AS (SELECT ortho AS old, replace(ortho, 'eau', 'ô') AS new FROM lexicon WHERE contains(ortho, 'eau')),
+t AS (SELECT new, min(rank) AS rank FROM lexicon JOIN d ON d.old = ortho GROUP BY 1 ORDER BY 2, 1 LIMIT 1000)
+SELECT 1 AS line_no, '# Gboard Dictionary version:1' AS line UNION ALL SELECT 2, ''
+UNION ALL SELECT 2 + row_number() OVER (ORDER BY new), chr(9) || new || chr(9) || 'fr-FR' FROM t""",
+)
+def keyboard_file(spark, sf):
+    """The keyboard list as written, in the order of its parts."""
+    path = work_folder(spark, "keyboard") + "/k"
+    IO.write_keyboard_list(X.keyboard_list(ranked(spark, sf), dict_eau(spark, sf)), path)
+    return IO.numbered_lines(spark, path)
+
+
+@query(
+    "dictionary_file_lines",
+    f"""WITH {VOCAB_SQL}, d AS (SELECT word, n, replace(word, 'eau', 'ô') AS new FROM vocab WHERE contains(word, 'e'))
+SELECT 1 AS line_no, '{{"lang":"fr"}}' AS line UNION ALL SELECT 1 + row_number() OVER (ORDER BY n, word), word || ',' || new FROM d""",
+)
+def dictionary_file_lines(spark, sf):
+    """A dictionary file of many parts, whose lines are in order over all of them."""
+    path = work_folder(spark, "dict") + "/d"
+    d = vocabulary(spark, sf).filter(F.contains("word", F.lit("e")))
+    d = d.select(F.col("word").alias("old"), F.replace("word", F.lit("eau"), F.lit("ô")).alias("new"), F.col("n").alias("rank"))
+    IO.write_dictionary(d, Metadata(lang="fr"), path)
+    return IO.numbered_lines(spark, path)
+
+
 @query("key_value_file", f"WITH {DICTS_SQL} SELECT old, new FROM d1")
 def key_value_file(spark, sf):
     path = work_folder(spark, "kv") + "/d"
@@ -227,17 +257,23 @@ def interleaved_run_lengths(spark, sf):
     return r.select("conv_id", "turn", F.col("seq").cast("bigint").alias("seq"), F.length("text").alias("n_chars"))
 
 
+# Bytes of a packed book besides its text: markup of the page, of each paragraph, and the other page.
+_PAGE, _PARAGRAPH, _NAV = len("<html><body></body></html>"), len("<p></p>"), len("<html><body>nav</body></html>")
+
+
+def _count(x: str) -> str:
+    return f"(length(text) - length(replace(text, {x}, '')))"
+
+
 @query(
     "size_guard",
-    """SELECT doc_id || '.epub' AS doc, CASE WHEN octet_length(encode(text)) > 4000 THEN 'big' ELSE 'other' END AS size FROM documents WHERE octet_length(encode(text)) > 4000""",
+    f"""SELECT doc_id || '.epub' AS doc, octet_length(encode(text)) - {_count('chr(10)')} + 4 * {_count("'&'")} + 3 * ({_count("'<'")} + {_count("'>'")})
+  + {_PARAGRAPH} * ({_count('chr(10)')} + 1) + {_PAGE + _NAV} > 4000 AS too_big FROM documents""",
 )
 def size_guard(spark, sf):
-    """Books over the limit are reported, not unpacked. Markup adds to a text's own size,
-    so only texts over the limit themselves are certain."""
+    """Which books are over the limit, and so reported instead of unpacked."""
     m = S.container_members(packed(spark, sf, "epub"), max_bytes=4000)
-    big = documents(spark, sf, "doc_id", "text").filter(F.octet_length("text") > 4000)
-    rejected = m.filter("error = 'files in zip too large'").select("doc")
-    return big.select(F.concat("doc_id", F.lit(".epub")).alias("doc")).join(rejected, "doc").withColumn("size", F.lit("big"))
+    return m.groupBy("doc").agg(F.max(F.coalesce(F.col("error") == "files in zip too large", F.lit(False))).alias("too_big"))
 
 
 @query("book_main_files", "SELECT doc_id || '.epub' AS doc, 'OEBPS/book.xhtml' AS main_file, 1 AS n FROM documents")

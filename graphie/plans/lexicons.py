@@ -401,12 +401,10 @@ def teaching_word_list(spark, sf):
 @query(
     "spelling_families",
     f"""WITH {VOCAB_SQL}, r AS (SELECT replace(replace(word, 'é', 'e'), 'è', 'e') AS modern, word AS old, contains(word, 'eau') AS touched FROM vocab)
-SELECT modern, array_to_string(list_sort(list(DISTINCT old) FILTER (old <> modern)), ',') AS olds, bool_or(touched) AS touched FROM r GROUP BY 1""".replace(
-        "array_to_string(list_sort(list(DISTINCT old) FILTER (old <> modern)), ',')",
-        "coalesce(array_to_string(list_sort(list(DISTINCT old) FILTER (old <> modern)), ','), '')",
-    ),
+SELECT modern, coalesce(string_agg(old, ',' ORDER BY translate(old, 'eéè', '123')) FILTER (old <> modern), '') AS olds, bool_or(touched) AS touched FROM r GROUP BY 1""",
 )
 def spelling_families(spark, sf):
+    """A family differs in its accents alone: none comes first, then acute, then grave, from the left."""
     v = vocabulary(spark, sf)
     rows = v.select(
         F.col("word").alias("old"),

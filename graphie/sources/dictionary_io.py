@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphie.operators import lexicon as X
 from graphie.operators.dictionary import Dictionary, Metadata, first_wins, last_wins
 
 
@@ -28,13 +29,13 @@ def read_dictionary(spark: SparkSession, path: str) -> Dictionary:
     """``old,new`` lines after an optional JSON line. The last definition of a word wins;
     a line without exactly two fields is an error."""
     lines = _lines(spark, path)
-    head = lines.orderBy("line_no").limit(1).collect()
-    has_meta = bool(head) and head[0].value.startswith("{")
-    meta = Metadata.from_json_object(json.loads(head[0].value)) if has_meta else Metadata()
+    head = lines.agg(F.min(F.struct("line_no", "value")).alias("h")).first().h
+    has_meta = head is not None and head.value.startswith("{")
+    meta = Metadata.from_json_object(json.loads(head.value)) if has_meta else Metadata()
     old, new, ok = _pair("value", "didn't get exactly 2 items in line ")
     body = lines
     if has_meta:
-        first = head[0].line_no
+        first = head.line_no
         body = lines.filter(~((F.col("line_no.f") == first.f) & (F.col("line_no.b") == first.b) & (F.col("line_no.r") == first.r)))
     pairs = body.filter(ok).select(old.alias("old"), new.alias("new"), "line_no")
     return Dictionary(last_wins(pairs, "old", "line_no", "new").select("old", "new"), meta)
@@ -64,12 +65,21 @@ def dictionary_lines(df: DataFrame, meta: Metadata | None, all_words: bool = Fal
     return head.unionByName(body)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, line`` of text files, counted from 1 over all of them: for lists that people read."""
+    return X.numbered(_lines(spark, path).select(F.col("value").alias("line"), "line_no"), [F.col("line_no")], "n").select(
+        F.col("n").alias("line_no"), "line"
+    )
+
+
+def _write_in_order(lines: DataFrame, order: list[str], path: str) -> None:
+    """Lines in text files whose names are in the order of the lines; no task sees them all."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+
+
 def write_dictionary(df: DataFrame, meta: Metadata | None, path: str, all_words: bool = False) -> None:
-    """One text file, in rank order: the exchange format, so a single writer. Keep
-    dictionaries that only Spark reads in Parquet."""
-    lines = dictionary_lines(df, meta, all_words)
-    ordered = lines.repartition(1).sortWithinPartitions("section", "rank", "old").select("line")
-    ordered.write.mode("overwrite").text(path)
+    """A folder of text files, in rank order over all of them; the metadata line begins the first."""
+    _write_in_order(dictionary_lines(df, meta, all_words), ["section", "rank", "old"], path)
 
 
 def write_keyboard_list(words: DataFrame, path: str) -> None:
@@ -78,5 +88,4 @@ def write_keyboard_list(words: DataFrame, path: str) -> None:
         [(0, "", "# Gboard Dictionary version:1"), (1, "", "")], "section int, new string, line string"
     )
     body = words.select(F.lit(2).alias("section"), "new", F.concat_ws("\t", "shortcut", "new", "lang").alias("line"))
-    out = head.unionByName(body).repartition(1).sortWithinPartitions("section", "new")
-    out.select("line").write.mode("overwrite").text(path)
+    _write_in_order(head.unionByName(body), ["section", "new"], path)
