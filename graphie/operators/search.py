@@ -190,28 +190,32 @@ def build_search_entries(
         .join(post90.select("old", F.col("new").alias("_p")), "old", "left")
         .select(F.coalesce("_p", "old").alias("post90"), "old", "new")
     )
-    groups = keyed.groupBy("post90", "new").agg(
-        F.sort_array(F.collect_set(F.when(F.col("old") != F.col("post90"), F.col("old")))).alias("old")
+    # All answers of an official spelling come together once, and lists carry them from there on.
+    per = keyed.groupBy("post90").agg(F.collect_set(F.struct("new", "old")).alias("xs"))
+    others = lambda n: F.filter("xs", lambda x: (x["new"] == n) & (x["old"] != F.col("post90")))
+    answers = F.transform(
+        F.array_distinct(F.transform("xs", lambda x: x["new"])),
+        lambda n: F.struct(n.alias("new"), F.sort_array(F.transform(others(n), lambda x: x["old"])).alias("old")),
     )
-    counts = groups.groupBy("post90").agg(F.count(F.lit(1)).alias("n"))
-    g = groups.join(counts, "post90").join(
-        plurals.select(F.col("word").alias("post90"), "side", "other"), "post90", "left"
-    )
-    partner = g.filter("n = 1").select(
-        F.col("post90").alias("other"), F.col("new").alias("new2"), F.col("old").alias("old2")
-    )
-    j = g.withColumn("other", spread_key("other", "post90")).join(partner, "other", "left")
+    sides = plurals.select(F.col("word").alias("post90"), "side", "other")
+    j = per.select("post90", answers.alias("answers")).join(sides, "post90", "left")
+    # A word and its plural meet under the singular; any other spelling is alone.
+    pair = F.when(F.col("side") == "S", F.col("post90")).when(F.col("side") == "P", F.col("other"))
+    paired = j.withColumn("_pair", pair).withColumn("_pair", spread_key("_pair", "post90"))
+    pairs = paired.groupBy("_pair").agg(F.collect_list(F.struct("post90", "answers", "side")).alias("rows"))
+
+    def one(side: str) -> Column:
+        return F.get(F.filter("rows", lambda r: (r["side"] == side) & (F.size(r["answers"]) == 1)), F.lit(0))["answers"][0]
+
     add_s = lambda a: F.transform(a, lambda x: F.concat(x, F.lit("s")))
-    agrees = (F.col("n") == 1) & F.when(
-        F.col("side") == "S",
-        (F.concat("new", F.lit("s")) == F.col("new2")) & (add_s(F.col("old")) == F.col("old2")),
-    ).when(
-        F.col("side") == "P",
-        (F.concat("new2", F.lit("s")) == F.col("new")) & (add_s(F.col("old2")) == F.col("old")),
-    )
-    j = j.withColumn("agrees", F.coalesce(agrees, F.lit(False)))
-    out = j.filter(~(F.col("agrees") & (F.col("side") == "P"))).select(
-        "old", "post90", "new", (F.col("agrees") & (F.col("side") == "S")).alias("implied_plural")
+    both = pairs.withColumn("s", one("S")).withColumn("p", one("P"))
+    agrees = (F.concat("s.new", F.lit("s")) == F.col("p.new")) & (add_s(F.col("s.old")) == F.col("p.old"))
+    out = (
+        both.withColumn("agrees", F.coalesce(agrees, F.lit(False)))
+        .select("agrees", F.explode("rows").alias("r"))
+        .filter(~(F.col("agrees") & (F.col("r.side").eqNullSafe("P"))))
+        .select("r.post90", (F.col("agrees") & (F.col("r.side").eqNullSafe("S"))).alias("implied_plural"), F.explode("r.answers").alias("a"))
+        .select("a.old", "post90", "a.new", "implied_plural")
     )
     if overrides is not None:
         out = out.join(overrides.select("post90", F.col("display").alias("_d")), "post90", "left").select(
@@ -232,6 +236,17 @@ def inconsistent_entries(combined: DataFrame, post90: DataFrame) -> DataFrame:
     )
 
 
+def consistent(combined: DataFrame, post90: DataFrame) -> DataFrame:
+    """``post90, new``: the one new spelling of each official one. Reading it fails, naming the word, if there are two."""
+    keyed = combined.join(post90.select("old", F.col("new").alias("_p")), "old", "left").select(
+        F.coalesce("_p", "old").alias("post90"), "new"
+    )
+    one = keyed.groupBy("post90").agg(F.min("new").alias("new"), F.max("new").alias("_other"))
+    said = F.concat(F.lit("several spellings of "), "post90", F.lit(": "), "new", F.lit(", "), "_other")
+    checked = F.when(F.col("new") == F.col("_other"), F.col("new")).otherwise(F.raise_error(said).cast("string"))
+    return one.select("post90", checked.alias("new"))
+
+
 def search_surfaces(old: Column, post90: Column, new: Column, implied_plural: Column) -> Column:
     """Every spelling an entry is found by; folded plurals add their plural forms."""
     base = F.concat(old, F.array(post90, new))

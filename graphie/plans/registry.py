@@ -120,9 +120,9 @@ lexicon AS MATERIALIZED (SELECT word AS ortho, {sound_sql('word')} AS phon,
   row_number() OVER (ORDER BY n DESC, word) AS rank FROM vocab)"""
 
 
-def lexicon(spark: SparkSession, sf: str) -> DataFrame:
+def lexicon(spark: SparkSession, sf: str, words: DataFrame | None = None) -> DataFrame:
     """``ortho, phon, lemme, freq`` derived from the vocabulary."""
-    return vocabulary(spark, sf).select(
+    return (vocabulary(spark, sf) if words is None else words).select(
         F.col("word").alias("ortho"),
         sound("word").alias("phon"),
         F.regexp_replace("word", "s$", "").alias("lemme"),

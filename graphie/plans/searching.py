@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphie.functions import text as T
 from graphie.operators import search as S
 from graphie.plans.registry import LEXICON_SQL, VOCAB_SQL, lexicon, query, table, vocabulary
+from graphie.sources.files import stored
 
 # Every word with é is an entry spelled with and without the accent.
 ENTRIES_SQL = f"""{VOCAB_SQL},
@@ -100,29 +101,36 @@ sides AS (SELECT s AS word, 'S' AS side, p AS other FROM pairs UNION ALL SELECT
 cnt AS (SELECT word, count(*) AS n FROM sides GROUP BY 1)
 SELECT s.word, s.side, s.other FROM sides s JOIN cnt c ON c.word = s.word JOIN cnt o ON o.word = s.other WHERE c.n = 1 AND o.n = 1""",
 )
-def regular_plurals(spark, sf):
-    lx = lexicon(spark, sf).withColumn(
+def regular_plurals(spark, sf, v=None):
+    lx = lexicon(spark, sf, v).withColumn(
         "phon", F.replace(F.concat("phon", F.lit("#")), F.lit("s#"), F.lit("#"))
     )
     return S.regular_plurals(lx)
 
 
+def entries(spark, sf):
+    """Search records; the vocabulary they all come from is derived once."""
+    v = stored(vocabulary(spark, sf), "vocabulary")
+    return S.build_search_entries(combined(spark, sf, v), post90(spark, sf, v), stored(regular_plurals(spark, sf, v), "plurals"))
+
+
 COMBINED_SQL = f"""{LEXICON_SQL},
 combined AS (SELECT word AS old, replace(replace(word, 'eau', 'ô'), 'é', 'e') AS new FROM vocab),
 post AS (SELECT word AS old, replace(word, 'ê', 'e') AS new FROM vocab WHERE contains(word, 'ê')),
 keyed AS (SELECT coalesce(p.new, c.old) AS post90, c.old, c.new FROM combined c LEFT JOIN post p ON p.old = c.old)"""
 
 
-def combined(spark, sf):
-    v = vocabulary(spark, sf)
+def combined(spark, sf, v=None):
+    v = vocabulary(spark, sf) if v is None else v
     return v.select(
         F.col("word").alias("old"),
         F.replace(F.replace("word", F.lit("eau"), F.lit("ô")), F.lit("é"), F.lit("e")).alias("new"),
     )
 
 
-def post90(spark, sf):
-    return vocabulary(spark, sf).filter(F.contains("word", F.lit("ê"))).select(
+def post90(spark, sf, v=None):
+    v = vocabulary(spark, sf) if v is None else v
+    return v.filter(F.contains("word", F.lit("ê"))).select(
         F.col("word").alias("old"), F.replace("word", F.lit("ê"), F.lit("e")).alias("new")
     )
 
@@ -137,9 +145,7 @@ def inconsistent_entries(spark, sf):
     return r.select("post90", F.array_join("news", ",").alias("news"))
 
 
-@query(
-    "search_entries",
-    f"""WITH {COMBINED_SQL},
+RECORDS_SQL = f"""{COMBINED_SQL},
 forms AS (SELECT DISTINCT lemme, ortho, replace(phon || '#', 's#', '#') AS phon FROM lexicon),
 small AS (SELECT lemme FROM forms GROUP BY 1 HAVING count(*) <= 4),
 f AS (SELECT forms.* FROM forms SEMI JOIN small ON small.lemme = forms.lemme),
@@ -153,13 +159,24 @@ j AS (SELECT a.post90, a.new, coalesce(a.olds, []) AS olds, rp.side,
   a.n = 1 AND b.n = 1 AND CASE rp.side
     WHEN 'S' THEN a.new || 's' = b.new AND list_transform(coalesce(a.olds, []), lambda x: x || 's') = coalesce(b.olds, [])
     WHEN 'P' THEN b.new || 's' = a.new AND list_transform(coalesce(b.olds, []), lambda x: x || 's') = coalesce(a.olds, []) END AS agrees
-  FROM g1 a LEFT JOIN rp ON rp.word = a.post90 LEFT JOIN g1 b ON b.post90 = rp.other AND b.n = 1)
-SELECT array_to_string(olds, '|') AS olds, post90, new, coalesce(agrees AND side = 'S', false) AS implied_plural
-FROM j WHERE NOT coalesce(agrees AND side = 'P', false)""",
-)
+  FROM g1 a LEFT JOIN rp ON rp.word = a.post90 LEFT JOIN g1 b ON b.post90 = rp.other AND b.n = 1),
+records AS (SELECT olds, post90, new, coalesce(agrees AND side = 'S', false) AS implied_plural FROM j WHERE NOT coalesce(agrees AND side = 'P', false))"""
+
+
+@query("search_entries", f"WITH {RECORDS_SQL} SELECT array_to_string(olds, '|') AS olds, post90, new, implied_plural FROM records")
 def search_entries(spark, sf):
-    e = S.build_search_entries(combined(spark, sf), post90(spark, sf), regular_plurals(spark, sf))
-    return e.select(F.array_join("old", "|").alias("olds"), "post90", "new", "implied_plural")
+    return entries(spark, sf).select(F.array_join("old", "|").alias("olds"), "post90", "new", "implied_plural")
+
+
+@query(
+    "consistent_spellings",
+    f"WITH {COMBINED_SQL}, k AS (SELECT post90, replace(post90, 'ê', 'e') AS new FROM keyed) SELECT post90, min(new) AS new FROM k GROUP BY 1",
+)
+def consistent_spellings(spark, sf):
+    """A build that may go on: each official spelling has one new one."""
+    p = post90(spark, sf)
+    same = combined(spark, sf).join(p.select("old", F.col("new").alias("_p")), "old", "left")
+    return S.consistent(same.select("old", F.replace(F.coalesce("_p", "old"), F.lit("ê"), F.lit("e")).alias("new")), p)
 
 
 @query(
@@ -178,13 +195,27 @@ def search_display(spark, sf):
     return e.select(*S.display_columns(F.col("old"), F.col("post90"), F.col("new"), plural))
 
 
-@query("search_by_dictionary_entry")
+@query(
+    "search_by_dictionary_entry",
+    f"""WITH {RECORDS_SQL}, {QUERY_SQL},
+e AS (SELECT *, post90 || '/' || new AS id FROM records),
+base AS (SELECT id, implied_plural, unnest(list_concat(olds, [post90, new])) AS s FROM e),
+surf AS (SELECT DISTINCT id, s FROM (SELECT id, s FROM base UNION ALL SELECT id, s || 's' FROM base WHERE implied_plural)),
+ix AS (SELECT id AS entry_id, s AS surface, replace(strip_accents(s), 'œ', 'oe') AS key, octet_length(encode(replace(strip_accents(s), 'œ', 'oe'))) AS len FROM surf WHERE s <> ''),
+pq AS (SELECT query, replace(strip_accents(query), 'œ', 'oe') AS prefix, {_compat_sql('query')} AS re FROM qs WHERE query IS NOT NULL),
+lens AS (SELECT DISTINCT length(prefix) AS l FROM pq WHERE length(prefix) > 0),
+ixp AS (SELECT ix.*, substr(key, 1, l) AS prefix FROM ix JOIN lens ON length(key) >= l),
+hits AS (SELECT query, entry_id, min({{'l': len, 'k': key, 's': surface}}) AS b FROM pq JOIN ixp ON ixp.prefix = pq.prefix WHERE regexp_matches(surface, re) GROUP BY 1, 2),
+ranked AS (SELECT query, entry_id, b.s AS surface, row_number() OVER (PARTITION BY query ORDER BY b.l, b.k, b.s, entry_id) AS rank FROM hits),
+shown AS (SELECT id, olds, post90, new, CASE WHEN implied_plural THEN '(s)' ELSE '' END AS s FROM e)
+SELECT query, rank, surface, CASE WHEN len(olds) = 0 THEN post90 || s ELSE array_to_string(list_transform(olds, lambda a: a || s), '<br>') END AS other,
+  CASE WHEN len(olds) = 0 THEN '-' ELSE post90 || s END AS post90_display, CASE WHEN new = post90 THEN '-' ELSE new || s END AS new_display
+FROM ranked JOIN shown ON id = entry_id WHERE rank <= 10""",
+)
 def search_by_dictionary_entry(spark, sf):
     """The full chain: records, their spellings, queries, display."""
-    e = S.build_search_entries(combined(spark, sf), post90(spark, sf), regular_plurals(spark, sf))
-    e = e.withColumn("id", F.concat_ws("/", "post90", "new"))
+    e = stored(entries(spark, sf).withColumn("id", F.concat_ws("/", "post90", "new")), "records")
     surfaces = S.search_surfaces(F.col("old"), F.col("post90"), F.col("new"), F.col("implied_plural"))
-    ix = S.build_index(e, surfaces, "id")
-    found = S.search(queries_table(spark, sf), "query", ix)
+    found = S.search(queries_table(spark, sf), "query", S.build_index(e, surfaces, "id"))
     shown = e.select("id", *S.display_columns(F.col("old"), F.col("post90"), F.col("new"), F.col("implied_plural")))
     return found.join(shown, found["entry_id"] == shown["id"]).drop("id", "entry_id")

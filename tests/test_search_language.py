@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphie.operators import language as L
@@ -89,3 +90,28 @@ def test_joined_model_gives_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(L, "constant_lookup", lambda *x, **k: None)
     b = {r.i: (r.score_fr, r.score_en) for r in L.language_score(df, "t", m, key="i").collect()}
     assert {k: tuple(round(x, 6) for x in v) for k, v in a.items()} == {k: tuple(round(x, 6) for x in v) for k, v in b.items()}
+
+
+def test_two_spellings_of_a_word_stop_the_build(spark):
+    post = spark.createDataFrame([("arrêt", "arret")], "old string, new string")
+    good = spark.createDataFrame([("arrêt", "aret"), ("arret", "aret"), ("mot", "mo")], "old string, new string")
+    assert {tuple(r) for r in S.consistent(good, post).collect()} == {("arret", "aret"), ("mot", "mo")}
+    bad = good.unionByName(spark.createDataFrame([("arret", "arrè")], "old string, new string"))
+    with pytest.raises(Exception, match="several spellings of arret: aret, arrè"):
+        S.consistent(bad, post).collect()
+
+
+def test_search_goes_on_for_entries_of_many_spellings(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPELLINGS", 1)
+    entries = spark.createDataFrame([(f"e{i}", ["a" + "b" * (i + k) for k in range(30)]) for i in range(6)] + [("x", ["à", "aé"]), ("y", ["b"])], "id string, forms array<string>")
+    ix = S.build_index(entries, F.col("forms"), "id")
+    queries = spark.createDataFrame([("a",), ("ab",), ("aé",), ("b",), ("zz",), (None,)], "q string")
+    got = sorted(tuple(r) for r in S.search(queries, "q", ix, limit=4).collect())
+    rows = [(r.len, r.key, r.surface, r.entry_id) for r in ix.collect()]
+    want = []
+    for q, ok in (("a", lambda s: s[0] in "aà"), ("ab", lambda s: s.startswith("ab")), ("aé", lambda s: s == "aé"), ("b", lambda s: s == "b")):
+        seen = {}
+        for _, _, s, e in sorted(r for r in rows if ok(r[2])):
+            seen.setdefault(e, s)
+        want += [(q, i + 1, e, s) for i, (e, s) in enumerate(list(seen.items())[:4])]
+    assert got == sorted(want)
