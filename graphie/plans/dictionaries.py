@@ -326,3 +326,22 @@ def lookup_function(spark, sf):
     return spark.sql(
         "SELECT word, p_partkey, eau_spelling(word) AS new, e.new AS entry FROM spelling_words LEFT JOIN LATERAL que_spelling_entries(word) e"
     )
+
+
+_NAMES = [("accent-plat", 0), ("ti/ci", 1), ("qu/q", 2), ("que/c", 3), ("emment/ament", 4), ("alfonic", 5), ("ou/omega", 6)]
+
+
+@query(
+    "ordered_rules",
+    f"""WITH {values_sql('n', 'name, pos', _NAMES)}, {values_sql('k', 'name, r', list(RS.RANKS.items()))},
+p AS (SELECT split_part(url, '/', 3) AS ruleset, max(length(url)) AS w FROM pages GROUP BY 1)
+SELECT ruleset, n.name, row_number() OVER (PARTITION BY ruleset ORDER BY coalesce(k.r, 0), pos) AS step
+FROM p JOIN n ON (w + pos) % 3 <> 0 LEFT JOIN k ON k.name = n.name""",
+)
+def ordered_rules(spark, sf):
+    """Rule sets named after page hosts, in the order their rules run."""
+    pages = table(spark, sf, "pages").groupBy(F.element_at(F.split("url", "/"), 3).alias("ruleset")).agg(F.max(F.length("url")).alias("w"))
+    names = spark.createDataFrame(_NAMES, "name string, pos int")
+    some = F.filter(F.lit([p for _, p in _NAMES]), lambda p: (F.col("w") + p) % 3 != 0)
+    rows = pages.select("ruleset", F.explode(some).alias("pos")).join(names, "pos")
+    return RS.order_rules(rows).select("ruleset", "name", F.col("step").cast("bigint").alias("step"))

@@ -7,20 +7,21 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphie.operators import lexicon as X
 from graphie.operators import respell as R
 from graphie.operators import segments as S
 from graphie.operators.dictionary import Dictionary, Metadata
+from graphie.plans.dictionaries import ranked
 from graphie.plans.registry import (
     DICTS_SQL, LEXICON_SQL, SMOKE_SQL, VOCAB_SQL, dict_eau, documents, lexicon, query, smoke_dictionary, table, vocabulary,
 )
-from graphie.operators import lexicon as X
-from graphie.plans.dictionaries import ranked
 from graphie.plans.respelling import respell_sql
 from graphie.sources import dictionary_io as IO
 from graphie.sources import lexicon_io as LX
-from graphie.sources.files import work_folder
+from graphie.sources.files import read_documents, work_folder
 
 
 @query("dictionary_file_roundtrip", f"WITH {DICTS_SQL} SELECT old, new, 'fr' AS lang, '+' AS marker FROM d1")
@@ -282,15 +283,37 @@ def book_main_files(spark, sf):
     return m.withColumn("n", F.col("n").cast("int"))
 
 
+_LINES_SQL = """(SELECT doc_id, i, regexp_replace(line, '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g') AS text FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
+
+
 @query(
     "book_respell",
-    """SELECT doc_id || '.epub' AS doc, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) + 1 AS n FROM documents""",
+    f"""WITH r AS ({respell_sql(_LINES_SQL, 'doc_id, i', SMOKE_SQL)})
+SELECT doc_id || '.epub' AS doc, i AS paragraph, text FROM r WHERE text <> ''""",
 )
 def book_respell(spark, sf):
+    """The paragraphs of books after conversion, counted from 1; empty ones have no text to convert."""
     s = S.member_segments(S.container_members(packed(spark, sf, "epub")))
     d = smoke_dictionary(spark)
-    r = S.convert_segments(s, lambda df, c: R.respell(df, c, d))
-    return r.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    r = S.convert_segments(s, lambda df, c: R.respell(df, c, d)).filter("part = 'OEBPS/book.xhtml'")
+    lines = documents(spark, sf, "doc_id", "text").select(
+        F.concat("doc_id", F.lit(".epub")).alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line")
+    )
+    n = F.row_number().over(W.partitionBy("doc").orderBy("at"))
+    place = lines.filter("line <> ''").select("doc", (F.col("at") + 1).cast("bigint").alias("paragraph"), n.alias("n"))
+    seen = r.select("doc", "text", F.row_number().over(W.partitionBy("doc").orderBy("seq")).alias("n"))
+    return seen.join(place, ["doc", "n"], "full_outer").select("doc", "paragraph", "text")
+
+
+@query("document_files", "SELECT 'text' AS kind, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes FROM documents")
+def document_files(spark, sf):
+    """A folder of text files and of files of a kind that is not supported, as read."""
+    folder = work_folder(spark, "files")
+    docs = documents(spark, sf, "doc_id", "text")
+    docs.select("text").write.text(f"{folder}/text")
+    docs.select("doc_id").write.csv(f"{folder}/csv")
+    return read_documents(spark, f"{folder}/*").groupBy("kind").agg(F.sum("length").alias("n_bytes"))
 
 
 @query(

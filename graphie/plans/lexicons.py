@@ -216,29 +216,35 @@ L = "'éèêëàâäáîïíôöóùûüúçñßœæ', '0123456789!#$%&*+;<=>@'"
 DUMP_SQL = f"""{LEXICON_SQL},
 dump AS (SELECT rank AS line_no, ortho AS word, CASE WHEN length(ortho) % 7 = 0 THEN NULL ELSE phon END AS ipa,
   CASE WHEN length(ortho) % 3 = 0 THEN 'orthographe traditionnelle (x)' WHEN length(ortho) % 3 = 1 THEN 'orthographe rectifiée de 1990'
-    WHEN contains(ortho, 'h') THEN 'h aspiré' END AS tag FROM lexicon),
+    WHEN contains(ortho, 'h') THEN 'h aspiré' END AS tag FROM lexicon
+  UNION ALL SELECT rank + 100000000, ortho, phon || 'x', CASE WHEN contains(ortho, 'c') THEN 'h aspiré' END FROM lexicon WHERE contains(ortho, 'e')),
 defs AS (SELECT line_no, word, ipa, coalesce(contains(tag, 'rectifiée'), false) AS rect, coalesce(contains(tag, 'traditionnelle'), false) AS trad,
   coalesce(contains(tag, 'h aspir'), false) AS h_aspire, tag IS NOT NULL AS tagged FROM dump
   WHERE ipa IS NOT NULL AND NOT regexp_matches(word, '[-0-9.+()&/ ,"]'))"""
 
 
 def dump(spark, sf):
+    """Words with an e have a second definition, with another sound, far below the first."""
     from graphie.plans.dictionaries import ranked
     from graphie.plans.registry import sound
 
     n = F.length("ortho")
+    no_tags = F.lit(None).cast("array<string>")
+
+    def lines(lx, line_no, tag, ipa):
+        sounds = F.array(F.struct(ipa.alias("ipa"), no_tags.alias("tags"))).alias("sounds")
+        return lx.select(line_no.alias("line_no"), F.col("ortho").alias("word"), F.when(tag.isNotNull(), F.array(tag)).alias("tags"), sounds)
+
+    lx = ranked(spark, sf)
     tag = (
         F.when(n % 3 == 0, "orthographe traditionnelle (x)")
         .when(n % 3 == 1, X.RECTIFIED_TAG)
         .when(F.contains("ortho", F.lit("h")), "h aspiré")
     )
-    no_tags = F.lit(None).cast("array<string>")
-    return ranked(spark, sf).select(
-        F.col("rank").alias("line_no"),
-        F.col("ortho").alias("word"),
-        F.when(tag.isNotNull(), F.array(tag)).alias("tags"),
-        F.array(F.struct(F.when(n % 7 != 0, sound("ortho")).alias("ipa"), no_tags.alias("tags"))).alias("sounds"),
-    )
+    again = F.when(F.contains("ortho", F.lit("c")), "h aspiré")
+    first = lines(lx, F.col("rank"), tag, F.when(n % 7 != 0, sound("ortho")))
+    second = lines(lx.filter(F.contains("ortho", F.lit("e"))), F.col("rank") + 100_000_000, again, F.concat(sound("ortho"), F.lit("x")))
+    return first.unionByName(second)
 
 
 @query("tagged_definitions", f"WITH {DUMP_SQL} SELECT * FROM defs")
@@ -246,7 +252,10 @@ def tagged_definitions(spark, sf):
     return X.tag_definitions(dump(spark, sf))
 
 
-@query("first_pronunciations", f"WITH {DUMP_SQL} SELECT word, ipa, h_aspire FROM defs")
+@query(
+    "first_pronunciations",
+    f"WITH {DUMP_SQL} SELECT word, arg_min(ipa, line_no) AS ipa, arg_min(h_aspire, line_no) AS h_aspire FROM defs GROUP BY word",
+)
 def first_pronunciations(spark, sf):
     return X.first_pronunciations(X.tag_definitions(dump(spark, sf)))
 
