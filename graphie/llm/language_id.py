@@ -24,7 +24,11 @@ from graphie.llm.toxicity import pieces
 SAMPLE, SLICE, CLASSES = 512, 1024, 16
 HIDDEN, LANE, SIDE_BY_SIDE = 8, 128, 2048
 STEPS, BATCH, TRAIN_LANE = 300, 128, 48
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # takes other numbers, as ½ or Ⅷ, for letters
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
 def softsign(x: np.ndarray) -> np.ndarray:
@@ -203,7 +207,7 @@ def predict_languages(docs: DataFrame, network: Network, text: str = "text", kee
             cells = batch.column(batch.num_columns - 1)
             for at, n in pieces(cells):
                 texts = cells.slice(at, n).to_pylist()
-                lettered = np.array([bool(t and LETTER.search(t)) for t in texts]) & bool(network.langs)
+                lettered = np.array([has_letter(t) for t in texts]) & bool(network.langs)
                 names, scores = ["und"] * n, np.zeros(n)
                 if lettered.any():
                     rows = np.flatnonzero(lettered)

@@ -68,14 +68,14 @@ def word_count(text: str) -> F.Column:
 
 
 def source_targets(sized: DataFrame, source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``source, source_size, n_units, target`` for rows ``source, doc_id, size``.
+    """``source, source_size, n_units, target`` for rows ``source, doc_id, size``, each of them a unit.
 
     Sources in code-point order (null last) weigh 1, 2, 3, 1, ...; a target stops at three times
     the size of its source and the excess goes to the others by weight. Order numbers come from a
     range partitioning and its partition sizes; shares from global sums, so that no task and not
     the driver sees all sources.
     """
-    per = sized.groupBy(source).agg(F.sum("size").alias("source_size"), F.count_distinct("doc_id", "size").alias("n_units"))
+    per = sized.groupBy(source).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_units"))
     per = per.withColumn("last", F.col(source).isNull()).withColumn("name", F.coalesce(F.col(source), F.lit("")))
     per = per.repartitionByRange("last", "name").withColumn("part", F.spark_partition_id())
     per = stored(per.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("last", "name"))), "sources")
@@ -151,11 +151,10 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", k
     A column of the table that is itself called ``copies`` is replaced.
     """
     plan = mixing_plan(docs, text, source, key, seed).select("doc_id", "source", "size", "copies").distinct().filter("copies > 0")
-    plan = plan.select(*[F.col(c).alias(f"_plan_{c}") for c in plan.columns])
-    rows = docs.drop("copies").withColumn("_size", word_count(text))
-    on = (
-        rows[key].cast("bigint").eqNullSafe(plan["_plan_doc_id"])
-        & rows[source].eqNullSafe(plan["_plan_source"])
-        & (rows["_size"] == plan["_plan_size"])
-    )
-    return rows.join(plan, on).select(*[F.col(c) for c in docs.columns if c != "copies"], F.col("_plan_copies").alias("copies"))
+    names = [c for c in docs.columns if c != "copies"]
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+        F.col(f"`{key}`").cast("bigint").alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(text).alias("_size"),
+    )
+    on = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
+    return rows.join(plan, on).select(*[f"c{i}" for i in range(len(names))], "copies").toDF(*names, "copies")

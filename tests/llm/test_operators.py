@@ -359,3 +359,19 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scale):
             want += [(q, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(sorted(scores)[:10])]
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     assert topk.top_k(topk.whole_vectors(table.limit(0)), F.lit(True)).count() == 0
+
+
+def test_mix_of_rows_without_ids_and_with_clashing_names(spark):
+    rows = [(None, f"{'w ' * (i % 40 + 1)}", "a" if i % 2 else None, 1, 2, 3) for i in range(300)] + [(i, "x y z", "b", 1, 2, 3) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, `a.b` int, _plan_doc_id int, size int")
+    plan = mixing.mixing_plan(docs).collect()
+    assert len(plan) == len(rows)
+    for source in (None, "a", "b"):
+        mine = [r for r in plan if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 8 * 40  # eight rows of one size are a unit
+    out = mixing.mix_documents(docs)
+    assert out.columns == [*docs.columns, "copies"] and out.count() == sum(r["copies"] > 0 for r in plan)
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(language_id.has_letter, [None, "", "½ ²", "Ⅷ ①", "12 _ ٣"])) and all(map(language_id.has_letter, ["½a", "漢", "é"]))
