@@ -5,6 +5,8 @@ import re
 import string
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
+
 from graphie.llm import decontamination, jaccard_join
 from graphie.llm.queries import ORACLES, QUERIES
 
@@ -73,3 +75,20 @@ def test_near_copies_are_met_at_five_words_and_four_fifths(spark):
     got = {r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, "").collect()}
     want = kept_by_brute_force(texts, 5, 80, 100)
     assert got == want and want != kept_by_brute_force(texts, 4, 85, 100)
+
+
+def test_stages_take_odd_rows_and_foreign_columns(spark, sf):
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(10_001, None, "fr", None, None), (10_002, "", None, "s", 0), (10_003, " \t", None, "s", 2), (None, "no id at all", "en", "s", 12)], some.schema)
+    names = ["score", "toxic_spans", "_text", "a.b", "_doc", "_found", "_plan_doc_id", "_key", "entities", "copies", "other_column_3"]
+    docs = some.unionByName(odd).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]).cache()
+    for table in (docs, docs.limit(0)):
+        for i, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, table, sf)
+            want = docs.columns if i < 4 else [c for c in docs.columns if c != "copies"] + ["copies"]
+            assert out.columns == want, name
+            rows = out.collect()
+            assert bool(rows) == (table is docs)
+            assert all(r[n] == k for r in rows for k, n in enumerate(names) if n != "copies" or i < 4)
+            if table is docs and i < 4:
+                assert {10_001, 10_002, 10_003, None} <= {r["doc_id"] for r in rows}, name
