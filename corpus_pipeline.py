@@ -6,6 +6,7 @@ Every stage is written as Parquet to the shared folder and read again. Columns s
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,33 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("jaccard_join", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("private_surrogates", replace_private),
-    ("mix_sources", mix_sources),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Stage) -> Stage:
+    """The stage on a table whose other columns have names that no stage uses; they get their own back.
+
+    A column that the stage itself adds replaces one of that name.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c if c in OWN else f"other_column_{i}": c for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        added = [c for c in out.columns if c not in names]
+        kept = [c for c in out.columns if c in names and names[c] not in added]
+        return out.select(*kept, *added).toDF(*[names[c] for c in kept], *added)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", apart(drop_toxic)),
+    ("jaccard_join", apart(drop_near_copies)),
+    ("decontamination", apart(drop_benchmark)),
+    ("private_surrogates", apart(replace_private)),
+    ("mix_sources", apart(mix_sources)),
 ]
 
 ORACLE_SQL = None
