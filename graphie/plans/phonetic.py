@@ -284,7 +284,7 @@ _V = G.SOUND_VOWELS
 
 @query(
     "accent_by_syllable",
-    f"""WITH {LEXICON_SQL}, r AS (SELECT DISTINCT regexp_extract(phon, '[eE](.*)$', 1) AS "right" FROM lexicon WHERE regexp_matches(phon, '[eE]'))
+    f"""WITH {SPOKEN_SQL}, r AS (SELECT DISTINCT regexp_extract(phon, '[eE](.*)$', 1) AS "right" FROM spoken WHERE regexp_matches(phon, '[eE]'))
 SELECT "right", CASE WHEN length("right") <= 1 THEN "right" = '' WHEN regexp_matches("right", '^.(?:[{_V}]|[j8w][{_V}])') THEN NOT regexp_matches("right", '^.°')
   WHEN regexp_matches("right", '[{_V.replace('°', '')}]') THEN regexp_matches("right", '^[bptdkgvf][Rlwj8]') ELSE false END AS acute FROM r""",
 )
