@@ -4,15 +4,23 @@ Entities are found in whole texts. A surrogate is the keyed image of the entity'
 under a permutation of all forms of its format: letters go to letters of their alphabet and case,
 digits to digits, punctuation stays. So the same entity gets the same surrogate in every document
 (coreference) and two entities get two (distinctness), without a shared table. Check digits,
-country codes, host endings and octet ranges stay valid; a name after a title keeps the gender.
+country codes, host endings and octet ranges stay valid.
+
+A person is a name, whatever the title before it: ``Mr John Smith``, ``Dr John Smith`` and, in a
+text that has one of them, ``John Smith`` are one entity. The gender of a name is that of most of
+its titles over all documents, else that of its given name in the lists; the given name becomes
+one of the same gender.
 
 Where a format is not a pure permutation (given names from lists, check digits of account
 numbers), a distributed count over the distinct entities finds equal surrogates; all but one of
-them are drawn again with a salt until none are equal.
+them are drawn again with a salt until none are equal. Genders and salts that differ from the
+default are a table. Up to ``MOST_HELD`` rows of it travel with the tasks; beyond, each row of the
+documents gets its own entries by a join. Rows out are the same.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -24,8 +32,9 @@ from pyspark.sql import functions as F
 
 from graphie.llm.toxicity import pieces
 
-KEY = "replace this key"
-MOST_SALTS = 100_000
+KEY = "replace this key"  # used where neither an argument nor the setting below names a key
+KEY_SETTING = "graphie.private.key"
+MOST_HELD = 100_000
 
 # Given names by gender (fixed values).
 GIVEN = {
@@ -39,6 +48,7 @@ TITLES = {
     "": ["Dr", "Prof"],
 }
 GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+LISTED = {name: g for g, names in GIVEN.items() for name in names}
 
 # Alphabets as first and last code points (fixed values); a letter stays within its own.
 ALPHABETS = [
@@ -74,14 +84,32 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
         found += [(e.start(), e.end(), e.lastgroup) for e in ENTITY.finditer(text, start, end)]
         at = end
     if any(t in text for t in GENDER):
-        taken = [(s, e) for s, e, _ in found]
+        taken, people = _Spans(found), set()
         for m in NAME.finditer(text):
-            s, e = m.span("name")
-            if not any(a < e and s < b for a, b in taken):
-                found.append((s, e, "name" + GENDER[m["title"]]))
+            if taken.add(*m.span("name")):
+                found.append((*m.span("name"), "name" + GENDER[m["title"]]))
+                people.add(m["name"])
+        if people := sorted((p for p in people if " " in p), key=len, reverse=True):
+            for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, people))})(?![\w’'-])", text):
+                if taken.add(*m.span()):
+                    found.append((*m.span(), "name"))
     return sorted(found)
 
 
+class _Spans:
+    """Spans without overlaps; ``add`` says whether there was room for one more."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.spans = sorted((s, e) for s, e, _ in spans)
+
+    def add(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.spans, (start, end))
+        if (i and self.spans[i - 1][1] > start) or (i < len(self.spans) and self.spans[i][0] < end):
+            return False
+        self.spans.insert(i, (start, end))
+        return True
+
+
 def _number(key: bytes, *parts: object) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.blake2b).digest()[:32], "big")
 
@@ -158,8 +186,8 @@ def canonical(kind: str, found: str) -> str:
     return found
 
 
-def image(key: bytes, kind: str, form: str, salt: int = 0) -> str:
-    """The surrogate of a canonical form, itself in canonical form."""
+def image(key: bytes, kind: str, form: str, salt: int = 0, gender: str = "") -> str:
+    """The surrogate of a canonical form, itself in canonical form; ``gender`` is that of a name, if titles tell it."""
     tweak = f"{kind}|{salt}"
     if kind == "email":
         local, _, host = form.partition("@")
@@ -185,22 +213,26 @@ def image(key: bytes, kind: str, form: str, salt: int = 0) -> str:
         m = re.match(r"AKIA|ASIA|(?:sk|pk|rk|ghp|gho|xox[abp])[-_]", form)
         head = m[0] if m else ""
         return head + (_hex(key, tweak, form) if not head and re.fullmatch("[0-9a-f]+", form) else respelled(key, tweak, form[len(head) :]))
-    if kind.startswith("name"):
+    if kind == "name":
         given, _, family = form.partition(" ")
-        names = GIVEN.get(kind[4:], [])
         if not family:
             return respelled(key, tweak, given)
-        if given in names:
-            order = sorted(range(len(names)), key=lambda i: _number(key, tweak, "order", i))
-            given = names[order[names.index(given)]]
-        elif names and salt:
-            given = names[_number(key, tweak, given) % len(names)]
-        else:
-            given = respelled(key, tweak, given)
-        return f"{given} {respelled(key, tweak, family)}"
+        return f"{_given(key, tweak, given, salt, gender or LISTED.get(given, ''))} {respelled(key, 'name|0', family)}"
     return respelled(key, tweak, form)
 
 
+def _given(key: bytes, tweak: str, given: str, salt: int, gender: str) -> str:
+    """A given name of the gender. Listed names change places; others get a listed one, in the end with a permuted one behind it."""
+    names, changed = GIVEN.get(gender, []), respelled(key, tweak, given)
+    if not names or not given[0].isascii():  # the lists are Latin
+        return changed
+    if given in names and not salt:
+        order = sorted(range(len(names)), key=lambda i: _number(key, tweak, "order", i))
+        return names[order[names.index(given)]]
+    pick = names[_number(key, tweak, given) % len(names)]
+    return pick if not salt else f"{pick}-{changed}"
+
+
 def _hex(key: bytes, tweak: str, form: str) -> str:
     half = len(form) // 2
     return f"{permuted(key, tweak, int(form, 16), 16 ** half, 16 ** (len(form) - half)):0{len(form)}x}"
@@ -220,82 +252,140 @@ def laid_out(kind: str, found: str, new: str) -> str:
     return new
 
 
+def key_of(docs: DataFrame, key: str | None = None) -> bytes:
+    """The secret: the argument, else the session's ``graphie.private.key``, else the public default."""
+    return (key or docs.sparkSession.conf.get(KEY_SETTING, KEY)).encode()
+
+
 def distinct_entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``kind, form, n``: distinct entities of all documents with their numbers."""
+    """``kind, form, n, gender``: distinct entities of all documents with their numbers, and the gender most titles of a name tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in pieces(batch.column(0)):
-                kinds, forms = [], []
+                kinds, forms, sides = [], [], []
                 for t in batch.column(0).slice(at, n).to_pylist():
                     for s, e, kind in entities(t):
-                        kinds.append(kind)
-                        forms.append(canonical(kind, t[s:e]))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(forms, pa.string())], names=["kind", "form"])
+                        plain = plain_kind(kind)
+                        kinds.append(plain)
+                        forms.append(canonical(plain, t[s:e]))
+                        sides.append({"namem": 1, "namef": -1}.get(kind, 0))
+                columns = [pa.array(kinds, pa.string()), pa.array(forms, pa.string()), pa.array(sides, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "form", "side"])
+
+    found = docs.select(F.col(f"`{text}`")).mapInArrow(run, "kind string, form string, side int").groupBy("kind", "form")
+    found = found.agg(F.count(F.lit(1)).alias("n"), F.sum("side").alias("side"))
+    return found.select("kind", "form", "n", F.when(F.col("side") > 0, "m").when(F.col("side") < 0, "f").otherwise("").alias("gender"))
 
-    return docs.select(text).mapInArrow(run, "kind string, form string").groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"))
 
+def plain_kind(kind: str) -> str:
+    """The kind without the gender that the title of a name tells."""
+    return kind[:4] if kind.startswith("name") else kind
 
-def collision_salts(docs: DataFrame, text: str = "text", key: str = KEY) -> dict[tuple[str, str], int]:
-    """Salts of the entities whose surrogates would equal another one's; mostly empty.
+
+def collision_salts(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """``kind, form, salt, gender`` of the entities with a salt or with a gender that their given name does not tell; few rows.
 
     Equal surrogates are counted over all distinct entities; the first form keeps its own, the
-    others draw again until all differ. More than ``MOST_SALTS`` of them are refused: then the
-    lists behind a kind are too small for the data and must grow.
+    others draw again, until all differ. Nothing is collected.
     """
     from graphie.llm.shared import stored
 
-    found = stored(distinct_entities(docs, text).select("kind", "form"), "entities")
-    salts: dict[tuple[str, str], int] = {}
-    secret = key.encode()
-    while True:
-        held = dict(salts)
+    secret = key_of(docs, key)
+    told = F.col("gender").isin(*GIVEN) & F.contains("form", F.lit(" "))
+    found = distinct_entities(docs, text).select("kind", "form", F.lit(0).alias("salt"), F.when(told, F.col("gender")).otherwise("").alias("gender"))
+    found = stored(found, "entities")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                new = [image(secret, k, f, held.get((k, f), 0)) for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "form", "new"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            new = [image(secret, kind, form, salt, gender) for kind, form, salt, gender in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "form", "new"])
 
+    while True:
         images = found.mapInArrow(run, "kind string, form string, new string")
         twice = images.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("c"), F.min("form").alias("first")).filter("c > 1")
-        clash = images.join(twice, ["kind", "new"]).filter("form != first").select("kind", "form").limit(MOST_SALTS + 1).collect()
-        if not clash:
-            return salts
-        for r in clash:
-            salts[r["kind"], r["form"]] = salts.get((r["kind"], r["form"]), 0) + 1
-        if len(salts) > MOST_SALTS:
-            raise ValueError("too many equal surrogates: the name lists are too small for these documents")
-
-
-def anonymise(docs: DataFrame, salts: dict[tuple[str, str], int], text: str = "text", key: str = KEY) -> DataFrame:
+        clash = images.join(twice, ["kind", "new"]).filter("form != first").select("kind", "form", F.lit(1).alias("again"))
+        clash = stored(clash, "equal_surrogates")
+        if clash.isEmpty():
+            break
+        salt = (F.col("salt") + F.coalesce("again", F.lit(0))).alias("salt")
+        found = stored(found.join(clash, ["kind", "form"], "left").select("kind", "form", salt, "gender"), "entities")
+    lists = F.create_map(*[F.lit(x) for pair in LISTED.items() for x in pair])
+    default = F.coalesce(F.try_element_at(lists, F.substring_index("form", " ", 1)), F.lit(""))
+    return found.filter((F.col("salt") > 0) | ((F.col("gender") != "") & (F.col("gender") != default)))
+
+
+def anonymise(docs: DataFrame, salts: DataFrame | None, text: str = "text", key: str | None = None, most_held: int = MOST_HELD) -> DataFrame:
     """All columns, with surrogates in ``text``, and ``entities``: kind, and place and surrogate in the new text.
 
-    Null and empty texts stay. A column of the table called ``entities`` is replaced.
+    ``salts`` comes from ``collision_salts`` over the same documents and key. Null and empty texts stay.
+    A column of the table called ``entities`` is replaced. Column names can be any, a dot included.
     """
-    secret = key.encode()
-    keep = [c for c in docs.columns if c not in (text, "entities")]
+    held = salts.limit(most_held + 1).collect() if salts else []
+    if len(held) <= most_held:
+        return _replaced(docs, {(r["kind"], r["form"]): (r["salt"], r["gender"]) for r in held}, text, key)
+    return _replaced(_with_own(docs, salts, text), None, text, key)
+
+
+OWN = "_own_of_entities"
+
+
+def _with_own(docs: DataFrame, salts: DataFrame, text: str) -> DataFrame:
+    """The documents, each row with the entries of ``salts`` that its text asks for. A row has a digest of its text for a key;
+    should two texts share one, both get the entries of both, of which they use their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in pieces(batch.column(0)):
+                rows = set()
+                for t, digest in zip(batch.column(0).slice(at, n).to_pylist(), batch.column(1).slice(at, n).to_pylist()):
+                    rows |= {(digest, plain_kind(kind), canonical(plain_kind(kind), t[s:e])) for s, e, kind in entities(t)}
+                columns = list(zip(*rows)) or [(), (), ()]
+                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "kind", "form"])
+
+    digest = F.xxhash64(F.col(f"`{text}`"))
+    asked = docs.select(F.col(f"`{text}`"), digest).mapInArrow(run, "digest bigint, kind string, form string").distinct()
+    own = asked.join(salts, ["kind", "form"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "form", "salt", "gender")).alias(OWN))
+    keyed = docs.withColumn("_digest_of_entities", digest)
+    own = own.withColumnRenamed("digest", "_digest_of_entities")
+    return keyed.join(own, "_digest_of_entities", "left").drop("_digest_of_entities")
+
+
+def _replaced(docs: DataFrame, held: dict[tuple[str, str], tuple[int, str]] | None, text: str, key: str | None) -> DataFrame:
+    """``anonymise`` with the entries given, or with those in a column ``OWN`` of each row."""
+    secret = key_of(docs, key)
+    order = [c for c in docs.columns if c not in ("entities", OWN)]
+    keep = [f"c{i}" for i, c in enumerate(order) if c != text]
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())]))
+    n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch.column(batch.num_columns - 1)
+            cells = batch.column(n_keep)
             for at, n in pieces(cells):
                 texts, lists = [], []
-                for t in cells.slice(at, n).to_pylist():
+                owns = batch.column(n_keep + 1).slice(at, n).to_pylist() if held is None else [held] * n
+                for t, own in zip(cells.slice(at, n).to_pylist(), owns):
+                    if held is None:
+                        own = {(o["kind"], o["form"]): (o["salt"], o["gender"]) for o in own or []}
                     parts, done, size, last = [], [], 0, 0
                     for s, e, kind in entities(t):
+                        kind = plain_kind(kind)
                         form = canonical(kind, t[s:e])
-                        new = laid_out(kind, t[s:e], image(secret, kind, form, salts.get((kind, form), 0)))
+                        new = laid_out(kind, t[s:e], image(secret, kind, form, *own.get((kind, form), ())))
                         size += s - last
-                        done.append({"kind": kind[:4] if kind.startswith("name") else kind, "start": size, "end": size + len(new), "surrogate": new})
+                        done.append({"kind": kind, "start": size, "end": size + len(new), "surrogate": new})
                         parts += [t[last:s], new]
                         size, last = size + len(new), e
                     texts.append("".join([*parts, t[last:]]) if parts else t)
                     lists.append(done)
-                held = [batch.column(i).slice(at, n) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*held, pa.array(texts, pa.string()), pa.array(lists, kind_type)], names=[*keep, "_text", "entities"])
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    shape = f"{kinds}_text string, entities array<struct<kind:string,start:bigint,end:bigint,surrogate:string>>"
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text")).mapInArrow(run, shape)
-    return out.select(*[F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "entities"], "entities")
+                kept = [batch.column(i).slice(at, n) for i in range(n_keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(lists, kind_type)], names=[*keep, "t", "e"])
+
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order) if c != text]
+    kinds = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for k, c in zip(keep, [c for c in order if c != text]))
+    shape = f"{kinds}t string, e array<struct<kind:string,start:bigint,end:bigint,surrogate:string>>"
+    out = docs.select(*columns, F.col(f"`{text}`").alias("t"), *([OWN] if held is None else [])).mapInArrow(run, shape)
+    return out.select(*[F.col("t" if c == text else f"c{i}").alias(c) for i, c in enumerate(order)], F.col("e").alias("entities"))

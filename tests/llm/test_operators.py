@@ -337,6 +337,36 @@ def test_surrogates_are_permutations(spark):
     out = private.anonymise(docs, private.collision_salts(docs)).select("text").collect()
     assert len({r[0] for r in out}) == len(names)
 
+def test_a_person_has_one_surrogate_of_one_gender(spark):
+    texts = [
+        "Mr John Smith and Dr John Smith; later John Smith spoke.", "Dr John Smith", "Mrs. Susan Hill", "Prof Susan Hill",
+        "Mr Thomas Miller", "Dr Thomas Miller. Thomas Millerson too", "Herr Hill", "Dr Иван Петров",
+        *["Mr Kim Novak", "Mrs Kim Novak", "Mrs Kim Novak"], None, "",
+    ]
+    docs = documents(spark, texts).withColumn("a.b", F.lit(1)).withColumn("_text", F.lit("x"))
+    salts = private.collision_salts(docs, key="k")
+    got = {r["doc_id"]: r for r in private.anonymise(docs, salts, key="k").collect()}
+    by_join = {r["doc_id"]: r for r in private.anonymise(docs, salts, key="k", most_held=0).collect()}
+    assert got == by_join and private.anonymise(docs, salts, key="k").columns == [*docs.columns, "entities"]
+    new = [[e["surrogate"] for e in got[i]["entities"]] for i in range(len(texts))]
+    assert len(new[0]) == 3 and len({*new[0], *new[1]}) == 1
+    assert new[2] == new[3] and new[2][0].split()[0].split("-")[0] in private.GIVEN["f"]
+    assert new[4] == new[5] and new[4][0].split()[0].split("-")[0] in private.GIVEN["m"]
+    assert got[5]["text"].endswith("Thomas Millerson too") and new[6][0] == new[2][0].split()[1]
+    assert re.fullmatch("[А-Яа-я]+ [А-Яа-я]+", new[7][0])
+    assert new[8] == new[9] == new[10] and new[8][0].split()[0].split("-")[0] in private.GIVEN["f"]
+
+
+def test_more_people_of_one_family_than_listed_names(spark):
+    names = [f"Mr {a}{b}x Same" for a in "BCDFGH" for b in "aeiou"] + [f"Mr {g} Same" for g in private.GIVEN["m"]]
+    docs = documents(spark, names)
+    salts = private.collision_salts(docs)
+    assert salts.filter("salt > 0").count() >= 30 - 16
+    for held in (private.MOST_HELD, 0):
+        out = private.anonymise(docs, salts, most_held=held).select("text").collect()
+        assert len({r[0] for r in out}) == len(names) and all(r[0].split()[1].split("-")[0] in private.GIVEN["m"] for r in out)
+
+
 
 # 10
 
