@@ -6,6 +6,10 @@ length; the k-th score that a query has so far gives its local cosine threshold
 above 1 the slice is skipped (length pruning); otherwise a high threshold bounds the value that
 the largest coordinates of the query allow (coordinate pruning), a low one leaves all. Products
 of what is left are verified in whole numbers. Cells keep k rows a query; a rank limit joins them.
+
+A first pass over one block of the longest vectors gives each query a k-th score. In the second
+pass the threshold goes to all other cells: a bucket too short for it is not read for that query,
+and where none of a block of queries can use a bucket, its candidates are not dealt there.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphie.llm.shared import stored
+
 QUERY_BLOCK, CANDIDATE_BLOCK, SLICE = 4096, 16384, 512
 COORD_FROM, FOCUS = 0.5, 3
 _LONG = (1 << 63) - 1
@@ -48,7 +54,7 @@ def _cell(k: int):
         unit = q / qn[:, None]
         focus = np.argsort(-np.abs(unit), axis=1)[:, : min(FOCUS, unit.shape[1])]
         best: list[list[tuple[int, bool, int, int]]] = [[] for _ in q]  # (-score, id unknown, id, m)
-        least = np.full(len(q), -np.inf)
+        least = queries["least"].to_numpy(dtype=float, na_value=-np.inf)  # from the first pass
         for at in range(0, len(p), SLICE):
             part, length = p[at : at + SLICE], max(pn[at], 1e-300)
             tau = np.where(np.isfinite(least), least / (qn * length), -np.inf)
@@ -119,6 +125,16 @@ def whole_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embeddin
     return rows.select(F.col(key).cast("bigint").alias("vec_id"), v.alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("m"))
 
 
+CELL = ("dim", "bucket", "block", "q_block")
+
+
+def _cells(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The k best candidates of each cell for each query in it; candidates go only to cells that a query asks for."""
+    cells = asked.select(*CELL).distinct()
+    dealt = placed.join(cells, list(CELL[:3])).toDF(*[c if c not in CELL else f"to_{c}" for c in [*CELL[:3], "id", "known", "v", "norm", "m", "q_block"]])
+    return asked.groupBy(*CELL).cogroup(dealt.groupBy(*[f"to_{c}" for c in CELL])).applyInPandas(_cell(k), "query_id bigint, vec_id bigint, score bigint, m bigint")
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best other rows for each row of ``vec_id, v, m`` that is a query.
 
@@ -128,21 +144,31 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     rows = vectors.withColumn("norm", norm).withColumn("dim", F.size("v"))
-    queries = rows.filter(is_query & F.col("vec_id").isNotNull()).select("vec_id", "v", "norm", "dim")
-    n_queries = queries.count()
-    q_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    rows = rows.withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.lit(math.log(1.5)))).otherwise(-1))
-    sizes = rows.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(CANDIDATE_BLOCK)).alias("blocks"))
-    placed = rows.join(sizes, ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), "blocks"))
-    candidates = placed.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select(
-        "dim", "bucket", "block", "q_block", F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNotNull().alias("known"), "v", "norm", "m"
+    rows = stored(rows.withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.lit(math.log(1.5)))).otherwise(-1)), "vectors")
+    queries = rows.filter(is_query & F.col("vec_id").isNotNull())
+    q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    asked = queries.select(
+        F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.col("norm").alias("q_norm"), "dim",
+        F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"),
+    )
+    sizes = rows.groupBy("dim", "bucket").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("norm").alias("longest"))
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("rows") / F.lit(CANDIDATE_BLOCK))).drop("rows"), "buckets")
+    placed = rows.join(sizes.select("dim", "bucket", "blocks"), ["dim", "bucket"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), "blocks")).select(
+        "dim", "bucket", "block", F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNotNull().alias("known"), "v", "norm", "m"
     )
-    cells = sizes.select("dim", F.col("bucket"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    cells = cells.toDF("c_dim", "c_bucket", "c_block")
-    asked = queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.col("norm").alias("q_norm"), F.col("dim").alias("q_dim"))
-    asked = asked.join(cells, F.col("q_dim") == F.col("c_dim")).withColumn("c_q_block", F.pmod(F.xxhash64("q_id"), F.lit(q_blocks)).cast("int"))
-    found = asked.groupBy("c_dim", "c_bucket", "c_block", "c_q_block").cogroup(candidates.groupBy("dim", "bucket", "block", "q_block"))
-    found = found.applyInPandas(_cell(k), "query_id bigint, vec_id bigint, score bigint, m bigint")
+    # the longest bucket that can hold k others, else just the longest
+    first = F.max(F.struct((F.col("n") > k).alias("enough"), "bucket")).alias("f")
+    first = sizes.groupBy("dim").agg(first).select("dim", F.col("f.bucket").alias("bucket"), F.lit(0).cast("bigint").alias("block"))
+    no_score = F.lit(None).cast("bigint").alias("least")
+    begun = stored(_cells(asked.join(first, "dim").select("*", no_score), placed, k), "first_scores")
+    scores = begun.groupBy("query_id").agg(F.sum("m").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
+    known = asked.join(scores.select(F.col("query_id").alias("q_id"), "least"), "q_id", "left")
+    reach = F.col("least").isNull() | (F.col("least") <= F.col("q_norm") * F.col("longest") * (1 + 1e-9))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    others = known.join(sizes, "dim").filter(reach).select(*known.columns, "bucket", blocks)
+    others = others.join(first, ["dim", "bucket", "block"], "left_anti")
+    found = begun.unionByName(_cells(others, placed, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
     each = found.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("m"), F.lit(k)))))

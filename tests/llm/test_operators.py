@@ -371,6 +371,35 @@ def test_more_people_of_one_family_than_listed_names(spark):
 # 10
 
 
+def test_thresholds_cross_buckets(spark, monkeypatch):
+    """Short candidates behind long ones are asked for by no query; those that can still win are."""
+    rng = np.random.default_rng(3)
+    long, short = 100 + rng.random((40, 4)), 0.01 * rng.random((200, 4))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([long, short, -long[:3]]))]
+    asked, plain = [], topk._cells
+
+    def watched(queries, placed, k):
+        asked.append(queries.groupBy("bucket").count().collect())
+        return plain(queries, placed, k)
+
+    monkeypatch.setattr(topk, "_cells", watched)
+    for block in (16384, 8):
+        asked.clear()
+        monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+        table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        got = topk.top_k(topk.whole_vectors(table), F.col("vec_id") % 40 == 0, 10).collect()
+        whole = [(i, [int(np.floor(1024 * v)) for v in e]) for i, e in rows]
+        want = []
+        for q, v in whole:
+            if q % 40 == 0:
+                scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)
+                want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])]
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert len(asked) == 2
+        if block > len(rows):  # only the query that turns away from the long vectors still asks for short ones
+            assert asked[1] and all(r["count"] == 1 for r in asked[1])
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e15])
 def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "SLICE", 16)
