@@ -5,7 +5,8 @@ sorted spans of its assistant texts are met with the sorted spans of its tokens
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside roles and texts a backslash
 goes between ``<`` and ``|`` (one more where there are some already), so no control string can
-appear there and the original comes back exactly.
+appear there and the original comes back exactly. The whole header of a trained turn is one control
+token, so no token crosses the border between header and text: what is under the mask is the text.
 
 Turns of a conversation meet sorted in one task and are read as a stream. A conversation is
 rendered and encoded in parts of about ``PART_CHARS``; a part ends after a turn, where the
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,30 +77,30 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def align(spans: list[tuple[int, int]], offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Token mask, and the characters under it within the spans. Offsets are sorted starts and ends."""
+    """Token mask, and the characters under it, as the tokens lie. Offsets are sorted starts and ends."""
     mask, covered = np.zeros(len(offsets), bool), []
     starts, ends = (offsets[:, 0], offsets[:, 1]) if len(offsets) else (np.zeros(0, int), np.zeros(0, int))
     for start, end in spans:
         first, after = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
         if first < after and start < end:
             mask[first:after] = True
-            covered.append((max(start, int(starts[first])), min(end, int(ends[after - 1]))))
+            covered.append((int(starts[first]), int(ends[after - 1])))
     return mask, covered
 
 
-def _tokenizer(definition: str):
+def _tokenizer(definition: str, trained: str = "assistant"):
     from tokenizers import AddedToken, Tokenizer, processors
 
     tok = Tokenizer.from_str(definition)
     tok.no_truncation()
     tok.post_processor = processors.ByteLevel(trim_offsets=False)
-    tok.add_special_tokens([AddedToken(s, normalized=False, special=True) for s in (START, END)])
+    tok.add_special_tokens([AddedToken(s, normalized=False, special=True) for s in (START, END, f"{START}{escape_role(trained)}\n")])
     return tok
 
 
 def _format_parts(definition: str, trained: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(definition)
+        tok = _tokenizer(definition, trained)
         arrow = pa.schema([
             ("conv_id", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()), ("n_turns", pa.int64()), ("formatted", pa.string()),
             ("token_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())),
@@ -110,12 +112,17 @@ def _format_parts(definition: str, trained: str):
 
         def encoded() -> pa.RecordBatch:
             rendered = [render(t, trained) for _, _, _, t in ready]
-            rows = []
+            rows, ids, masks = [], [], []
             for (c, p, last, t), (text, spans), enc in zip(ready, rendered, tok.encode_batch([r[0] for r in rendered], add_special_tokens=False)):
                 mask, covered = align(spans, np.asarray(enc.offsets, dtype=np.int64).reshape(-1, 2))
-                rows.append((c, p, last, len(t), text, enc.ids, mask.tolist(), [{"start": s, "end": e} for s, e in covered]))
+                rows.append((c, p, last, len(t), text, [{"start": s, "end": e} for s, e in covered]))
+                ids.append(np.asarray(enc.ids, dtype=np.int32))
+                masks.append(mask)
             ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (ids, masks)]
+            *plain, spans = (pa.array(list(x), f.type) for x, f in zip(zip(*rows), [*list(arrow)[:5], arrow.field("loss_spans")]))
+            return pa.RecordBatch.from_arrays([*plain, *lists, spans], schema=arrow)
 
         started = False
         for batch in batches:
@@ -164,7 +171,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole, under = hashlib.sha256(), hashlib.sha256()
     for batch in batches:
         done = []
-        for r in batch.to_pylist():
+        masks = batch.column("loss_mask")
+        sums = np.r_[0, np.cumsum(masks.flatten().to_numpy(zero_copy_only=False))]
+        ends = np.r_[0, np.cumsum(pc.list_value_length(masks).to_numpy(zero_copy_only=False))].astype(int)
+        under_mask, sizes = np.diff(sums[ends]), np.diff(ends)
+        for r, n_all, n_under in zip(batch.select(["conv_id", "last", "formatted", "loss_spans"]).to_pylist(), sizes, under_mask):
             text = r["formatted"]
             for role, said in parse(text):
                 n += 1
@@ -173,7 +184,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 plain = unescape(text[s["start"] : s["end"]])
                 loss += len(plain)
                 under.update(plain.encode())
-            chars, tokens, trained = chars + len(text), tokens + len(r["token_ids"]), trained + sum(r["loss_mask"])
+            chars, tokens, trained = chars + len(text), tokens + int(n_all), trained + int(n_under)
             if r["last"]:
                 done.append((r["conv_id"], n, whole.hexdigest(), loss, under.hexdigest(), chars, tokens, trained))
                 n = chars = loss = tokens = trained = 0
