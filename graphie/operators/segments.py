@@ -1,7 +1,7 @@
 """Text segments of web pages and office documents: out, rewritten, and back in.
 
 Cutting markup into segments is the one thing here that Spark has no expression for:
-``mapInPandas`` over page rows, with the standard library's parsers. Everything after
+``mapInArrow`` over page rows, with the standard library's parsers. Everything after
 that is columns.
 """
 
@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graphie.functions.plan import computed_once
+
 # Fixed values.
 HIDDEN_TAGS = {"code", "script", "noscript", "style", "textarea"}
 HIDDEN_CLASSES = {"notranslate", "notranscribe"}
@@ -28,6 +31,28 @@ VOID_TAGS = {
 }
 
 
+# What a task holds at once, whatever the size of the batches it gets: bytes read, rows or bytes put out.
+PIECE_ROWS, PIECE_BYTES = 1000, 1 << 20
+
+
+def _pieces(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """``offset, length`` of stretches of rows within the bounds above, or of one row."""
+    start = held = 0
+    for i, n in enumerate(sizes.to_pylist()):
+        if i > start and (i - start >= PIECE_ROWS or held + (n or 0) > PIECE_BYTES):
+            yield start, i - start
+            start, held = i, 0
+        held += n or 0
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for offset, length in _pieces(pc.binary_length(b.column(col))):
+            yield b.slice(offset, length)
+
+
 class _Segments(HTMLParser):
     """Text nodes in order, with the tag they stand in and whether a hiding element
     encloses them."""
@@ -88,27 +113,30 @@ def html_segments(df: DataFrame, html_col: str, *keys: str) -> DataFrame:
     """``keys, seq, tag, hidden, text``: one row per text node of each page."""
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq int, tag string, hidden boolean, text string"
-    names = [*keys, "seq", "tag", "hidden", "text"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for *ids, html in b[[*keys, html_col]].itertuples(index=False):
-                for i, (tag, hidden, text) in enumerate(page_segments(html or "")):
-                    rows.append((*ids, i, tag, hidden, text))
-            yield pd.DataFrame(rows, columns=names)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _in_pieces(batches, html_col):
+            found = [page_segments(html or "") for html in b.column(html_col).to_pylist()]
+            row = pa.array([r for r, page in enumerate(found) for _ in page], pa.int32())
+            columns = {k: b.column(k).take(row) for k in keys}
+            columns["seq"] = pa.array([i for page in found for i in range(len(page))], pa.int32())
+            for i, (name, kind) in enumerate((("tag", pa.string()), ("hidden", pa.bool_()), ("text", pa.string()))):
+                columns[name] = pa.array([segment[i] for page in found for segment in page], kind)
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return df.select(*keys, html_col).mapInPandas(cut, schema)
+    return df.select(*keys, html_col).mapInArrow(cut, schema)
 
 
-@F.pandas_udf(StringType())
-def _visible(html: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _visible(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(h):
         if h is None:
             return None
         return "".join(t + "\n" for _, hidden, t in page_segments(h) if not hidden and t.strip())
 
-    return html.map(one)
+    for html in batches:
+        for offset, length in _pieces(pc.binary_length(html)):
+            yield pa.array([one(h) for h in html.slice(offset, length).to_pylist()], pa.string())
 
 
 def declared_language(html: Column | str) -> Column:
@@ -154,6 +182,13 @@ def document_kind(path: Column | str) -> Column:
 
 
 _CONTAINER_SCHEMA = "doc string, kind string, part string, n_bytes bigint, content binary, error string"
+_CONTAINER = pa.schema(
+    [("doc", pa.string()), ("kind", pa.string()), ("part", pa.string()), ("n_bytes", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
+)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def container_members(
@@ -165,92 +200,91 @@ def container_members(
     of its directory, is not unpacked: it yields a single row with ``error`` set. Plain
     files are their own only member.
     """
-    import re
-
     patterns = {k: re.compile(p) for k, p in MEMBERS.items()}
     source = files.select(F.col(doc_col).alias("doc"), document_kind(doc_col).alias("kind"), F.col(content_col).alias("content"))
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc", "kind", "part", "n_bytes", "content", "error"]
-        for b in batches:
-            for doc, kind, data in b[["doc", "kind", "content"]].itertuples(index=False):
-                if kind is None:
-                    rows = [(doc, kind, None, 0, None, "unsupported file format")]
-                elif kind in ("doc", "ppt"):
-                    rows = [(doc, kind, None, 0, None, "format too old: save as ." + kind + "x")]
-                elif kind not in patterns:
-                    rows = [(doc, kind, "", len(data), data, None)]
-                else:
-                    rows = []
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(data)) as z:
-                            infos = [
-                                i for i in z.infolist() if not i.is_dir() and patterns[kind].search(i.filename)
-                            ]
-                            total = sum(max(1, i.file_size, i.compress_size) for i in infos)
-                            if max_bytes is not None and total > max_bytes:
-                                rows = [(doc, kind, None, total, None, "files in zip too large")]
-                            else:
-                                rows = [
-                                    (doc, kind, i.filename, max(1, i.file_size, i.compress_size), z.read(i), None)
-                                    for i in infos
-                                ]
-                    except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
-                        rows = [(doc, kind, None, 0, None, f"not a readable container: {e}")]
-                yield pd.DataFrame(rows, columns=names)
-
-    return source.mapInPandas(unpack, _CONTAINER_SCHEMA)
-
-
-class _Runs:
-    """Parser target: (group, text) of each stretch of text that ``reads`` accepts.
-
-    ``ends(tag)`` tells which closing elements end a group of runs; nothing inside a
-    ``skips`` element counts.
+    def members(doc: str, kind: str | None, data: bytes) -> Iterator[tuple]:
+        if kind is None:
+            yield doc, kind, None, 0, None, "unsupported file format"
+        elif kind in ("doc", "ppt"):
+            yield doc, kind, None, 0, None, "format too old: save as ." + kind + "x"
+        elif kind not in patterns:
+            yield doc, kind, "", len(data), data, None
+        else:
+            rows = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    infos = [i for i in z.infolist() if not i.is_dir() and patterns[kind].search(i.filename)]
+                    total = sum(max(1, i.file_size, i.compress_size) for i in infos)
+                    if max_bytes is not None and total > max_bytes:
+                        rows = [(doc, kind, None, total, None, "files in zip too large")]
+                    else:
+                        rows = [
+                            (doc, kind, i.filename, max(1, i.file_size, i.compress_size), z.read(i), None)
+                            for i in infos
+                        ]
+            except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+                rows = [(doc, kind, None, 0, None, f"not a readable container: {e}")]
+            yield from rows
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in _in_pieces(batches, "content"):
+            for file in zip(*(b.column(c).to_pylist() for c in ("doc", "kind", "content"))):
+                for row in members(*file):
+                    rows.append(row)
+                    held += len(row[4] or b"")
+                if len(rows) >= PIECE_ROWS or held >= PIECE_BYTES:
+                    yield _batch(rows, _CONTAINER)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, _CONTAINER)
+
+    return source.mapInArrow(unpack, _CONTAINER_SCHEMA)
+
+
+def _xml_runs(data: bytes, reads: set[str], ends: set[str], skips: str = "") -> tuple[list[int], list[str]]:
+    """Groups and texts of the stretches of text that stand directly in an element of ``reads``.
+
+    An element of ``ends`` ends a group of runs; nothing inside a ``skips`` element counts.
     """
-
-    def __init__(self, reads: Callable[[str], bool], ends: Callable[[str], bool], skips: str = ""):
-        self.reads, self.ends, self.skips = reads, ends, skips
-        self.stack: list[str] = []
-        self.skipping = 0
-        self.group = 0
-        self.text: list[str] = []
-        self.out: list[tuple[int, str]] = []
-
-    def _flush(self):
-        text = "".join(self.text)
-        self.text = []
-        if text and self.stack and not self.skipping and self.reads(self.stack[-1]):
-            self.out.append((self.group, text))
-
-    def start(self, tag, attrs):
-        self._flush()
-        self.stack.append(tag)
-        self.skipping += tag == self.skips
-
-    def end(self, tag):
-        self._flush()
-        self.stack.pop()
-        self.skipping -= tag == self.skips
-        self.group += self.ends(tag)
-
-    def data(self, text):
-        self.text.append(text)
-
-    def close(self):
-        return self.out
-
-
-def _xml_runs(data: bytes, target: _Runs) -> list[tuple[int, str]]:
-    parser = ElementTree.XMLParser(target=target)
-    parser.feed(data)
-    return parser.close()
+    root = ElementTree.fromstring(data)
+    groups: list[int] = []
+    texts: list[str] = []
+    group = 0
+    above = ElementTree.Element("")  # the root is visited as a child, as any other element is
+    above.append(root)
+    stack = [(above, False, iter(above))]
+    while stack:
+        parent, read, children = stack[-1]
+        for e in children:
+            tag = e.tag
+            if tag == skips:
+                group += sum(x.tag in ends for x in e.iter())
+            else:
+                if e.text and tag in reads:
+                    groups.append(group)
+                    texts.append(e.text)
+                if len(e):
+                    stack.append((e, tag in reads, iter(e)))
+                    break
+                group += tag in ends
+            if read and e.tail:
+                groups.append(group)
+                texts.append(e.tail)
+        else:
+            stack.pop()
+            group += parent.tag in ends
+            if stack and stack[-1][1] and parent.tail:
+                groups.append(group)
+                texts.append(parent.tail)
+    return groups, texts
 
 
-def _office_runs(data: bytes, ns: str) -> list[tuple[int, str]]:
+def _office_runs(data: bytes, ns: str) -> tuple[list[int], list[str]]:
     """Text counts only directly inside ``t``; spelling marks are skipped; a paragraph
     ends the group."""
-    return _xml_runs(data, _Runs(lambda t: t == ns + "t", lambda t: t == ns + "p", ns + "proofErr"))
+    return _xml_runs(data, {ns + "t"}, {ns + "p"}, ns + "proofErr")
 
 
 # Elements with mixed content, and elements after which words start afresh.
@@ -258,26 +292,24 @@ _ODF_TEXT = {_T + n for n in ("h", "p", "a", "span")}
 _ODF_BREAKS = {_T + n for n in ("h", "p", "s", "tab", "line-break")}
 
 
-def _odf_runs(data: bytes) -> list[tuple[int, str]]:
+def _odf_runs(data: bytes) -> tuple[list[int], list[str]]:
     """Mixed content of headings, paragraphs, links and spans."""
-    return _xml_runs(data, _Runs(_ODF_TEXT.__contains__, _ODF_BREAKS.__contains__))
-
-
-def _segments_of(kind: str, data: bytes) -> Iterator[tuple[int, str, bool, str]]:
-    if kind == "docx":
-        for para, text in _office_runs(data, _W):
-            yield para, "t", False, text
-    elif kind == "pptx":
-        for para, text in _office_runs(data, _A):
-            yield para, "t", False, text
-    elif kind == "opendocument":
-        for group, text in _odf_runs(data):
-            yield group, "p", False, text
-    elif kind == "text":
-        yield 0, "", False, data.decode("utf-8", "replace")
-    else:
-        for i, (tag, hidden, text) in enumerate(page_segments(data.decode("utf-8", "replace"))):
-            yield i, tag, hidden, text
+    return _xml_runs(data, _ODF_TEXT, _ODF_BREAKS)
+
+
+def _segments_of(kind: str, data: bytes) -> tuple[list[int], list[str], list[bool], list[str]]:
+    """Places, tags, whether hidden, and texts."""
+    if kind in ("docx", "pptx"):
+        paras, texts = _office_runs(data, _W if kind == "docx" else _A)
+        return paras, ["t"] * len(texts), [False] * len(texts), texts
+    if kind == "opendocument":
+        paras, texts = _odf_runs(data)
+        return paras, ["p"] * len(texts), [False] * len(texts), texts
+    if kind == "text":
+        return [0], [""], [False], [data.decode("utf-8", "replace")]
+    found = page_segments(data.decode("utf-8", "replace"))
+    tags, hidden, texts = ([segment[i] for segment in found] for i in range(3))
+    return list(range(len(found))), tags, hidden, texts
 
 
 def member_segments(members: DataFrame) -> DataFrame:
@@ -286,20 +318,28 @@ def member_segments(members: DataFrame) -> DataFrame:
     A member that is not well-formed gives one hidden row, tagged ``error``, with the
     reason.
     """
-    names = ["doc", "kind", "part", "seq", "para", "tag", "hidden", "text"]
     schema = "doc string, kind string, part string, seq int, para int, tag string, hidden boolean, text string"
+    whose = ["doc", "kind", "part"]
+    what = {"para": pa.int32(), "tag": pa.string(), "hidden": pa.bool_(), "text": pa.string()}
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for doc, kind, part, data in b[["doc", "kind", "part", "content"]].itertuples(index=False):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _in_pieces(batches, "content"):
+            row, seq, segments = [], [], {c: [] for c in what}
+            for r, (kind, data) in enumerate(zip(b.column("kind").to_pylist(), b.column("content").to_pylist())):
                 try:
-                    found = list(_segments_of(kind, data))
+                    found = _segments_of(kind, data)
                 except ElementTree.ParseError as e:
-                    found = [(0, "error", True, str(e))]
-                rows = [(doc, kind, part, i, *segment) for i, segment in enumerate(found)]
-                yield pd.DataFrame(rows, columns=names)
+                    found = [0], ["error"], [True], [str(e)]
+                row += [r] * len(found[0])
+                seq += range(len(found[0]))
+                for values, more in zip(segments.values(), found):
+                    values += more
+            at = pa.array(row, pa.int32())
+            columns = {c: b.column(c).take(at) for c in whose} | {"seq": pa.array(seq, pa.int32())}
+            columns |= {c: pa.array(values, what[c]) for c, values in segments.items()}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return members.filter("error is null").select("doc", "kind", "part", "content").mapInPandas(cut, schema)
+    return members.filter("error is null").select("doc", "kind", "part", "content").mapInArrow(cut, schema)
 
 
 # --- words split over runs -------------------------------------------------------
@@ -320,51 +360,65 @@ def interleaved(
     runs are gathered, cut into stretches that no word crosses (a stretch starts at each
     run that holds a space), rewritten whole by ``convert(df, column)``, and dealt out
     again: each run keeps its own number of characters, the last of a stretch takes the
-    rest. One shuffle on the paragraph, bounded by its length.
+    rest. One shuffle, of a row per paragraph with all its runs; between gathering and
+    dealing only the stretches are rows, and they stay where they are.
     """
     # The head of a run up to and including its first space belongs with the runs before
     # it; what follows its last space belongs with the runs after it. Cutting every run
     # at those two places gives pieces; a stretch is a maximal chain of pieces with no
-    # space between them.
-    t = F.col(text)
-    first = F.instr(t, " ")
-    last = F.length(t) - F.instr(F.reverse(t), " ") + 1
-    piece = lambda kind, s: F.struct(F.lit(kind).alias("k"), s.alias("s"))
-    pieces = F.when(first == 0, F.array(piece("join", t))).otherwise(
-        F.array(
-            piece("join", F.substr(t, F.lit(1), first - 1)),
-            piece("space", F.substr(t, first, last - first + 1)),
-            piece("join", F.substr(t, last + 1)),
+    # space between them. The inner part of a run, piece 1, is a stretch of its own.
+    def piece(r: Column, i: int, s: Column) -> Column:
+        return F.struct(r["seq"].alias("seq"), F.lit(i).alias("i"), s.alias("s"))
+
+    def pieces(r: Column) -> Column:
+        t, first, last = r["s"], r["first"], r["last"]
+        return F.when(first == 0, F.array(piece(r, 0, t))).otherwise(
+            F.array(
+                piece(r, 0, F.substr(t, F.lit(1), first - 1)),
+                piece(r, 1, F.substr(t, first, last - first + 1)),
+                piece(r, 2, F.substr(t, last + 1)),
+            )
         )
-    )
-    cut = runs.withColumn("_p", pieces).select("*", F.posexplode("_p").alias("_i", "_x"))
-    order = W.partitionBy(*keys).orderBy(seq, "_i")
-    # The inner part of a run is a stretch of its own, so is the chain of pieces that
-    # follows it.
-    inner = F.col("_x.k") == "space"
-    cut = cut.withColumn("_g", 2 * F.count_if(inner).over(order) - inner.cast("int"))
-    whole = cut.groupBy(*keys, "_g").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "_i", F.col("_x.s").alias("s")))).alias("ps")
-    )
-    whole = whole.withColumn("_whole", F.array_join(F.transform("ps", lambda p: p["s"]), ""))
-    done = convert(whole, "_whole")
-    lengths = F.transform("ps", lambda p: F.length(p["s"]))
+
+    def chains(ps: str, starts: Callable[[Column, Column], Column]) -> Column:
+        """The array cut before each element that ``starts(element, the one before)``."""
+        p = lambda i: F.get(F.col(ps), i)
+        heads = F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: (i == 0) | starts(p(i), p(i - 1)))
+        # Each head next to the one after it.
+        spans = F.arrays_zip(heads.alias("a"), F.concat(F.slice(heads, 2, F.size(ps)), F.array(F.size(ps))).alias("b"))
+        return F.transform(spans, lambda x: F.slice(ps, x["a"] + 1, x["b"] - x["a"]))
+
+    def spaces(r: Column) -> Column:
+        last = F.length(r["s"]) - F.instr(F.reverse(r["s"]), " ") + 1
+        return F.struct(r["seq"].alias("seq"), r["s"].alias("s"), F.instr(r["s"], " ").alias("first"), last.alias("last"))
+
+    run = F.struct(F.col(seq).alias("seq"), F.col(text).alias("s"))
+    whole = runs.select(*keys, run.alias("_r")).groupBy(*keys).agg(F.collect_list("_r").alias("_rs"))
+    marked = F.transform(F.transform("_rs", spaces), pieces)
+    whole = whole.select(*keys, computed_once(F.sort_array(F.flatten(marked))).alias("_ps"))
+    cut = chains("_ps", lambda p, before: (p["i"] == 1) != (before["i"] == 1))
+    whole = whole.select(*keys, F.posexplode(cut).alias("_g", "_ps"))
+    whole = whole.withColumn("_whole", F.array_join(F.transform("_ps", lambda p: p["s"]), ""))
+    done = convert(whole.withColumn("_was", F.col("_whole")), "_whole")
     starts = F.aggregate(
-        lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+        F.transform("_ps", lambda p: F.length(p["s"])), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
     )
-    done = done.withColumn("_st", starts)
+    done = done.withColumn("_same", F.col("_whole") == F.col("_was"))
+    done = done.withColumn("_st", computed_once(F.when(~F.col("_same"), starts)))
 
     def deal(p: Column, i: Column) -> Column:
-        at = F.get(F.col("_st"), i)
-        n = F.when(i == F.size("ps") - 1, F.length("_whole")).otherwise(F.length(p["s"]))
-        return F.struct(p["seq"].alias("seq"), p["_i"].alias("_i"), F.substr("_whole", at + 1, n).alias("s"))
-
-    back = done.select(*keys, F.explode(F.transform("ps", deal)).alias("x"))
-    return back.groupBy(*keys, F.col("x.seq").alias(seq)).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("x._i", "x.s"))), lambda p: p["s"]), ""
-        ).alias(out)
+        n = F.when(i == F.size("_ps") - 1, F.length("_whole")).otherwise(F.length(p["s"]))
+        return F.struct(p["seq"].alias("seq"), p["i"].alias("i"), F.substr("_whole", F.get(F.col("_st"), i) + 1, n).alias("s"))
+
+    # Most stretches come back as they went, and so do their pieces.
+    dealt = F.when(F.col("_same"), F.col("_ps")).otherwise(F.transform("_ps", deal))
+    back = done.select(*keys, F.struct("_g", dealt.alias("ps")).alias("_x")).groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    back = back.select(*keys, computed_once(F.sort_array(F.flatten(F.transform("_xs", lambda x: x["ps"])))).alias("_ps"))
+    one = F.transform(
+        chains("_ps", lambda p, before: ~p["seq"].eqNullSafe(before["seq"])),
+        lambda ps: F.struct(F.get(ps, 0)["seq"].alias("seq"), F.array_join(F.transform(ps, lambda p: p["s"]), "").alias("s")),
     )
+    return back.select(*keys, F.explode(one).alias("_x")).select(*keys, F.col("_x.seq").alias(seq), F.col("_x.s").alias(out))
 
 
 # --- extract and insert ----------------------------------------------------------

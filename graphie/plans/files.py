@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -159,8 +160,11 @@ _O_NS = "urn:oasis:names:tc:opendocument:xmlns:office:1.0"
 CHUNK = 7
 
 
+_CONTROLS = re.compile(r"[\x00-\x08\x0b-\x1f]")
+
+
 def _clean(text: str) -> str:
-    return "".join(c if c == "\n" or c == "\t" or c >= " " else " " for c in text)
+    return _CONTROLS.sub(" ", text)
 
 
 def _pack(kind: str, text: str) -> bytes:
@@ -172,7 +176,9 @@ def _pack(kind: str, text: str) -> bytes:
             paras = []
             for line in lines:
                 runs = [line[i : i + CHUNK] for i in range(0, len(line), CHUNK)]
-                body = "".join(f"<w:r><w:t>{escape(r)}</w:t></w:r>" for r in runs)
+                if any(c in line for c in "&<>"):
+                    runs = map(escape, runs)
+                body = line and f"<w:r><w:t>{'</w:t></w:r><w:r><w:t>'.join(runs)}</w:t></w:r>"
                 paras.append(f'<w:p>{body}<w:proofErr w:type="spellEnd"/></w:p>')
             z.writestr("word/document.xml", f'<w:document xmlns:w="{_W_NS}"><w:body>{"".join(paras)}</w:body></w:document>')
             z.writestr("word/styles.xml", "<x>unread</x>")
@@ -189,9 +195,11 @@ def _pack(kind: str, text: str) -> bytes:
 def packed(spark, sf, kind: str):
     def pack(batches):
         for b in batches:
-            yield pd.DataFrame(
-                {"path": [f"{i}.{kind}" for i in b["doc_id"]], "content": [_pack(kind, t) for t in b["text"]]}
-            )
+            for at in range(0, len(b), 200):  # a packed batch is never held whole
+                some = b.iloc[at : at + 200]
+                yield pd.DataFrame(
+                    {"path": [f"{i}.{kind}" for i in some["doc_id"]], "content": [_pack(kind, t) for t in some["text"]]}
+                )
 
     return documents(spark, sf, "doc_id", "text").mapInPandas(pack, "path string, content binary")
 
