@@ -102,6 +102,7 @@ cnt AS (SELECT word, count(*) AS n FROM sides GROUP BY 1)
 SELECT s.word, s.side, s.other FROM sides s JOIN cnt c ON c.word = s.word JOIN cnt o ON o.word = s.other WHERE c.n = 1 AND o.n = 1""",
 )
 def regular_plurals(spark, sf, v=None):
+    v = stored(vocabulary(spark, sf), "vocabulary") if v is None else v  # read three times
     lx = lexicon(spark, sf, v).withColumn(
         "phon", F.replace(F.concat("phon", F.lit("#")), F.lit("s#"), F.lit("#"))
     )
