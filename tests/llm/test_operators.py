@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -306,6 +307,16 @@ def test_toxicity(spark, odd):
     assert all(r["score"] == 0 or r["score"] < 1e-9 for r in toxicity.score_toxicity(odd, toxicity.fit_toxicity(odd, labels.limit(0), F.lit(True))).collect())
 
 
+def test_toxicity_training_holds_little():
+    rng = random.Random(9)
+    docs = [(" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(1000)), *["rotter"] * (i % 20 == 0)]), int(i % 20 == 0)) for i in range(300)]
+    tracemalloc.start()
+    toxicity.train(docs, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, f"{peak >> 20} MB"
+
+
 # 9
 
 
