@@ -24,13 +24,23 @@ def run(stream: DataFrame, name: str, mode: str = "append", base: str | None = N
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+ROWS_A_FILE = 10_000
+
+
 def in_parts(df: DataFrame, name: str, part: Column, n: int) -> DataFrame:
-    """A stream of a table in ``n`` micro-batches: rows of part 0 come first."""
+    """A stream of a table in ``n`` micro-batches: rows of part 0 come first.
+
+    Every part is dealt over equally many files, at most one for each core; rows in turn, so that none of them is empty.
+    """
     spark = df.sparkSession
     folder = work_folder(spark, name)
+    sizes = dict(df.groupBy(part.cast("int")).count().collect())
+    files = max(1, min(min(sizes.get(i, 0) for i in range(n)) // ROWS_A_FILE, spark.sparkContext.defaultParallelism))
     for i in range(n):  # one after the other, as the source reads the oldest files first
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = df.filter(part == i)
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_respell_conversations", respell_sql("conversations", "conv_id, turn", SMOKE_SQL))

@@ -49,6 +49,15 @@ def test_newest_versions_across_micro_batches(spark):
     assert {tuple(r)[:3] for r in S.latest_wins(out, "class", "v").collect()} == {tuple(r)[:3] for r in S.latest_wins(df.filter("v is not null"), "class", "v").collect()}
 
 
+def test_parts_are_dealt_over_files(spark):
+    folder = "large-parts"
+    df = spark.range(90_000).withColumn("part", (F.col("id") % 3).cast("int"))
+    out = run(in_parts(df, folder, F.col("part"), 3).withColumn("f", F.input_file_name()), "dealt")
+    files = out.groupBy("f").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).collect()
+    assert len(files) > 3 and {r.parts for r in files} == {1} and sum(r.n for r in files) == 90_000
+    assert out.agg(F.count_distinct("id")).first()[0] == 90_000
+
+
 def test_stream_equals_batch_and_holds_empty_rows(spark, sf):
     d = Dictionary.of(spark, {"de": "dé"}, plurals_in_s="s")
     s = S.read_table_stream(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("text")).otherwise("").alias("text"))
