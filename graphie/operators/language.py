@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphie.functions.plan import computed_once
-from graphie.operators.lookup import constant_lookup, with_lookups
+from graphie.operators.lookup import constant_lookup
+from graphie.sources.files import stored
 
 # Fixed values.
 UNKNOWN_DIGRAM = 30.0
@@ -46,7 +51,8 @@ def parse_digram_counts(df: DataFrame, lang_col: str, spec_col: str) -> DataFram
 
 
 def fit_digram_model(counts: DataFrame, overrides: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """``lang, digram, entropy`` with entropy = log2(total) - log2(n)."""
+    """``lang, digram, entropy`` with entropy = log2(total) - log2(n). The counts are made once, though they are used twice."""
+    counts = stored(counts, "digrams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     fitted = counts.join(F.broadcast(total), "lang").select(
         "lang", "digram", (F.log2("total") - F.log2("n")).alias("entropy")
@@ -68,6 +74,60 @@ def _paired(model: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
+PIECE = 1 << 20  # characters scored at a time
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << 21) | b
+
+
+def digram_sums(texts: list[str], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums [2, texts] of the values [2, keys + 1] of all digrams of lower-cased texts, each added in the order of its text.
+
+    ``keys`` are sorted pairs of code points; the last value is that of an unknown pair. As in ``digrams``,
+    a character beyond the basic plane gives a second pair that begins with a question mark.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    inside = row[1:] == row[:-1]
+    a, b, row = points[:-1][inside], points[1:][inside], row[1:][inside]
+    if (a > 0xFFFF).any():
+        times = 1 + (a > 0xFFFF)
+        second = (np.cumsum(times) - 1)[times == 2]
+        a, b, row = np.repeat(a, times), np.repeat(b, times), np.repeat(row, times)
+        a[second] = ord("?")
+    pairs = _pair(a, b)
+    at = np.searchsorted(keys, pairs)
+    known = at < len(keys)
+    known[known] = keys[at[known]] == pairs[known]
+    at = np.where(known, at, len(keys))
+    return np.stack([np.bincount(row, weights=v[at], minlength=len(texts)) for v in values])
+
+
+def digram_scorer(model: list[tuple[str, float, float]]) -> Callable[[Column], Column]:
+    """A column ``struct<s1, s2>`` of the sums over lower-cased texts, for a model of checked size; null for null."""
+    model = sorted((r for r in model if len(r[0]) == 2), key=lambda r: (ord(r[0][0]), ord(r[0][1])))
+    first, second = (np.array([ord(r[0][i]) for r in model], np.int64) for i in (0, 1))
+    keys = _pair(first, second)
+    values = np.array([[*(r[i] for r in model), UNKNOWN_DIGRAM] for i in (1, 2)])
+
+    def pieces(column: pa.Array):
+        held, size = [], 0
+        for cell in column:
+            held.append(cell.as_py() or "")
+            size += len(held[-1])
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+        yield held
+
+    def score(column: pa.Array) -> pa.Array:
+        sums = np.concatenate([digram_sums(p, keys, values) for p in pieces(column)], axis=1)
+        return pa.StructArray.from_arrays([pa.array(x) for x in sums], ["s1", "s2"], mask=column.is_null())
+
+    return F.arrow_udf(score, "s1 double, s2 double")
+
+
 def language_score(
     df: DataFrame,
     text_col: str,
@@ -79,8 +139,8 @@ def language_score(
 ) -> DataFrame:
     """Add ``score_<lang>`` for both languages, ``englishness`` and ``is_foreign``.
 
-    The model has one row per digram, so it is a constant of the projection and a
-    text is scored where it is read. A model over the bound is joined instead, on
+    The model has one row per digram, so it goes with the tasks and a
+    text is scored where it is read, many texts at once. A model over the bound is joined instead, on
     digram counts per text.
     """
     a, b = langs
@@ -88,20 +148,8 @@ def language_score(
     table = constant_lookup(paired, "digram", ["e1", "e2"])
     base_col = base if isinstance(base, Column) else F.lit(float(base))
     if table is not None:
-        zero = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
-
-        def add(acc, e):
-            return F.struct(
-                (acc["s1"] + F.coalesce(e["e1"], F.lit(UNKNOWN_DIGRAM))).alias("s1"),
-                (acc["s2"] + F.coalesce(e["e2"], F.lit(UNKNOWN_DIGRAM))).alias("s2"),
-            )
-
-        scored = with_lookups(
-            df,
-            [table],
-            "_s",
-            lambda find: computed_once(F.aggregate(F.transform(digrams(text_col), find), zero, add)),
-        )
+        score = digram_scorer([(d, *e) for d, e in table.entries()])
+        scored = df.withColumn("_s", computed_once(score(F.lower(text_col))))
     else:
         if key is None:
             raise ValueError("the model is too large to send to every task; pass key=")

@@ -115,3 +115,31 @@ def test_search_goes_on_for_entries_of_many_spellings(spark, monkeypatch):
             seen.setdefault(e, s)
         want += [(q, i + 1, e, s) for i, (e, s) in enumerate(list(seen.items())[:4])]
     assert got == sorted(want)
+
+
+def test_digram_sums_are_those_of_the_digrams(spark, monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 12)  # several pieces in a batch
+    texts = ["L'été d'A😀b😀😀", "x", None, "", "😀", "😀a ab\nab", "ab ba İI ΑΣ", "?a?b", "ab" * 20]
+    df = spark.createDataFrame([(i, "fr" if i % 2 else "en", t) for i, t in enumerate(texts)], "k int, lang string, t string")
+    model = L.fit_digram_model(L.digram_counts(df.filter("k < 7"), "t", "lang"), L.OVERRIDES)
+    known = {r.digram: (r.e1, r.e2) for r in L._paired(model, "fr", "en").collect()}
+    got = {r.k: (r.score_fr, r.score_en) for r in L.language_score(df, "t", model).collect()}
+    for k, found in df.select("k", L.digrams("t")).collect():
+        sums = [0.0, 0.0]
+        for d in found or []:
+            sums = [a + b for a, b in zip(sums, known.get(d, (L.UNKNOWN_DIGRAM, L.UNKNOWN_DIGRAM)))]
+        assert got[k] == tuple(sums)
+    assert {tuple(r)[1:3] for r in L.language_score(df, "t", model.limit(0)).filter("k = 1").collect()} == {("fr", "x")}
+
+
+def test_digrams_of_a_model_are_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(t):
+        seen.add(1)
+        return t
+
+    df = spark.createDataFrame([("fr", "abc"), ("en", "abd")], "lang string, t string")
+    model = L.fit_digram_model(L.digram_counts(df.withColumn("t", watched("t")), "t", "lang"), L.OVERRIDES)
+    assert model.count() == 8 and seen.value == 2
