@@ -49,6 +49,13 @@ def test_newest_versions_across_micro_batches(spark):
     assert {tuple(r)[:3] for r in S.latest_wins(out, "class", "v").collect()} == {tuple(r)[:3] for r in S.latest_wins(df.filter("v is not null"), "class", "v").collect()}
 
 
+def test_newest_versions_keep_a_null_key_apart(spark):
+    rows = [(k, v, f"{k} {v}", p) for k in (1, None, 50) for v, p in ((5 if k else 9, 0), (3, 1), (7 if k else 8, 1), (1, 2))]
+    df = spark.createDataFrame(rows, "k bigint, v bigint, text string, part int")
+    out = run(S.newest_versions(in_parts(df, "versions", F.col("part"), 3), "k", "v"), "newest")
+    assert sorted(r.text for r in out.collect()) == ["1 5", "1 7", "50 5", "50 7", "None 9"]
+
+
 def test_parts_are_dealt_over_files(spark):
     folder = "large-parts"
     df = spark.range(90_000).withColumn("part", (F.col("id") % 3).cast("int"))
