@@ -136,6 +136,18 @@ def test_suffix_arrays_and_common_prefixes(letters):
             assert shared[b] == n
 
 
+def test_doubling_sorts_open_groups_only(monkeypatch):
+    t = np.random.default_rng(4).permutation(5000)
+    t = np.r_[t, t[:200]]
+    held = []
+    for name in ("argsort", "lexsort"):
+        real = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, _real=real, **k: held.append(np.asarray(x).size) or _real(x, *a, **k))
+    sa = suffix_arrays._doubled(t)
+    assert sum(held) < 2 * len(t)
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
 def test_repeats_equal_brute_force(spark, odd):
     rng = random.Random(2)
     passage, line = prose(rng, 40), prose(rng, 12)
