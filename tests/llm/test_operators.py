@@ -261,6 +261,30 @@ def test_components_equal_brute_force(spark, monkeypatch, settings):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
 
 
+def test_screening_equals_all_pairs_and_keeps_sets_too_large_for_buckets():
+    rng, link = np.random.default_rng(5), jaccard_join.Link()
+    n = np.r_[rng.integers(30, 90, 200), [1_000_000, 1_001_000]]
+    h = np.stack([jaccard_join.histogram(np.arange(k) * 7 + rng.integers(0, 3)) for k in n])
+    label, order = np.arange(202), np.r_[np.arange(100), 200, np.arange(100, 200), 201]  # one of the large sets on each side
+    n, h = n[order], h[order]
+    wanted = [
+        i for i in range(202) for others in [range(101, 202) if i < 101 else range(101)]
+        if any(jaccard_join.bound(h[i], h[j]) >= link.least_overlap(n[i], n[j]) for j in others if 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j]))
+    ]
+    assert {100, 201} <= set(wanted)
+    assert set(wanted) <= set(jaccard_join.fitting(h, n, label, 101, link).tolist())
+
+
+def test_a_class_alone_in_a_tree_is_one_node():
+    tree = jaccard_join.Tree()
+    tree.add([1, 2, 3, 4], 0)
+    assert not tree.below
+    tree.add([1, 2, 5], 1)
+    tree.add([1, 2], 2)
+    found = [jaccard_join.walk(tree, list(t), list(range(len(t))), 4, 1, w, jaccard_join.Link(1, 2)) for t, w in (((1, 2, 3, 4), 7), ((1, 2, 5), 2), ((1, 9), 4))]
+    assert [sorted(f) for f in found] == [[0, 1, 2], [1], [2]]
+
+
 def test_components_of_odd_rows(spark, odd):
     got = jaccard_join.jaccard_components(odd)
     assert got.count() == odd.count() and got.filter("doc_id = 6").first()["component_id"] == 5
