@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeats, no rows and foreign columns."""
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -356,6 +357,13 @@ def test_toxicity_training_holds_little():
 # 9
 
 
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda sample: toxicity.Model(np.zeros(2), np.zeros((2, 2)), np.array([os.getpid(), len(sample), 0, 0])))
+    docs = documents(spark, ["a b", None, "c"])
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 0), (2, 1)], "doc_id bigint, toxic int"), F.lit(True))
+    assert model.fit[0] != os.getpid() and model.fit[1] == 2
+
+
 def test_surrogates(spark, odd):
     texts = [
         "Mail Ann.Lee@mail1.example.com or ann.lee@mail1.example.com, card 4311039686608666.",
