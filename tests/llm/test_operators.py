@@ -505,3 +505,24 @@ def test_mix_of_rows_without_ids_and_with_clashing_names(spark):
 
 def test_numbers_are_no_letters():
     assert not any(map(language_id.has_letter, [None, "", "½ ²", "Ⅷ ①", "12 _ ٣"])) and all(map(language_id.has_letter, ["½a", "漢", "é"]))
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    """They do not wait for the driver's garbage collection, which filled the disk of op6_jaccard_join."""
+    import time
+
+    from graphie.llm.shared import CLEANUP, stored
+
+    def held():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before, was = held(), spark.conf.get(CLEANUP, None)
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert sorted(r["count"] for r in kept.collect()) == [142] * 1 + [143] * 6
+    assert spark.conf.get(CLEANUP, None) == was
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before
