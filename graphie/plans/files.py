@@ -245,10 +245,8 @@ def docx_respell_across_runs(spark, sf):
     """Runs of seven characters cut most words; the paragraph must read as if whole."""
     s = S.member_segments(S.container_members(packed(spark, sf, "docx")))
     d = smoke_dictionary(spark)
-    r = S.interleaved(s, ["doc", "part", "para"], lambda df, c: R.respell(df, c, d))
-    g = r.groupBy("doc", "para").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("line")
-    )
+    r = S.interleaved(s, ["doc", "part", "para"], lambda df, c: R.respell(df, c, d), mark="\x1f")
+    g = S.joined_runs(r, ["doc", "para"])
     return g.select("doc", F.col("para").cast("bigint").alias("para"), F.md5("line").alias("digest"))
 
 
