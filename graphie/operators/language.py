@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphie.functions.plan import computed_once
-from graphie.operators.lookup import constant_lookup
+from graphie.operators.lookup import Lookup, constant_lookup
 from graphie.sources.files import stored
 
 # Fixed values.
@@ -104,28 +105,43 @@ def digram_sums(texts: list[str], keys: np.ndarray, values: np.ndarray) -> np.nd
     return np.stack([np.bincount(row, weights=v[at], minlength=len(texts)) for v in values])
 
 
-def digram_scorer(model: list[tuple[str, float, float]]) -> Callable[[Column], Column]:
-    """A column ``struct<s1, s2>`` of the sums over lower-cased texts, for a model of checked size; null for null."""
+def _model_arrays(model: list[tuple[str, float, float]]) -> tuple[np.ndarray, np.ndarray]:
     model = sorted((r for r in model if len(r[0]) == 2), key=lambda r: (ord(r[0][0]), ord(r[0][1])))
     first, second = (np.array([ord(r[0][i]) for r in model], np.int64) for i in (0, 1))
-    keys = _pair(first, second)
-    values = np.array([[*(r[i] for r in model), UNKNOWN_DIGRAM] for i in (1, 2)])
+    return _pair(first, second), np.array([[*(r[i] for r in model), UNKNOWN_DIGRAM] for i in (1, 2)])
 
-    def pieces(column: pa.Array):
-        held, size = [], 0
-        for cell in column:
-            held.append(cell.as_py() or "")
-            size += len(held[-1])
-            if size >= PIECE:
-                yield held
-                held, size = [], 0
-        yield held
 
-    def score(column: pa.Array) -> pa.Array:
-        sums = np.concatenate([digram_sums(p, keys, values) for p in pieces(column)], axis=1)
-        return pa.StructArray.from_arrays([pa.array(x) for x in sums], ["s1", "s2"], mask=column.is_null())
+def _pieces(column: pa.Array) -> Iterator[list[str]]:
+    held, size = [], 0
+    for cell in column:
+        held.append(cell.as_py() or "")
+        size += len(held[-1])
+        if size >= PIECE:
+            yield held
+            held, size = [], 0
+    yield held
 
-    return F.arrow_udf(score, "s1 double, s2 double")
+
+def _score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    keys = values = None
+    for column, model in batches:
+        if keys is None:
+            keys, values = _model_arrays([(d, e["e1"], e["e2"]) for bucket in json.loads(model[0].as_py()) for d, e in bucket.items()])
+        sums = np.concatenate([digram_sums(p, keys, values) for p in _pieces(column)], axis=1)
+        yield pa.StructArray.from_arrays([pa.array(x) for x in sums], ["s1", "s2"], mask=column.is_null())
+
+
+def with_digram_sums(df: DataFrame, text_col: str, model: Lookup, name: str) -> DataFrame:
+    """Add ``name struct<s1, s2>``, the sums over lower-cased texts; null for null.
+
+    The model is a scalar subquery, as that of ``with_lookups``. The first row of each partition brings it to
+    Python, and no other; as text, since nested columns cost time even where they are null.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    score = F.arrow_udf(_score, "s1 double, s2 double")
+    once = df.withColumn("_first", place == 0)
+    entries = F.when(F.col("_first"), model.table.select(F.to_json("t")).scalar())
+    return once.withColumn(name, computed_once(score(F.lower(text_col), entries))).drop("_first")
 
 
 def language_score(
@@ -148,8 +164,7 @@ def language_score(
     table = constant_lookup(paired, "digram", ["e1", "e2"])
     base_col = base if isinstance(base, Column) else F.lit(float(base))
     if table is not None:
-        score = digram_scorer([(d, *e) for d, e in table.entries()])
-        scored = df.withColumn("_s", computed_once(score(F.lower(text_col))))
+        scored = with_digram_sums(df, text_col, table, "_s")
     else:
         if key is None:
             raise ValueError("the model is too large to send to every task; pass key=")
