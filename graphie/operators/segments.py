@@ -299,7 +299,7 @@ def _tree_runs(root: ElementTree.Element, reads: set[str], ends: set[str], skips
 
 def _flat_runs(root: ElementTree.Element, reads: str, ends: str, skips: str) -> tuple[list[int], list[str]] | None:
     """The same where text elements hold only text and stand in ends that hold no other, without a visit of every element; else None."""
-    if any(len(e) for e in root.iter(skips)) or any(len(e) for e in root.iter(reads)):
+    if any(map(len, root.iter(skips))) or any(map(len, root.iter(reads))):
         return None
     groups: list[int] = []
     texts: list[str] = []
@@ -312,7 +312,7 @@ def _flat_runs(root: ElementTree.Element, reads: str, ends: str, skips: str) ->
         texts += some
         groups += [group] * len(some)
     # Nothing stands outside the ends, and none of them in another.
-    if n != sum(1 for _ in root.iter(reads)) or any(sum(1 for _ in e.iter(ends)) > 1 for e in root.iter(ends)):
+    if n != len(list(root.iter(reads))) or any(len(list(e.iter(ends))) > 1 for e in root.iter(ends)):
         return None
     return groups, texts
 
