@@ -7,7 +7,7 @@ import re
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -195,13 +195,12 @@ def _pack(kind: str, text: str) -> bytes:
 def packed(spark, sf, kind: str):
     def pack(batches):
         for b in batches:
-            for at in range(0, len(b), 200):  # a packed batch is never held whole
-                some = b.iloc[at : at + 200]
-                yield pd.DataFrame(
-                    {"path": [f"{i}.{kind}" for i in some["doc_id"]], "content": [_pack(kind, t) for t in some["text"]]}
-                )
+            paths = [f"{i}.{kind}" for i in b.column("doc_id").to_pandas()]
+            for at in range(0, b.num_rows, 200):  # neither the texts nor a packed batch are ever held whole
+                content = [_pack(kind, t) for t in b.column("text").slice(at, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(paths[at : at + 200], pa.string()), pa.array(content, pa.binary())], ["path", "content"])
 
-    return documents(spark, sf, "doc_id", "text").mapInPandas(pack, "path string, content binary")
+    return documents(spark, sf, "doc_id", "text").mapInArrow(pack, "path string, content binary")
 
 
 LINES_SQL = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para FROM documents)"""
